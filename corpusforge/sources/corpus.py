@@ -15,7 +15,7 @@ PAIR_COLUMNS = ("source", "priority", "ord", "ko_raw", "en_raw", "score")
 
 
 # ----------------------------------------------------------------- ordinals
-def with_file_ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
+def with_file_ordinal(df: DataFrame, name: str = "ord", expand=None) -> DataFrame:
     """Add a 0-based arrival-order ordinal from file position.
 
     Rows of one file split are read contiguously by one task, so
@@ -24,13 +24,18 @@ def with_file_ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
     at 100 TB) give each split's offset in (file path, block start) order.
     The offsets table is joined back; Spark broadcasts it when its measured
     size is under the broadcast threshold and shuffles otherwise.
+
+    ``expand`` is an optional narrow, order-keeping step (e.g. an explode)
+    applied to the scan before numbering, so its output rows get the ordinal.
     """
     tagged = df.select(
         "*",
         F.col("_metadata.file_path").alias("_cf_file"),
         F.col("_metadata.file_block_start").alias("_cf_block"),
-        F.monotonically_increasing_id().alias("_cf_mid"),
     )
+    if expand is not None:
+        tagged = expand(tagged)
+    tagged = tagged.withColumn("_cf_mid", F.monotonically_increasing_id())
     splits = tagged.groupBy("_cf_file", "_cf_block").agg(
         F.min("_cf_mid").alias("_cf_m0"), F.count(F.lit(1)).alias("_cf_n")
     )
