@@ -7,8 +7,9 @@ handed the rows that can change under NFC.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,13 @@ WHITESPACE = (
     r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# The same 29 characters as a plain string (for btrim, which strips any
+# character of a set from both ends without scanning the middle).
+WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # Default source script: Hangul syllables U+AC00-U+D7A3.
 HANGUL = r"[\x{ac00}-\x{d7a3}]"
 # Default target script: ASCII Latin letters.
@@ -39,7 +47,7 @@ _NFC_STABLE = r"^[\x{0}-\x{2ff}\x{ac00}-\x{d7a3}]*$"
 
 def py_strip(c: Column) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(c, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(c, F.lit(WHITESPACE_CHARS))
 
 
 def py_split(c: Column) -> Column:
@@ -73,19 +81,29 @@ def null_safe(pred: Column, c: Column) -> Column:
 
 @F.arrow_udf(T.StringType())
 def _nfc_arrow(a: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(a, form="NFC")
-
-
-def nfc(c: Column) -> Column:
-    """Unicode NFC. Rows already in NFC never cross into Python: the UDF gets
-    a null for them (cheap in Arrow) and the original value is kept."""
-    needs = F.when(~c.rlike(_NFC_STABLE), c)
-    return F.coalesce(_nfc_arrow(needs), c)
-
-
-def dedup_key(stripped: Column) -> Column:
-    """MD5 hex of NFC(lower(strip(text))); lower-casing comes before NFC."""
-    return F.md5(nfc(F.lower(py_strip(stripped))))
+    # pyarrow's utf8_normalize is not available in every build; unicodedata
+    # is. Nulls (rows that need no change) pass straight through.
+    return pa.array(
+        [None if x is None else unicodedata.normalize("NFC", x) for x in a.to_pylist()],
+        type=pa.string(),
+    )
+
+
+def nfc(c: Column, only: Column | None = None) -> Column:
+    """Unicode NFC. Python UDFs run on every row of their input, so rows that
+    are already NFC (or not selected by ``only``) reach the UDF as a null,
+    which costs a validity bit in Arrow; their value passes through."""
+    needs = ~c.rlike(_NFC_STABLE)
+    if only is not None:
+        needs = only & needs
+    return F.coalesce(_nfc_arrow(F.when(needs, c)), c)
+
+
+def dedup_key(stripped: Column, only: Column | None = None) -> Column:
+    """MD5 hex of NFC(lower(strip(text))); lower-casing comes before NFC.
+    With ``only``, rows outside it get a null key and never reach Python."""
+    key = F.md5(nfc(F.lower(py_strip(stripped)), only))
+    return key if only is None else F.when(only, key)
 
 
 def split_lines(c: Column) -> Column:

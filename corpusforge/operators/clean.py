@@ -47,7 +47,27 @@ def reject_reason(ko_raw: Column, en_raw: Column, cfg: FilterCfg) -> tuple[Colum
 
 def apply_waterfall(pairs: DataFrame, cfg: FilterCfg = FilterCfg()) -> DataFrame:
     """pairs(source, priority, ord, ko_raw, en_raw, score, ...) ->
-    (..., ko, en, reason) with ko/en stripped; raw columns dropped."""
-    ko, en, reason = reject_reason(F.col("ko_raw"), F.col("en_raw"), cfg)
+    (..., ko, en, reason) with ko/en stripped; raw columns dropped.
+
+    Stripping is its own projection: the optimizer keeps a non-trivial
+    expression that is used several times above it from being inlined, so
+    each side is stripped once per row."""
     keep = [c for c in pairs.columns if c not in ("ko_raw", "en_raw")]
-    return pairs.select(*keep, ko.alias("ko"), en.alias("en"), reason.alias("reason"))
+    stripped = pairs.select(
+        *keep,
+        F.col("ko_raw").isNull().alias("_cf_kn"),
+        F.col("en_raw").isNull().alias("_cf_en"),
+        py_strip(F.col("ko_raw")).alias("ko"),
+        py_strip(F.col("en_raw")).alias("en"),
+    )
+    reason = F.coalesce(
+        F.when(F.col("_cf_kn") | F.col("_cf_en"), F.lit("schema")),
+        F.when((F.length("ko") == 0) | (F.length("en") == 0), F.lit("empty")),
+        F.when(~has_script(F.col("ko"), cfg.src_pattern), F.lit("not_ko")),
+        F.when(
+            ~(has_script(F.col("en"), cfg.tgt_pattern) & ~has_script(F.col("en"), cfg.src_pattern)),
+            F.lit("not_en"),
+        ),
+        length_reason(F.col("ko"), F.col("en"), cfg),
+    )
+    return stripped.select(*keep, "ko", "en", reason.alias("reason"))

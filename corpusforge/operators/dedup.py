@@ -22,9 +22,7 @@ from ..functions.text import dedup_key
 def with_dedup_key(df: DataFrame, text_col: str = "ko") -> DataFrame:
     """key = md5(NFC(lower(strip(text)))), only for rows still passing.
     The NFC UDF sees nothing from rejected rows (their key is null)."""
-    return df.withColumn(
-        "dkey", F.when(F.col("reason").isNull(), dedup_key(F.col(text_col)))
-    )
+    return df.withColumn("dkey", dedup_key(F.col(text_col), only=F.col("reason").isNull()))
 
 
 def winner_ids(keyed: DataFrame) -> DataFrame:
@@ -37,9 +35,11 @@ def winner_ids(keyed: DataFrame) -> DataFrame:
     )
 
 
-def annotate_duplicates(checked: DataFrame, text_col: str = "ko") -> DataFrame:
-    """D2 annotating form: reason becomes 'dup' for claimants that lost."""
-    keyed = with_dedup_key(checked, text_col)
+def annotate_duplicates(checked: DataFrame, text_col: str = "ko", keyed: bool = False) -> DataFrame:
+    """D2 annotating form: reason becomes 'dup' for claimants that lost.
+    ``keyed=True`` when ``checked`` already has ``dkey`` (e.g. a materialised
+    frame, so the text work is not redone for the two consumers)."""
+    keyed = checked if keyed else with_dedup_key(checked, text_col)
     wins = winner_ids(keyed)
     joined = keyed.join(wins, ["priority", "ord"], "left")
     return joined.withColumn(

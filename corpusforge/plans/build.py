@@ -12,13 +12,13 @@ without recomputing the dedup, and an executor loss never replays it.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import apply_waterfall
-from ..operators.dedup import annotate_duplicates
+from ..operators.dedup import annotate_duplicates, with_dedup_key
 from ..operators.score import apply_score_cut, score_distribution
 from ..operators.split import exact_split
 from ..operators.stats import final_distribution, source_stats, totals
@@ -46,9 +46,12 @@ def build_corpus(
     checkpoint: bool = True,
 ) -> BuildResult:
     """pairs(source, priority, ord, ko_raw, en_raw, score) -> BuildResult."""
-    annotated = annotate_duplicates(apply_waterfall(pairs, cfg))
+    keyed = with_dedup_key(apply_waterfall(pairs, cfg))
     if checkpoint:
-        annotated = cut_lineage(annotated)
+        # text work (strip, regex tests, NFC, md5) runs once; dedup, counters,
+        # order statistics and the split all read the written table
+        keyed = cut_lineage(keyed, "annotated")
+    annotated = annotate_duplicates(keyed, keyed=True)
     passed = annotated.where(F.col("reason").isNull())
     before_cut = passed.count()
     after_cut, cutoff = apply_score_cut(passed, drop_bottom_score_pct)
@@ -114,5 +117,3 @@ def build_dataset(
     stats_df.coalesce(1).write.mode("overwrite").text(f"{out_dir}/stage_stats")
     return stats
 
-
-__all__ = ["BuildResult", "build_corpus", "build_stats", "build_dataset", "asdict"]

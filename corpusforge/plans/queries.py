@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import apply_waterfall
-from ..operators.dedup import annotate_duplicates, dedup_winners
+from ..operators.dedup import annotate_duplicates, dedup_winners, with_dedup_key
+from ..session import balanced, cut_lineage
 from ..operators.score import apply_score_cut, score_distribution
 from ..operators.split import exact_split, shuffle_key
 from ..operators.stats import outcome_counts
@@ -22,7 +23,10 @@ from .registry import (
 
 
 def doc_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotate_duplicates(apply_waterfall(doc_pairs(spark, sf_dir), DOC_CFG))
+    """Waterfall + key computed once into the shared checkpoint folder; the
+    dedup aggregate and the outcome counts then read narrow columns of it."""
+    keyed = cut_lineage(with_dedup_key(apply_waterfall(doc_pairs(spark, sf_dir), DOC_CFG)), "doc_keyed")
+    return annotate_duplicates(keyed, keyed=True)
 
 
 # ------------------------------------------------------------ clean_stats
@@ -132,7 +136,7 @@ from ..functions.text import LATIN, LINE_BREAK  # noqa: E402
 def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 on the test data: each user turn with the assistant turn right after
     it in the same conversation -> (conv_id, turn, src, tgt)."""
-    c = table(spark, sf_dir, "conversations")
+    c = balanced(table(spark, sf_dir, "conversations"))
     user = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("src"))
     asst = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt")
@@ -212,9 +216,7 @@ def _built_sql() -> str:
 
 
 def doc_build(spark: SparkSession, sf_dir: str):
-    return build_corpus(
-        labeled_doc_pairs(spark, sf_dir), DOC_CFG, BUILD_CUT_PCT, VAL_FRACTION, SEED, checkpoint=False
-    )
+    return build_corpus(labeled_doc_pairs(spark, sf_dir), DOC_CFG, BUILD_CUT_PCT, VAL_FRACTION, SEED)
 
 
 @register(
@@ -477,7 +479,7 @@ def sft_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------- bleu_13a / bleu_char / chrf
 def doc_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ref = document text, hypothesis = text with 'the' replaced by 'a'."""
-    d = table(spark, sf_dir, "documents")
+    d = balanced(table(spark, sf_dir, "documents"))
     return d.select(F.col("text").alias("ref"), F.replace(F.col("text"), F.lit("the"), F.lit("a")).alias("pred"))
 
 

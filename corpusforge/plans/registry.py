@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LATIN, WHITESPACE
+from ..session import balanced
 from ..sources.specs import FilterCfg
 
 # Adapter patterns for the Latin-script test tables (parameters, not reference values).
@@ -52,7 +53,7 @@ def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as a multi-source parallel corpus: one source per
     ``srcN`` (priority N), ordinal doc_id, ko = text, en = text without
     non-ASCII characters."""
-    d = table(spark, sf_dir, "documents")
+    d = balanced(table(spark, sf_dir, "documents"))
     return d.select(
         "source",
         F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("priority"),

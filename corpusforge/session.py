@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,7 +56,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "stage"):
+    """Write ``df`` once as a parquet table in the shared checkpoint folder and
+    read it back. The plan above it runs exactly once (``Dataset.checkpoint``
+    would compute it twice without a cache), later passes read only the
+    columns they need, and a lost executor never replays the lineage."""
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark).rstrip("/")
+    path = f"{folder}/corpusforge-{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
+
+
+def balanced(df, min_partitions: int | None = None):
+    """Spread a scan over at least ``min_partitions`` tasks before CPU-heavy
+    narrow work. Large inputs already have many file splits and pass
+    through untouched; a small file with one row group would otherwise run
+    all its regex and UDF work in a single task."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

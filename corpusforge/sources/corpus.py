@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import balanced
 from .specs import SourceSpec
 
 PAIR_COLUMNS = ("source", "priority", "ord", "ko_raw", "en_raw", "score")
@@ -139,8 +140,9 @@ def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:
-    """Union of projected sources; the priority column keeps order."""
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    """Union of projected sources; the priority column keeps order
+    (rows carry their own ordinal, so later repartitioning is harmless)."""
+    return balanced(reduce(lambda a, b: a.unionByName(b), frames))
 
 
 def load_catalogue(
