@@ -83,6 +83,8 @@ def order_statistics(
         out: list[GroupStats] = []
         targets: list[_Target] = []
         for r in base:
+            if not r["_n"]:  # a global aggregate over no rows still yields one row
+                continue
             g = tuple(r[c] for c in group_cols)
             gs = GroupStats(g, r["_n"], r["_lo"], r["_hi"])
             out.append(gs)

@@ -73,7 +73,7 @@ def build_corpus(
 def build_stats(result: BuildResult, max_per_source: int | None = None) -> dict:
     """K2: the stats document. Only aggregate rows reach the driver."""
     per_source = {
-        r["source"]: {"loaded": r["loaded"], "passed": r["passed"], "rejected": dict(r["rejected"])}
+        r["source"]: {"loaded": r["loaded"], "passed": r["passed"], "rejected": dict(sorted(r["rejected"].items()))}
         for r in source_stats(result.annotated).collect()
     }
     scored = result.annotated.where(F.col("reason").isNull() & F.col("score").isNotNull())
