@@ -27,8 +27,10 @@ def with_dedup_key(df: DataFrame, text_col: str = "ko") -> DataFrame:
 
 def winner_ids(keyed: DataFrame) -> DataFrame:
     """(priority, ord) of the winning row of each key."""
+    # filter on reason, not on dkey: a predicate on dkey would be pushed
+    # below the projection and run the NFC UDF a second time
     return (
-        keyed.where(F.col("dkey").isNotNull())
+        keyed.where(F.col("reason").isNull())
         .groupBy("dkey")
         .agg(F.min(F.struct("priority", "ord")).alias("w"))
         .select(F.col("w.priority").alias("priority"), F.col("w.ord").alias("ord"), F.lit(True).alias("_cf_win"))
@@ -53,7 +55,7 @@ def annotate_duplicates(checked: DataFrame, text_col: str = "ko", keyed: bool =
 def dedup_winners(checked: DataFrame, payload: list[str], text_col: str = "ko") -> DataFrame:
     """D2 filter form: surviving rows only, no join. ``payload`` columns ride
     along inside the min(struct) so the winner's full row comes out."""
-    keyed = with_dedup_key(checked, text_col).where(F.col("dkey").isNotNull())
+    keyed = with_dedup_key(checked.where(F.col("reason").isNull()), text_col)
     cols = ["priority", "ord"] + [c for c in payload if c not in ("priority", "ord")]
     agg = keyed.groupBy("dkey").agg(F.min(F.struct(*cols)).alias("w"))
     return agg.select("dkey", *[F.col(f"w.{c}").alias(c) for c in cols])
