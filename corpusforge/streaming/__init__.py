@@ -1,0 +1,9 @@
+"""Streaming.
+
+The reference reads its corpora lazily ("streaming" reads of bounded
+datasets) but has no unbounded input, event time, watermark or state, so
+there is no Structured Streaming operator to rebuild. Ordinary lazy
+``spark.read`` covers the lazy bounded read. The row-local operators
+(``operators.clean.apply_waterfall``, the scalar text functions) are
+stateless and also work unchanged on a ``readStream`` DataFrame.
+"""
