@@ -73,8 +73,9 @@ def balanced(df, min_partitions: int | None = None):
     narrow work. Large inputs already have many file splits and pass
     through untouched; a small file with one row group would otherwise run
     all its regex and UDF work in a single task."""
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: leave planning to AQE
         return df
-    return df.repartition(want)
+    return df if have >= want else df.repartition(want)
