@@ -366,7 +366,7 @@ def _lines_sql(side: str, pair_expr: str, col: str) -> str:
     f"""
     WITH l AS ({_lines_sql('l', 'doc_id', 'src_line')}),
          r AS ({_lines_sql('r', 'doc_id - 1', 'tgt_line')})
-    SELECT coalesce(l.pair_id, r.pair_id) AS pair_id, coalesce(l.pos, r.pos) AS pos,
+    SELECT coalesce(l.pair_id, r.pair_id) AS pair_id, CAST(coalesce(l.pos, r.pos) AS INTEGER) AS pos,
            src_line, tgt_line, (l.pair_id IS NULL OR r.pair_id IS NULL) AS one_sided
     FROM l FULL OUTER JOIN r ON l.pair_id = r.pair_id AND l.pos = r.pos""",
 )
