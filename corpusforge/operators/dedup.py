@@ -52,10 +52,11 @@ def annotate_duplicates(checked: DataFrame, text_col: str = "ko", keyed: bool =
     ).drop("_cf_win")
 
 
-def dedup_winners(checked: DataFrame, payload: list[str], text_col: str = "ko") -> DataFrame:
+def dedup_winners(checked: DataFrame, payload: list[str], text_col: str = "ko", keyed: bool = False) -> DataFrame:
     """D2 filter form: surviving rows only, no join. ``payload`` columns ride
     along inside the min(struct) so the winner's full row comes out."""
-    keyed = with_dedup_key(checked.where(F.col("reason").isNull()), text_col)
+    passing = checked.where(F.col("reason").isNull())
+    keyed = passing if keyed else with_dedup_key(passing, text_col)
     cols = ["priority", "ord"] + [c for c in payload if c not in ("priority", "ord")]
     agg = keyed.groupBy("dkey").agg(F.min(F.struct(*cols)).alias("w"))
     return agg.select("dkey", *[F.col(f"w.{c}").alias(c) for c in cols])

@@ -14,7 +14,25 @@ def outcome_counts(annotated: DataFrame) -> DataFrame:
 def source_stats(annotated: DataFrame) -> DataFrame:
     """A1: (source, loaded, passed, rejected MAP<reason, n>) with only non-zero
     reasons, keys sorted. Invariant: loaded = passed + sum(rejected)."""
-    counts = outcome_counts(annotated)
+    return source_stats_from_counts(outcome_counts(annotated))
+
+
+def outcome_counts_from_winners(keyed: DataFrame, winners: DataFrame) -> DataFrame:
+    """(source, reason, n) including 'dup' without joining rows back: per
+    source, dup = rows that passed every row test - rows that won their key.
+    ``keyed`` holds pre-dedup reasons; ``winners`` one row per key."""
+    pre = outcome_counts(keyed)
+    won = winners.groupBy("source").agg(F.count(F.lit(1)).alias("_cf_won"))
+    passed = pre.where(F.col("reason").isNull()).join(won, "source", "left")
+    dup = passed.select("source", F.lit("dup").alias("reason"),
+                        (F.col("n") - F.coalesce("_cf_won", F.lit(0))).alias("n"))
+    kept = passed.select("source", F.lit(None).cast("string").alias("reason"),
+                         F.coalesce("_cf_won", F.lit(0)).alias("n"))
+    return pre.where(F.col("reason").isNotNull()).unionByName(dup).unionByName(kept).where(F.col("n") > 0)
+
+
+def source_stats_from_counts(counts: DataFrame) -> DataFrame:
+    """A1 from (source, reason, n) rows."""
     rejected = F.map_from_entries(
         F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n"))))
     )

@@ -2,11 +2,10 @@
 -> per-source score distribution -> bottom-percent score cut -> exact seeded
 split -> JSONL + stats.
 
-Shuffles: one exchange on the dedup key (aggregate with map-side combine),
-one join on the unique row id to mark losers, and small aggregates for the
-order statistics and counters. The annotated frame is written once to the
-shared checkpoint folder so the counters, the cut and the split all read it
-without recomputing the dedup, and an executor loss never replays it.
+Shuffles: one exchange on the dedup key (aggregate with map-side combine)
+and small aggregates for the order statistics and counters; no row-level
+join. The keyed frame is written once to the shared checkpoint folder so the
+text work never runs twice and an executor loss never replays it.
 """
 
 from __future__ import annotations
@@ -14,14 +13,15 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import apply_waterfall
-from ..operators.dedup import annotate_duplicates, with_dedup_key
+from ..operators.dedup import annotate_duplicates, dedup_winners, with_dedup_key
 from ..operators.score import apply_score_cut, score_distribution
 from ..operators.split import exact_split
-from ..operators.stats import final_distribution, source_stats, totals
+from ..operators.stats import final_distribution, outcome_counts_from_winners, source_stats_from_counts, totals
 from ..session import cut_lineage
 from ..sources.corpus import load_catalogue
 from ..sources.jsonl import write_jsonl
@@ -30,12 +30,23 @@ from ..sources.specs import FilterCfg, SourceSpec
 
 @dataclass
 class BuildResult:
-    annotated: DataFrame  # every loaded row with its outcome (reason null = kept)
+    keyed: DataFrame  # every loaded row: stripped sides, pre-dedup reason, dkey
+    counts: DataFrame  # (source, reason, n) with 'dup'; reason null = kept
+    winners: DataFrame  # kept rows before the score cut (one per key)
     kept: DataFrame  # rows after the score cut, with shuffle_key and split
     before_cut: int
     cutoff: float | None
     config: dict
 
+    @property
+    def annotated(self) -> DataFrame:
+        """Every row with its final outcome ('dup' included); lazy, and the
+        only consumer of the join back on the row id."""
+        return annotate_duplicates(self.keyed, keyed=True)
+
+
+PAYLOAD = ["source", "ko", "en", "score"]
+
 
 def build_corpus(
     pairs: DataFrame,
@@ -45,16 +56,19 @@ def build_corpus(
     seed: int = 42,
     checkpoint: bool = True,
 ) -> BuildResult:
-    """pairs(source, priority, ord, ko_raw, en_raw, score) -> BuildResult."""
+    """pairs(source, priority, ord, ko_raw, en_raw, score) -> BuildResult.
+
+    Plan: one narrow pass (waterfall + key) written to the shared checkpoint
+    folder; one aggregate on the key keeps the winners with their payload
+    (partial aggregation, skew-safe) and is persisted; counters, order
+    statistics, the cut and the split then read those. No row-level join."""
     keyed = with_dedup_key(apply_waterfall(pairs, cfg))
     if checkpoint:
-        # text work (strip, regex tests, NFC, md5) runs once; dedup, counters,
-        # order statistics and the split all read the written table
-        keyed = cut_lineage(keyed, "annotated")
-    annotated = annotate_duplicates(keyed, keyed=True)
-    passed = annotated.where(F.col("reason").isNull())
-    before_cut = passed.count()
-    after_cut, cutoff = apply_score_cut(passed, drop_bottom_score_pct)
+        keyed = cut_lineage(keyed, "keyed")
+    winners = dedup_winners(keyed, PAYLOAD, keyed=True).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = outcome_counts_from_winners(keyed, winners)
+    before_cut = winners.count()
+    after_cut, cutoff = apply_score_cut(winners, drop_bottom_score_pct)
     n_after = before_cut if cutoff is None else after_cut.count()
     kept = exact_split(after_cut, "dkey", val_fraction, seed, n=n_after)
     config = {
@@ -67,19 +81,18 @@ def build_corpus(
         "ratio_min": cfg.ratio_min,
         "ratio_max": cfg.ratio_max,
     }
-    return BuildResult(annotated, kept, before_cut, cutoff, config)
+    return BuildResult(keyed, counts, winners, kept, before_cut, cutoff, config)
 
 
 def build_stats(result: BuildResult, max_per_source: int | None = None) -> dict:
     """K2: the stats document. Only aggregate rows reach the driver."""
     per_source = {
         r["source"]: {"loaded": r["loaded"], "passed": r["passed"], "rejected": dict(sorted(r["rejected"].items()))}
-        for r in source_stats(result.annotated).collect()
+        for r in source_stats_from_counts(result.counts).collect()
     }
-    scored = result.annotated.where(F.col("reason").isNull() & F.col("score").isNotNull())
     dist = {
         r["source"]: {k: r[k] for k in ("n", "min", "p10", "median", "p90", "max")}
-        for r in score_distribution(scored).collect()
+        for r in score_distribution(result.winners.where(F.col("score").isNotNull())).collect()
     }
     final = {r["source"]: r["n"] for r in final_distribution(result.kept).collect()}
     tot = totals(result.before_cut, result.kept).first().asDict()

@@ -11,7 +11,7 @@ from ..operators.dedup import annotate_duplicates, dedup_winners, with_dedup_key
 from ..session import balanced, cut_lineage
 from ..operators.score import apply_score_cut, score_distribution
 from ..operators.split import exact_split, shuffle_key
-from ..operators.stats import outcome_counts
+from ..operators.stats import outcome_counts, outcome_counts_from_winners
 from .registry import (
     DOC_CFG,
     DOC_PAIRS_SQL,
@@ -22,11 +22,10 @@ from .registry import (
 )
 
 
-def doc_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waterfall + key computed once into the shared checkpoint folder; the
     dedup aggregate and the outcome counts then read narrow columns of it."""
-    keyed = cut_lineage(with_dedup_key(apply_waterfall(doc_pairs(spark, sf_dir), DOC_CFG)), "doc_keyed")
-    return annotate_duplicates(keyed, keyed=True)
+    return cut_lineage(with_dedup_key(apply_waterfall(doc_pairs(spark, sf_dir), DOC_CFG)), "doc_keyed")
 
 
 # ------------------------------------------------------------ clean_stats
@@ -39,7 +38,8 @@ def doc_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM a GROUP BY 1, 2""",
 )
 def clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = outcome_counts(doc_annotated(spark, sf_dir))
+    keyed = doc_keyed(spark, sf_dir)
+    counts = outcome_counts_from_winners(keyed, dedup_winners(keyed, ["source"], keyed=True))
     return counts.select("source", F.coalesce("reason", F.lit("passed")).alias("reason"), "n")
 
 

@@ -13,6 +13,8 @@ from ..session import balanced
 from .specs import SourceSpec
 
 PAIR_COLUMNS = ("source", "priority", "ord", "ko_raw", "en_raw", "score")
+# split-offset tables up to this many rows (~200 bytes each) are broadcast
+BROADCAST_SPLITS = 1_000_000
 
 
 # ----------------------------------------------------------------- ordinals
@@ -47,7 +49,12 @@ def with_file_ordinal(df: DataFrame, name: str = "ord", expand=None) -> DataFram
         "_cf_m0",
         F.coalesce(F.sum("_cf_n").over(order), F.lit(0)).alias("_cf_off"),
     )
-    out = tagged.join(offsets, ["_cf_file", "_cf_block"]).withColumn(
+    # one row per file split: about 800k rows for 100 TB at 128 MB splits.
+    # Count it first; broadcast below a proven bound, shuffle-join above it.
+    offsets = offsets.persist()
+    n_splits = offsets.count()
+    side = F.broadcast(offsets) if n_splits <= BROADCAST_SPLITS else offsets
+    out = tagged.join(side, ["_cf_file", "_cf_block"]).withColumn(
         name, F.col("_cf_off") + F.col("_cf_mid") - F.col("_cf_m0")
     )
     return out.drop("_cf_file", "_cf_block", "_cf_mid", "_cf_m0", "_cf_off")
