@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import WHITESPACE, py_split, py_strip, remove_whitespace
+from ..functions.text import WHITESPACE, py_split
 
 BLEU_ORDER = 4
 CHRF_ORDER = 6

@@ -6,19 +6,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import py_round
+from ..functions.text import LATIN, LINE_BREAK, WHITESPACE
+from ..operators import chat, infer, metrics, report, validate
+from ..operators.align import align_by_position, lines_with_position
 from ..operators.clean import apply_waterfall
 from ..operators.dedup import annotate_duplicates, dedup_winners, with_dedup_key
-from ..session import balanced, cut_lineage
 from ..operators.score import apply_score_cut, score_distribution
-from ..operators.split import exact_split, shuffle_key
-from ..operators.stats import outcome_counts, outcome_counts_from_winners
+from ..operators.split import exact_split
+from ..operators.stats import final_distribution, outcome_counts_from_winners, totals
+from ..session import balanced, cut_lineage
+from ..sources.corpus import first_n_per_group, get_field, get_score
+from ..sources.jsonl import required_columns
+from ..sources.specs import TestsetBounds
+from .build import build_corpus
 from .registry import (
+    ACCENTED,
     DOC_CFG,
     DOC_PAIRS_SQL,
+    NON_ASCII,
     annotated_sql,
+    doc_pairs,
     register,
+    strip_sql,
     table,
-    doc_pairs,
 )
 
 
@@ -121,16 +132,6 @@ def q_exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ===================================================== conversation pairs
-from ..functions.text import split_lines  # noqa: E402
-from ..operators import chat, infer, metrics, report, validate  # noqa: E402
-from ..operators.align import align_by_position, lines_with_position  # noqa: E402
-from ..operators.score import score_cutoff  # noqa: E402
-from ..operators.stats import final_distribution, totals  # noqa: E402
-from ..plans.build import build_corpus  # noqa: E402
-from ..sources.corpus import first_n_per_group, get_field, get_score  # noqa: E402
-from ..sources.specs import TestsetBounds  # noqa: E402
-from .registry import ACCENTED, NON_ASCII, strip_sql, waterfall_sql  # noqa: E402
-from ..functions.text import LATIN, LINE_BREAK  # noqa: E402
 
 
 def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,8 +449,6 @@ def schema_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
 )
 def jsonl_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.jsonl import required_columns
-
     ev = table(spark, sf_dir, "events")
     m = F.from_json(F.col("props"), "map<string,string>", {"mode": "FAILFAST"})
     parsed = ev.select("event_id", m.alias("m"))
@@ -484,14 +483,10 @@ def doc_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rstrip_sql(x: str) -> str:
-    from ..functions.text import WHITESPACE
-
     return f"regexp_replace({x}, '{WHITESPACE}+$', '', 'g')"
 
 
 def _ws_split_sql(x: str) -> str:
-    from ..functions.text import WHITESPACE
-
     return f"list_filter(regexp_split_to_array({strip_sql(x)}, '{WHITESPACE}+'), lambda t: length(t) > 0)"
 
 
@@ -513,8 +508,6 @@ def _tok13a_sql(x: str) -> str:
 
 
 def _tokchar_sql(x: str) -> str:
-    from ..functions.text import WHITESPACE
-
     return f"regexp_extract_all({_rstrip_sql(x)}, '[^{WHITESPACE[1:-1]}]')"
 
 
@@ -524,8 +517,6 @@ def _bleu_sql(tok, chars: bool = False) -> str:
     than list slices)."""
     orders = "range(1, 5) o(n)"
     if chars:
-        from ..functions.text import WHITESPACE
-
         joined = lambda x: f"regexp_replace({x}, '{WHITESPACE}+', '', 'g')"
         gram = "substring({s}, i, n)"
         src = f"{joined('pred')} AS hs, {joined('text')} AS rs, {tok('pred')} AS h, {tok('text')} AS r"
@@ -569,8 +560,6 @@ def _bleu_sql(tok, chars: bool = False) -> str:
 
 
 def _bleu_query(spark: SparkSession, sf_dir: str, tok: str) -> DataFrame:
-    from ..functions.numeric import py_round
-
     stats = metrics.bleu_stats(doc_eval(spark, sf_dir), "pred", "ref", tok)
     return stats.select("*", py_round(metrics.bleu_score(stats), 2).alias("bleu"))
 
@@ -586,8 +575,6 @@ def bleu_char(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chrf_sql() -> str:
-    from ..functions.text import WHITESPACE
-
     nows = lambda x: f"regexp_replace({x}, '{WHITESPACE}+', '', 'g')"
     cols_m = ", ".join(f"coalesce((SELECT m FROM m WHERE n = {n}), 0)::BIGINT AS m{n}" for n in range(1, 7))
     cols_h = ", ".join(f"(SELECT h FROM t WHERE n = {n})::BIGINT AS h{n}" for n in range(1, 7))
@@ -618,8 +605,6 @@ def _chrf_sql() -> str:
 
 @register("chrf", "A9", _chrf_sql())
 def chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.numeric import py_round
-
     stats = metrics.chrf_stats(doc_eval(spark, sf_dir), "pred", "ref")
     return stats.select("*", py_round(metrics.chrf_score(), 2).alias("chrf"))
 

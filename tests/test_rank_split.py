@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.operators.rank import kth_smallest_hex, order_statistics
 from corpusforge.operators.score import apply_score_cut, score_distribution
-from corpusforge.operators.split import exact_split, shuffle_key, val_size
+from corpusforge.operators.split import exact_split, val_size
 
 
 def ref_dist(scores):

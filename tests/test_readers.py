@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.sources.corpus import first_n, load_catalogue, with_file_ordinal
 from corpusforge.sources.jsonl import read_jsonl, read_required_jsonl, write_jsonl
-from corpusforge.sources.lines import load_eval_pairs, read_lines, read_parallel_lines
+from corpusforge.sources.lines import load_eval_pairs, read_lines
 from corpusforge.sources.specs import SourceSpec
 
 
