@@ -25,14 +25,22 @@ def with_dedup_key(df: DataFrame, text_col: str = "ko") -> DataFrame:
     return df.withColumn("dkey", dedup_key(F.col(text_col), only=F.col("reason").isNull()))
 
 
+def _claim(cols: list[str]):
+    """min over claimants only: rejected rows carry a null key and a null
+    struct, so they all meet in the null-key group, which partial aggregation
+    folds to one row per task and which is dropped after the aggregate by a
+    test on the aggregated value ``w``. (A predicate on ``reason`` or on the
+    grouping key would be pushed down through the projections into the scan,
+    with the waterfall and the UDF inlined and computed a second time.)"""
+    return F.min(F.when(F.col("dkey").isNotNull(), F.struct(*cols))).alias("w")
+
+
 def winner_ids(keyed: DataFrame) -> DataFrame:
     """(priority, ord) of the winning row of each key."""
-    # filter on reason, not on dkey: a predicate on dkey would be pushed
-    # below the projection and run the NFC UDF a second time
     return (
-        keyed.where(F.col("reason").isNull())
-        .groupBy("dkey")
-        .agg(F.min(F.struct("priority", "ord")).alias("w"))
+        keyed.groupBy("dkey")
+        .agg(_claim(["priority", "ord"]))
+        .where(F.col("w").isNotNull())
         .select(F.col("w.priority").alias("priority"), F.col("w.ord").alias("ord"), F.lit(True).alias("_cf_win"))
     )
 
@@ -55,8 +63,7 @@ def annotate_duplicates(checked: DataFrame, text_col: str = "ko", keyed: bool =
 def dedup_winners(checked: DataFrame, payload: list[str], text_col: str = "ko", keyed: bool = False) -> DataFrame:
     """D2 filter form: surviving rows only, no join. ``payload`` columns ride
     along inside the min(struct) so the winner's full row comes out."""
-    passing = checked.where(F.col("reason").isNull())
-    keyed = passing if keyed else with_dedup_key(passing, text_col)
+    keyed = checked if keyed else with_dedup_key(checked, text_col)
     cols = ["priority", "ord"] + [c for c in payload if c not in ("priority", "ord")]
-    agg = keyed.groupBy("dkey").agg(F.min(F.struct(*cols)).alias("w"))
+    agg = keyed.groupBy("dkey").agg(_claim(cols)).where(F.col("w").isNotNull())
     return agg.select("dkey", *[F.col(f"w.{c}").alias(c) for c in cols])
