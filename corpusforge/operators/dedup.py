@@ -47,8 +47,9 @@ def winner_ids(keyed: DataFrame) -> DataFrame:
 
 def annotate_duplicates(checked: DataFrame, text_col: str = "ko", keyed: bool = False) -> DataFrame:
     """D2 annotating form: reason becomes 'dup' for claimants that lost.
-    ``keyed=True`` when ``checked`` already has ``dkey`` (e.g. a materialised
-    frame, so the text work is not redone for the two consumers)."""
+    ``keyed=True`` when ``checked`` already has ``dkey``. The keyed rows are
+    read twice (winners aggregate, join back), so pass a materialised frame
+    (``session.cut_lineage``) to run the text work and the UDF once."""
     keyed = checked if keyed else with_dedup_key(checked, text_col)
     wins = winner_ids(keyed)
     joined = keyed.join(wins, ["priority", "ord"], "left")

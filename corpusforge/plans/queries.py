@@ -181,7 +181,10 @@ def reject_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("src").alias("ko_raw"),
         F.col("tgt").alias("en_raw"),
     )
-    a = annotate_duplicates(apply_waterfall(p, DOC_CFG))
+    # the annotating form reads the keyed rows twice (winners + join back on
+    # the row id): write them once so the text work and the UDF run once
+    keyed = cut_lineage(with_dedup_key(apply_waterfall(p, DOC_CFG)), "conv_keyed")
+    a = annotate_duplicates(keyed, keyed=True)
     return a.select("conv_id", "turn", "reason", "dkey")
 
 
