@@ -62,7 +62,16 @@ def cut_lineage(df, name: str = "stage"):
     would compute it twice without a cache), later passes read only the
     columns they need, and a lost executor never replays the lineage."""
     spark = df.sparkSession
-    folder = checkpoint_dir(spark).rstrip("/")
+    try:
+        folder = checkpoint_dir(spark).rstrip("/")
+    except RuntimeError:
+        raise
+    except Exception:  # no SparkContext (e.g. Spark Connect): keep it on executors
+        from pyspark import StorageLevel
+
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.count()
+        return kept
     path = f"{folder}/corpusforge-{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)

@@ -56,6 +56,15 @@ def test_bleu_chrf_properties(spark):
     assert metrics.corpus_bleu(empty)["score"] == 0.0
 
 
+def test_brevity_penalty(spark):
+    import math
+
+    df = spark.createDataFrame([("a b c d e f", "a b c d e f g h i j")], "pred string, ref string")
+    got = metrics.corpus_bleu(df)
+    assert (got["sys_len"], got["ref_len"]) == (6, 10)
+    assert abs(got["score"] - 100 * math.exp(1 - 10 / 6)) < 1e-9
+
+
 def test_bleu_matches_brute_force(spark):
     rnd = random.Random(11)
     vocab = "the a cat dog sat on mat , . 3.5 x-ray 10-20 (yes) &amp; don't".split()
