@@ -119,11 +119,17 @@ def get_score(df: DataFrame, path: str | None) -> Column:
     if path is None:
         return F.lit(None).cast("double")
     col, dtype = _resolve(df.schema, path)
-    if col is None or not isinstance(dtype, (T.NumericType, T.BooleanType)):
+    if col is None or not isinstance(dtype, _PY_NUMBER_TYPES):
         return F.lit(None).cast("double")
     return col.cast("double")
 
 
+# types whose values arrive in Python as int, float or bool (decimals do not)
+_PY_NUMBER_TYPES = (
+    T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType,
+)
+
+
 def project_pairs(df: DataFrame, spec: SourceSpec, priority: int, ord_col: str = "ord") -> DataFrame:
     """Project one source to (source, priority, ord, ko_raw, en_raw, score)."""
     return df.select(
