@@ -68,6 +68,22 @@ def first_n(df: DataFrame, limit: int | None, ord_col: str = "ord") -> DataFrame
     return df.where(F.col(ord_col) < F.lit(int(limit)))
 
 
+def first_n_by(df: DataFrame, limit: int | None, ord_col: str) -> DataFrame:
+    """First ``limit`` rows by any unique sortable ordinal (not necessarily
+    dense, e.g. an id column): keep ord <= the limit-th smallest ordinal,
+    found exactly by histogram selection (no sort, no global window)."""
+    if limit is None:
+        return df
+    if limit <= 0:
+        return df.where(F.lit(False))
+    from ..operators.rank import order_statistics
+
+    stats = order_statistics(df, ord_col, [], lambda n: [("cut", min(int(limit), n) - 1)])
+    if not stats:
+        return df
+    return df.where(F.col(ord_col) <= F.lit(stats[0].values["cut"]))
+
+
 def first_n_at_least_one(df: DataFrame, limit: int, ord_col: str = "ord") -> DataFrame:
     """S3 / S5 cap: the loop appends before testing, so a cap <= 1 keeps one row."""
     return df.where(F.col(ord_col) < F.lit(max(int(limit), 1)))
@@ -164,6 +180,8 @@ def load_catalogue(
     """Read every source, cap each at ``limit`` rows, project, union."""
     frames = []
     for priority, spec in enumerate(specs):
-        raw = first_n(read_source(spark, spec), limit)
+        raw = read_source(spark, spec)
+        # file ordinals are dense (0..n-1); a given ordinal column may not be
+        raw = first_n(raw, limit) if spec.ordinal is None else first_n_by(raw, limit, "ord")
         frames.append(project_pairs(raw, spec, priority))
     return union_sources(frames)

@@ -103,3 +103,25 @@ def test_write_jsonl_omits_null_score(spark, tmp_dir):
     part = [f for f in os.listdir(f"{tmp_dir}/out") if f.startswith("part-")][0]
     lines = open(f"{tmp_dir}/out/{part}", encoding="utf-8").read().splitlines()
     assert lines == ['{"ko":"가","en":"a","source":"s"}', '{"ko":"나","en":"b","source":"s","score":0.5}']
+
+
+def test_parquet_ordinal_across_row_group_splits(spark, tmp_dir):
+    n = 50000
+    df = spark.range(n).select(F.col("id").alias("pos"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+    df.coalesce(1).write.option("parquet.block.size", 64 * 1024).parquet(f"{tmp_dir}/rg")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 * 1024))
+    try:
+        raw = spark.read.parquet(f"{tmp_dir}/rg")
+        assert raw.rdd.getNumPartitions() > 2
+        got = with_file_ordinal(raw).select("pos", "ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(r.pos == r.ord for r in got) and len(got) == n
+
+
+def test_first_n_by_sparse_ordinal(spark):
+    from corpusforge.sources.corpus import first_n_by
+
+    df = spark.createDataFrame([(i * 7 + 3,) for i in range(100)], "ord long")
+    assert sorted(r.ord for r in first_n_by(df, 5, "ord").collect()) == [3, 10, 17, 24, 31]
+    assert first_n_by(df, 0, "ord").count() == 0 and first_n_by(df, 500, "ord").count() == 100
