@@ -66,11 +66,12 @@ def has_script(c: Column, pattern: str) -> Column:
 
 
 def is_source_text(c: Column, src_pattern: str = HANGUL) -> Column:
+    """Has a source-script character (Hangul syllable by default)."""
     return has_script(c, src_pattern)
 
 
 def is_target_text(c: Column, tgt_pattern: str = LATIN, src_pattern: str = HANGUL) -> Column:
-    """Has a target-script letter and no source-script letter."""
+    """Has a target-script letter and no source-script letter."""
     return has_script(c, tgt_pattern) & ~has_script(c, src_pattern)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_script, py_strip
+from ..functions.text import is_source_text, is_target_text, py_strip
 from ..sources.specs import FilterCfg
 
 
@@ -25,26 +25,6 @@ def length_reason(ko: Column, en: Column, cfg: FilterCfg) -> Column:
     )
 
 
-def reject_reason(ko_raw: Column, en_raw: Column, cfg: FilterCfg) -> tuple[Column, Column, Column]:
-    """Return (ko, en, reason): stripped sides and the first failing test.
-
-    Order: schema, empty, not_ko, not_en, len_ko, len_en, ratio. Script tests
-    run on the stripped but not normalised text (decomposed Hangul is not_ko).
-    """
-    ko, en = py_strip(ko_raw), py_strip(en_raw)
-    reason = F.coalesce(
-        F.when(ko_raw.isNull() | en_raw.isNull(), F.lit("schema")),
-        F.when((F.length(ko) == 0) | (F.length(en) == 0), F.lit("empty")),
-        F.when(~has_script(ko, cfg.src_pattern), F.lit("not_ko")),
-        F.when(
-            ~(has_script(en, cfg.tgt_pattern) & ~has_script(en, cfg.src_pattern)),
-            F.lit("not_en"),
-        ),
-        length_reason(ko, en, cfg),
-    )
-    return ko, en, reason
-
-
 def apply_waterfall(pairs: DataFrame, cfg: FilterCfg = FilterCfg()) -> DataFrame:
     """pairs(source, priority, ord, ko_raw, en_raw, score, ...) ->
     (..., ko, en, reason) with ko/en stripped; raw columns dropped.
@@ -63,11 +43,8 @@ def apply_waterfall(pairs: DataFrame, cfg: FilterCfg = FilterCfg()) -> DataFrame
     reason = F.coalesce(
         F.when(F.col("_cf_kn") | F.col("_cf_en"), F.lit("schema")),
         F.when((F.length("ko") == 0) | (F.length("en") == 0), F.lit("empty")),
-        F.when(~has_script(F.col("ko"), cfg.src_pattern), F.lit("not_ko")),
-        F.when(
-            ~(has_script(F.col("en"), cfg.tgt_pattern) & ~has_script(F.col("en"), cfg.src_pattern)),
-            F.lit("not_en"),
-        ),
+        F.when(~is_source_text(F.col("ko"), cfg.src_pattern), F.lit("not_ko")),
+        F.when(~is_target_text(F.col("en"), cfg.tgt_pattern, cfg.src_pattern), F.lit("not_en")),
         length_reason(F.col("ko"), F.col("en"), cfg),
     )
     return stripped.select(*keep, "ko", "en", reason.alias("reason"))

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from ..session import balanced
 from .specs import SourceSpec
 
-PAIR_COLUMNS = ("source", "priority", "ord", "ko_raw", "en_raw", "score")
 # split-offset tables up to this many rows (~200 bytes each) are broadcast
 BROADCAST_SPLITS = 1_000_000
 
