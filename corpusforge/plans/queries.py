@@ -16,7 +16,7 @@ from ..operators.score import apply_score_cut, score_distribution
 from ..operators.split import exact_split
 from ..operators.stats import final_distribution, outcome_counts_from_winners, totals
 from ..session import balanced, cut_lineage
-from ..sources.corpus import first_n_per_group, get_field, get_score
+from ..sources.corpus import first_n, first_n_per_group, get_field, get_score, with_file_ordinal
 from ..sources.jsonl import required_columns
 from ..sources.specs import TestsetBounds
 from .build import build_corpus
@@ -666,3 +666,20 @@ def _stub_translate(batch: list[str]) -> list[str]:
 def batch_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = conv_pairs(spark, sf_dir).select("conv_id", "turn", "src")
     return infer.batch_predict(p, _stub_translate, "src", "pred", batch_size=4).select("conv_id", "turn", "pred")
+
+
+# ------------------------------------------------------------- first_n_scan
+FIRST_N = 500  # the cap is the operator (S1): first N rows in file order
+
+
+@register(
+    "first_n_scan",
+    "S1 W4",
+    f"""
+    SELECT ord, doc_id, source
+    FROM (SELECT row_number() OVER () - 1 AS ord, doc_id, source FROM documents)
+    WHERE ord < {FIRST_N}""",
+)
+def first_n_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = with_file_ordinal(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return first_n(d, FIRST_N).select("ord", "doc_id", "source")
