@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,9 @@ from ..operators.dedup import annotate_duplicates, dedup_winners, with_dedup_key
 from ..operators.score import apply_score_cut, score_distribution
 from ..operators.split import exact_split
 from ..operators.stats import final_distribution, outcome_counts_from_winners, totals
-from ..session import balanced, cut_lineage
+from ..session import balanced, checkpoint_dir, cut_lineage
 from ..sources.corpus import first_n, first_n_per_group, get_field, get_score, with_file_ordinal
-from ..sources.jsonl import required_columns
+from ..sources.jsonl import read_required_jsonl, required_columns, write_jsonl
 from ..sources.specs import TestsetBounds
 from .build import build_corpus
 from .registry import (
@@ -315,36 +317,47 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ----------------------------------------------------------- validate_issues
-def _issue_sql() -> str:
+def _testset_issue_sql(rows_sql: str, with_ord: bool = False) -> str:
+    """Oracle of V1-V5 over rows (id, ko, en[, ord])."""
     b = TestsetBounds()
+    # the first SELECT of each UNION names the column, the others follow it
+    ds_ord, ds_ord2 = (", NULL::BIGINT AS row_ord", ", NULL") if with_ord else ("", "")
+    row_ord, row_ord2 = (", ord AS row_ord", ", ord") if with_ord else ("", "")
     ratio = "CAST(length(en) AS DOUBLE) / greatest(length(ko), 1)"
     rng = f"[{float(b.ratio_min)!r}, {float(b.ratio_max)!r}]"
     return f"""
-    WITH t AS (SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS id, text AS ko,
-                      replace(text, 'the', 'a') AS en FROM documents),
+    WITH t AS ({rows_sql}),
     dups AS (
       SELECT 'dataset' AS scope, NULL::VARCHAR AS id, 'dup_id' AS "check", CAST(n AS DOUBLE) AS value,
-             'duplicate ids: ' || n AS message, NULL::BIGINT AS row_ord, 0 AS check_no
+             'duplicate ids: ' || n AS message{ds_ord}, 0 AS check_no
       FROM (SELECT count(*) - count(DISTINCT id) AS n FROM t) WHERE n > 0
       UNION ALL
-      SELECT 'dataset', NULL, 'dup_ko', CAST(n AS DOUBLE), 'duplicate korean sentences: ' || n, NULL, 1
+      SELECT 'dataset', NULL, 'dup_ko', CAST(n AS DOUBLE), 'duplicate korean sentences: ' || n{ds_ord2}, 1
       FROM (SELECT count(*) - count(DISTINCT ko) AS n FROM t) WHERE n > 0),
     rows AS (
       SELECT 'row' AS scope, id, 'len_ko' AS "check", CAST(length(ko) AS DOUBLE) AS value,
-             id || ': ko length out of range (' || length(ko) || ')' AS message, ord AS row_ord, 2 AS check_no
+             id || ': ko length out of range (' || length(ko) || ')' AS message{row_ord}, 2 AS check_no
       FROM t WHERE NOT (length(ko) BETWEEN {b.len_min} AND {b.len_max})
       UNION ALL
       SELECT 'row', id, 'len_en', CAST(length(en) AS DOUBLE),
-             id || ': en length out of range (' || length(en) || ')', ord, 3
+             id || ': en length out of range (' || length(en) || ')'{row_ord2}, 3
       FROM t WHERE NOT (length(en) BETWEEN {b.len_min} AND {b.len_max})
       UNION ALL
       SELECT 'row', id, 'ratio', {ratio},
-             id || ': en/ko length ratio ' || printf('%.2f', {ratio}) || ' out of {rng}', ord, 4
+             id || ': en/ko length ratio ' || printf('%.2f', {ratio}) || ' out of {rng}'{row_ord2}, 4
       FROM t WHERE NOT ({ratio} BETWEEN {b.ratio_min} AND {b.ratio_max}))
     SELECT * FROM dups UNION ALL SELECT * FROM rows"""
 
 
-@register("validate_issues", "V1-V5 D3", _issue_sql())
+@register(
+    "validate_issues",
+    "V1-V5 D3",
+    _testset_issue_sql(
+        """SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS id, text AS ko,
+                  replace(text, 'the', 'a') AS en FROM documents""",
+        with_ord=True,
+    ),
+)
 def validate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("ord"),
@@ -683,3 +696,30 @@ FIRST_N = 500  # the cap is the operator (S1): first N rows in file order
 def first_n_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = with_file_ordinal(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return first_n(d, FIRST_N).select("ord", "doc_id", "source")
+
+
+@register(
+    "testset_jsonl",
+    "K1 S6 V1-V5",
+    _testset_issue_sql(
+        f"""SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, src AS ko, tgt AS en
+            FROM ({CONV_PAIRS_SQL})"""
+    ),
+)
+def testset_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated test set round trip: conversation pairs written as JSON lines
+    (K1) into the shared checkpoint folder, read back through the
+    required-keys reader (S6), then validated (V1-V5)."""
+    p = conv_pairs(spark, sf_dir).select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.col("src").alias("ko"),
+        F.col("tgt").alias("en"),
+        F.lit("conversations").alias("source"),
+        F.lit("").alias("date"),
+        F.col("turn").cast("string").alias("category"),
+    )
+    path = f"{checkpoint_dir(spark).rstrip('/')}/corpusforge-testset-{uuid.uuid4().hex}"
+    write_jsonl(p, path)
+    rows = read_required_jsonl(spark, path)
+    issues = validate.validate_testset(rows, TestsetBounds(), ord_col="ord")
+    return issues.drop("row_ord")  # file order depends on the writer's part files
