@@ -20,6 +20,7 @@ from ..operators.stats import final_distribution, outcome_counts_from_winners, t
 from ..session import balanced, checkpoint_dir, cut_lineage
 from ..sources.corpus import first_n, first_n_per_group, get_field, get_score, with_file_ordinal
 from ..sources.jsonl import read_required_jsonl, required_columns, write_jsonl
+from ..sources.lines import read_parallel_lines
 from ..sources.specs import TestsetBounds
 from .build import build_corpus
 from .registry import (
@@ -723,3 +724,32 @@ def testset_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_required_jsonl(spark, path)
     issues = validate.validate_testset(rows, TestsetBounds(), ord_col="ord")
     return issues.drop("row_ord")  # file order depends on the writer's part files
+
+
+# ------------------------------------------------------- parallel_text_files
+@register(
+    "parallel_text_files",
+    "S7 J1",
+    f"""
+    WITH p AS (SELECT regexp_split_to_array(text || chr(10), '{LINE_BREAK}') AS parts FROM documents),
+    l AS (SELECT unnest(parts[1:len(parts) - 1]) AS line FROM p)
+    SELECT count(*) AS n_lines, count(*) AS n_equal,
+           CAST(sum(length(line)) AS BIGINT) AS src_chars
+    FROM l""",
+)
+def parallel_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 on real files: document texts and their 'the'->'a' variant written
+    as two line-oriented text files (one document after another, same
+    order), read back with the strict line aligner. Order-independent output:
+    every aligned pair must satisfy tgt == replace(src), so a misaligned
+    reader shows as n_equal < n_lines."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id")
+    base = f"{checkpoint_dir(spark).rstrip('/')}/corpusforge-lines-{uuid.uuid4().hex}"
+    d.select("text").write.text(f"{base}/ko")
+    d.select(F.replace(F.col("text"), F.lit("the"), F.lit("a"))).write.text(f"{base}/en")
+    pairs = read_parallel_lines(spark, f"{base}/ko", f"{base}/en")
+    return pairs.agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count(F.when(F.replace(F.col("ko"), F.lit("the"), F.lit("a")) == F.col("en"), 1)).alias("n_equal"),
+        F.sum(F.length("ko")).cast("bigint").alias("src_chars"),
+    )
