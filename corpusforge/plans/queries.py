@@ -19,7 +19,7 @@ from ..operators.split import exact_split
 from ..operators.stats import final_distribution, outcome_counts_from_winners, totals
 from ..session import balanced, checkpoint_dir, cut_lineage
 from ..sources.corpus import first_n, first_n_per_group, get_field, get_score, with_file_ordinal
-from ..sources.jsonl import read_required_jsonl, required_columns, write_jsonl
+from ..sources.jsonl import read_jsonl, read_required_jsonl, required_columns, write_jsonl
 from ..sources.lines import read_parallel_lines
 from ..sources.specs import TestsetBounds
 from .build import build_corpus
@@ -753,3 +753,24 @@ def parallel_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.when(F.replace(F.col("ko"), F.lit("the"), F.lit("a")) == F.col("en"), 1)).alias("n_equal"),
         F.sum(F.length("ko")).cast("bigint").alias("src_chars"),
     )
+
+
+# ------------------------------------------------------------ sft_from_jsonl
+@register(
+    "sft_from_jsonl",
+    "K1 S5 T2",
+    _built_sql()
+    + f"""
+    SELECT 0 AS pos, 'system' AS role, '{chat.DEFAULT_SYSTEM["ko2en"]}' AS content FROM s
+    UNION ALL SELECT 1, 'user', ko FROM s
+    UNION ALL SELECT 2, 'assistant', en FROM s""",
+)
+def sft_from_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§3.4 data half on the build output: kept rows written as JSON lines
+    (K1; a null score is omitted), read back with the clean-pair reader (S5),
+    turned into chat rows (T2), one output row per message."""
+    kept = doc_build(spark, sf_dir).kept
+    path = f"{checkpoint_dir(spark).rstrip('/')}/corpusforge-clean-{uuid.uuid4().hex}"
+    write_jsonl(kept.select("ko", "en", "source", "score"), path)
+    msgs = chat.sft_messages(read_jsonl(spark, path), "ko2en")
+    return msgs.select(F.posexplode("messages").alias("pos", "m")).select("pos", "m.role", "m.content")
