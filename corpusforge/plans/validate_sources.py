@@ -13,10 +13,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import py_round
 from ..functions.text import HANGUL, LATIN
 from ..operators.report import SAMPLE_LIMIT, probe_schema, sanity_ok
-from ..sources.corpus import first_n_at_least_one, get_field, with_file_ordinal
+from ..sources.corpus import first_n_at_least_one, get_field, head_files, with_file_ordinal
 from ..sources.specs import SourceSpec
 
 
@@ -47,7 +46,8 @@ def validate_one(spark: SparkSession, spec: SourceSpec, limit: int = SAMPLE_LIMI
         return info
     ko_path, en_path, desc = probe_schema(df.schema)
     try:
-        sample = first_n_at_least_one(with_file_ordinal(df), limit)
+        head = spark.read.format(spec.fmt).load(head_files(spark, spec.fmt, spec.path, limit) or spec.path)
+        sample = first_n_at_least_one(with_file_ordinal(head), limit)
         ko = get_field(sample, ko_path) if ko_path else F.lit(None).cast("string")
         en = get_field(sample, en_path) if en_path else F.lit(None).cast("string")
         rows = (
@@ -61,7 +61,7 @@ def validate_one(spark: SparkSession, spec: SourceSpec, limit: int = SAMPLE_LIMI
         return info
     samples = [{"ko": r.ko, "en": r.en, "ok": bool(r.ok)} for r in rows]
     n_ok = sum(s["ok"] for s in samples)
-    rate = spark.range(1).select(py_round(F.lit(n_ok) / F.lit(max(len(samples), 1)), 2)).first()[0]
+    rate = round(n_ok / max(len(samples), 1), 2)  # at most `limit` values, on the driver
     info.update(columns=df.columns, schema=desc, samples=samples, sanity_pass_rate=rate)
     info["status"] = "empty" if not samples else ("ok" if rate >= 0.5 else "low_sanity")
     return info

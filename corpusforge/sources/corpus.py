@@ -157,9 +157,28 @@ def project_pairs(df: DataFrame, spec: SourceSpec, priority: int, ord_col: str =
     )
 
 
-def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
-    reader = spark.read.format(spec.fmt)
-    df = reader.load(spec.path)
+def head_files(spark: SparkSession, fmt: str, path, limit: int) -> list[str]:
+    """The first files, in path order, that together hold at least ``limit``
+    rows. Files are counted in doubling batches (1, 2, 4, ...), so a cap of
+    a few rows on a 100 TB source touches one file, never every split."""
+    files = sorted(spark.read.format(fmt).load(path).inputFiles())
+    chosen: list[str] = []
+    total, i, step = 0, 0, 1
+    while total < max(limit, 1) and i < len(files):
+        batch = files[i:i + step]
+        total += spark.read.format(fmt).load(batch).count()
+        chosen += batch
+        i, step = i + step, step * 2
+    return chosen
+
+
+def read_source(spark: SparkSession, spec: SourceSpec, limit: int | None = None) -> DataFrame:
+    """Read a source with an ``ord`` column. With a file ordinal and a cap,
+    only the head files that can hold the first ``limit`` rows are read."""
+    path = spec.path
+    if spec.ordinal is None and limit is not None:
+        path = head_files(spark, spec.fmt, spec.path, limit) or spec.path
+    df = spark.read.format(spec.fmt).load(path)
     if spec.ordinal is None:
         df = with_file_ordinal(df)
     elif spec.ordinal != "ord":
@@ -179,7 +198,7 @@ def load_catalogue(
     """Read every source, cap each at ``limit`` rows, project, union."""
     frames = []
     for priority, spec in enumerate(specs):
-        raw = read_source(spark, spec)
+        raw = read_source(spark, spec, limit)
         # file ordinals are dense (0..n-1); a given ordinal column may not be
         raw = first_n(raw, limit) if spec.ordinal is None else first_n_by(raw, limit, "ord")
         frames.append(project_pairs(raw, spec, priority))

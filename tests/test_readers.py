@@ -125,3 +125,16 @@ def test_first_n_by_sparse_ordinal(spark):
     df = spark.createDataFrame([(i * 7 + 3,) for i in range(100)], "ord long")
     assert sorted(r.ord for r in first_n_by(df, 5, "ord").collect()) == [3, 10, 17, 24, 31]
     assert first_n_by(df, 0, "ord").count() == 0 and first_n_by(df, 500, "ord").count() == 100
+
+
+def test_head_files_reads_only_what_the_cap_needs(spark, tmp_dir):
+    from corpusforge.sources.corpus import head_files
+
+    for k in range(6):
+        spark.createDataFrame([(k * 10 + i,) for i in range(10)], "v int").coalesce(1).write.parquet(f"{tmp_dir}/h/part{k}")
+    files = sorted(spark.read.parquet(f"{tmp_dir}/h/part*").inputFiles())
+    assert head_files(spark, "parquet", f"{tmp_dir}/h/part*", 5) == files[:1]
+    assert head_files(spark, "parquet", f"{tmp_dir}/h/part*", 25) == files[:3]
+    spec = SourceSpec("h", f"{tmp_dir}/h/part*", ko_field="v", en_field="v")
+    cat = load_catalogue(spark, [spec], limit=25)
+    assert cat.count() == 25
