@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from .corpus import first_n_at_least_one, with_file_ordinal
+from .corpus import first_n_at_least_one, head_files, with_file_ordinal
 
 # Required keys of a curated test-set row (fixed values).
 TESTSET_FIELDS = ("id", "ko", "en", "source", "date", "category")
@@ -19,6 +19,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = CLEAN_PAIR_SCHEMA,
     malformed lines raise. ``limit`` counts non-blank rows and, as in the
     reference loop (test after append), ``limit=0`` still yields one row.
     Adds ``ord`` (0-based arrival order)."""
+    if limit is not None:  # only the head files that can hold the first rows
+        path = head_files(spark, "json", path, limit) or path
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     df = with_file_ordinal(df)
     if limit is None:
