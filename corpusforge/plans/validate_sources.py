@@ -46,7 +46,7 @@ def validate_one(spark: SparkSession, spec: SourceSpec, limit: int = SAMPLE_LIMI
         return info
     ko_path, en_path, desc = probe_schema(df.schema)
     try:
-        head = spark.read.format(spec.fmt).load(head_files(spark, spec.fmt, spec.path, limit) or spec.path)
+        head = spark.read.format(spec.fmt).load(head_files(spark, spec.fmt, spec.path, limit, spec.schema) or spec.path)
         sample = first_n_at_least_one(with_file_ordinal(head), limit)
         ko = get_field(sample, ko_path) if ko_path else F.lit(None).cast("string")
         en = get_field(sample, en_path) if en_path else F.lit(None).cast("string")

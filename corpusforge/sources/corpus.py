@@ -157,16 +157,23 @@ def project_pairs(df: DataFrame, spec: SourceSpec, priority: int, ord_col: str =
     )
 
 
-def head_files(spark: SparkSession, fmt: str, path, limit: int) -> list[str]:
+def _reader(spark: SparkSession, fmt: str, schema: str | None):
+    r = spark.read.format(fmt)
+    return r.schema(schema) if schema else r
+
+
+def head_files(spark: SparkSession, fmt: str, path, limit: int, schema: str | None = None) -> list[str]:
     """The first files, in path order, that together hold at least ``limit``
     rows. Files are counted in doubling batches (1, 2, 4, ...), so a cap of
-    a few rows on a 100 TB source touches one file, never every split."""
-    files = sorted(spark.read.format(fmt).load(path).inputFiles())
+    a few rows on a 100 TB source touches one file, never every split.
+    Pass ``schema`` for formats that would otherwise infer it from the data
+    (JSON): listing files must not scan them."""
+    files = sorted(_reader(spark, fmt, schema).load(path).inputFiles())
     chosen: list[str] = []
     total, i, step = 0, 0, 1
     while total < max(limit, 1) and i < len(files):
         batch = files[i:i + step]
-        total += spark.read.format(fmt).load(batch).count()
+        total += _reader(spark, fmt, schema).load(batch).count()
         chosen += batch
         i, step = i + step, step * 2
     return chosen
@@ -177,8 +184,8 @@ def read_source(spark: SparkSession, spec: SourceSpec, limit: int | None = None)
     only the head files that can hold the first ``limit`` rows are read."""
     path = spec.path
     if spec.ordinal is None and limit is not None:
-        path = head_files(spark, spec.fmt, spec.path, limit) or spec.path
-    df = spark.read.format(spec.fmt).load(path)
+        path = head_files(spark, spec.fmt, spec.path, limit, spec.schema) or spec.path
+    df = _reader(spark, spec.fmt, spec.schema).load(path)
     if spec.ordinal is None:
         df = with_file_ordinal(df)
     elif spec.ordinal != "ord":

@@ -20,7 +20,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = CLEAN_PAIR_SCHEMA,
     reference loop (test after append), ``limit=0`` still yields one row.
     Adds ``ord`` (0-based arrival order)."""
     if limit is not None:  # only the head files that can hold the first rows
-        path = head_files(spark, "json", path, limit) or path
+        path = head_files(spark, "json", path, limit, schema) or path
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     df = with_file_ordinal(df)
     if limit is None:

@@ -14,7 +14,8 @@ class SourceSpec:
     ``path`` is read with ``fmt`` (parquet, json, ...). ``ko_field`` /
     ``en_field`` / ``score_field`` are dotted paths into the row.
     ``ordinal`` names a column that gives arrival order; without one, order
-    comes from file position (see ``corpus.with_file_ordinal``).
+    comes from file position (see ``corpus.with_file_ordinal``). ``schema``
+    (DDL) avoids a data scan for schema inference on JSON sources.
     """
 
     name: str
@@ -24,6 +25,7 @@ class SourceSpec:
     en_field: str = "en"
     score_field: str | None = None
     ordinal: str | None = None
+    schema: str | None = None  # DDL; set it for JSON to skip schema inference
     license: str = "unknown"
     notes: str = ""
 
