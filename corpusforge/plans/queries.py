@@ -524,35 +524,58 @@ def _tok13a_sql(x: str) -> str:
     return _ws_split_sql(y)
 
 
-def _tokchar_sql(x: str) -> str:
-    return f"regexp_extract_all({_rstrip_sql(x)}, '[^{WHITESPACE[1:-1]}]')"
-
-
-def _bleu_sql(tok, chars: bool = False) -> str:
-    """Oracle for BLEU. With ``chars`` every token is one character, so the
-    n-grams are substrings of the whitespace-free text (much faster in DuckDB
-    than list slices)."""
-    orders = "range(1, 5) o(n)"
-    if chars:
-        joined = lambda x: f"regexp_replace({x}, '{WHITESPACE}+', '', 'g')"
-        gram = "substring({s}, i, n)"
-        src = f"{joined('pred')} AS hs, {joined('text')} AS rs, {tok('pred')} AS h, {tok('text')} AS r"
-        hgram, rgram, hsrc, rsrc = gram.format(s="hs"), gram.format(s="rs"), "hs", "rs"
-    else:
-        src = f"{tok('pred')} AS h, {tok('text')} AS r"
-        hgram, rgram, hsrc, rsrc = "array_to_string(h[i:i + n - 1], ' ')", "array_to_string(r[i:i + n - 1], ' ')", "h", "r"
+def _nows_sql(x: str) -> str:
+    return f"regexp_replace({x}, '{WHITESPACE}+', '', 'g')"
+
+
+def _ngram_ctes(units: str, max_n: int, sep: str) -> str:
+    """Oracle CTEs for per-segment clipped n-gram matches. ``units`` defines
+    d(sid, h, r) and u(sid, side, pos, c); n-grams come from lead() windows
+    over the units (linear; substring() on UTF-8 text is quadratic)."""
+    j = f" || '{sep}' || " if sep else " || "
+    leads = ", ".join(
+        "c" + "".join(f"{j}lead(c, {k}) OVER x" for k in range(1, n)) + f" AS g{n}" for n in range(1, max_n + 1)
+    )
+    unpivot = " UNION ALL ".join(
+        f"SELECT sid, side, {n} AS n, g{n} AS g FROM wg WHERE g{n} IS NOT NULL" for n in range(1, max_n + 1)
+    )
+    return f"""{units},
+    wg AS (SELECT sid, side, {leads} FROM u WINDOW x AS (PARTITION BY sid, side ORDER BY pos)),
+    g AS ({unpivot}),
+    hc AS (SELECT sid, n, g, count(*) AS c FROM g WHERE side = 0 GROUP BY ALL),
+    rc AS (SELECT sid, n, g, count(*) AS c FROM g WHERE side = 1 GROUP BY ALL),
+    m AS (SELECT hc.n, sum(least(hc.c, rc.c)) AS m FROM hc JOIN rc USING (sid, n, g) GROUP BY hc.n)"""
+
+
+def _token_units(tok) -> str:
+    return f"""
+    d AS (SELECT row_number() OVER () AS sid, {tok('pred')} AS h, {tok('text')} AS r
+          FROM (SELECT text, replace(text, 'the', 'a') AS pred FROM documents)),
+    u AS (SELECT sid, 0 AS side, unnest(h) AS c, unnest(generate_series(1, len(h))) AS pos FROM d WHERE len(h) > 0
+          UNION ALL
+          SELECT sid, 1, unnest(r), unnest(generate_series(1, len(r))) FROM d WHERE len(r) > 0),
+    lens AS (SELECT len(h) AS hl, len(r) AS rl FROM d)"""
+
+
+def _char_units() -> str:
+    """Whitespace-free text split into code points (char BLEU tokens and
+    chrF characters)."""
+    return f"""
+    d AS (SELECT row_number() OVER () AS sid, {_nows_sql('pred')} AS h, {_nows_sql('text')} AS r
+          FROM (SELECT text, replace(text, 'the', 'a') AS pred FROM documents)),
+    u AS (SELECT sid, 0 AS side, unnest(string_split(h, '')) AS c, unnest(generate_series(1, length(h))) AS pos
+          FROM d WHERE length(h) > 0
+          UNION ALL
+          SELECT sid, 1, unnest(string_split(r, '')), unnest(generate_series(1, length(r))) FROM d WHERE length(r) > 0),
+    lens AS (SELECT length(h) AS hl, length(r) AS rl FROM d)"""
+
+
+def _bleu_sql(units: str, sep: str) -> str:
+    """Oracle for BLEU over the units of ``_token_units`` / ``_char_units``."""
     return f"""
-    WITH d AS (SELECT row_number() OVER () AS sid, {src}
-               FROM (SELECT text, replace(text, 'the', 'a') AS pred FROM documents)),
-    hg AS (SELECT sid, n, {hgram} AS g FROM
-             (SELECT sid, n, {hsrc}, unnest(generate_series(1, len(h) - n + 1)) AS i FROM d, {orders})),
-    rg AS (SELECT sid, n, {rgram} AS g FROM
-             (SELECT sid, n, {rsrc}, unnest(generate_series(1, len(r) - n + 1)) AS i FROM d, {orders})),
-    hc AS (SELECT sid, n, g, count(*) AS c FROM hg GROUP BY ALL),
-    rc AS (SELECT sid, n, g, count(*) AS c FROM rg GROUP BY ALL),
-    m AS (SELECT hc.n, sum(least(hc.c, rc.c)) AS m FROM hc JOIN rc USING (sid, n, g) GROUP BY hc.n),
-    t AS (SELECT n, sum(greatest(len(h) - n + 1, 0)) AS t FROM d, {orders} GROUP BY n),
-    L AS (SELECT sum(len(h)) AS sys_len, sum(len(r)) AS ref_len FROM d),
+    WITH {_ngram_ctes(units, 4, sep)},
+    t AS (SELECT n, sum(greatest(hl - n + 1, 0)) AS t FROM lens, range(1, 5) o(n) GROUP BY n),
+    L AS (SELECT sum(hl) AS sys_len, sum(rl) AS ref_len FROM lens),
     w AS (SELECT
         coalesce((SELECT m FROM m WHERE n = 1), 0)::BIGINT AS m1, coalesce((SELECT m FROM m WHERE n = 2), 0)::BIGINT AS m2,
         coalesce((SELECT m FROM m WHERE n = 3), 0)::BIGINT AS m3, coalesce((SELECT m FROM m WHERE n = 4), 0)::BIGINT AS m4,
@@ -581,18 +604,17 @@ def _bleu_query(spark: SparkSession, sf_dir: str, tok: str) -> DataFrame:
     return stats.select("*", py_round(metrics.bleu_score(stats), 2).alias("bleu"))
 
 
-@register("bleu_13a", "A8 (13a)", _bleu_sql(_tok13a_sql))
+@register("bleu_13a", "A8 (13a)", _bleu_sql(_token_units(_tok13a_sql), " "))
 def bleu_13a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bleu_query(spark, sf_dir, "13a")
 
 
-@register("bleu_char", "A8 (char)", _bleu_sql(_tokchar_sql, chars=True))
+@register("bleu_char", "A8 (char)", _bleu_sql(_char_units(), ""))
 def bleu_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bleu_query(spark, sf_dir, "char")
 
 
 def _chrf_sql() -> str:
-    nows = lambda x: f"regexp_replace({x}, '{WHITESPACE}+', '', 'g')"
     cols_m = ", ".join(f"coalesce((SELECT m FROM m WHERE n = {n}), 0)::BIGINT AS m{n}" for n in range(1, 7))
     cols_h = ", ".join(f"(SELECT h FROM t WHERE n = {n})::BIGINT AS h{n}" for n in range(1, 7))
     cols_r = ", ".join(f"(SELECT r FROM t WHERE n = {n})::BIGINT AS r{n}" for n in range(1, 7))
@@ -601,17 +623,9 @@ def _chrf_sql() -> str:
     sr = " + ".join(f"(CASE WHEN {both(n)} THEN m{n} / r{n} ELSE 0 END)" for n in range(1, 7))
     eff = " + ".join(f"(CASE WHEN {both(n)} THEN 1 ELSE 0 END)" for n in range(1, 7))
     return f"""
-    WITH d AS (SELECT row_number() OVER () AS sid, {nows('pred')} AS h, {nows('text')} AS r
-               FROM (SELECT text, replace(text, 'the', 'a') AS pred FROM documents)),
-    hg AS (SELECT sid, n, substring(h, i, n) AS g FROM
-             (SELECT sid, n, h, unnest(generate_series(1, length(h) - n + 1)) AS i FROM d, range(1, 7) o(n))),
-    rg AS (SELECT sid, n, substring(r, i, n) AS g FROM
-             (SELECT sid, n, r, unnest(generate_series(1, length(r) - n + 1)) AS i FROM d, range(1, 7) o(n))),
-    hc AS (SELECT sid, n, g, count(*) AS c FROM hg GROUP BY ALL),
-    rc AS (SELECT sid, n, g, count(*) AS c FROM rg GROUP BY ALL),
-    m AS (SELECT hc.n, sum(least(hc.c, rc.c)) AS m FROM hc JOIN rc USING (sid, n, g) GROUP BY hc.n),
-    t AS (SELECT n, sum(greatest(length(h) - n + 1, 0)) AS h, sum(greatest(length(r) - n + 1, 0)) AS r
-          FROM d, range(1, 7) o(n) GROUP BY n),
+    WITH {_ngram_ctes(_char_units(), 6, "")},
+    t AS (SELECT n, sum(greatest(hl - n + 1, 0)) AS h, sum(greatest(rl - n + 1, 0)) AS r
+          FROM lens, range(1, 7) o(n) GROUP BY n),
     w AS (SELECT {cols_m}, {cols_h}, {cols_r}),
     a AS (SELECT *, CASE WHEN ({eff}) > 0 THEN ({sp}) / ({eff}) ELSE 0 END AS ap,
                     CASE WHEN ({eff}) > 0 THEN ({sr}) / ({eff}) ELSE 0 END AS ar FROM w)
