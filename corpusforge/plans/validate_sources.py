@@ -20,6 +20,12 @@ from ..sources.specs import SourceSpec
 
 
 def _err(exc: Exception) -> str:
+    """``Type: message`` (first line), using the JVM exception when there is one."""
+    java = getattr(exc, "java_exception", None)
+    if java is not None:
+        text = str(java.toString())
+        name, _, msg = text.partition(": ")
+        return f"{name.rsplit('.', 1)[-1]}: {msg}".splitlines()[0]
     return f"{type(exc).__name__}: {exc}".splitlines()[0]
 
 

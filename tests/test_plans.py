@@ -55,3 +55,16 @@ def test_evaluate_and_sft(spark, tmp_dir):
             f.write(json.dumps({"ko": f"가 {i}", "en": f"a {i}", "source": "s"}, ensure_ascii=False) + "\n")
     counts = prepare_sft(spark, f"{tmp_dir}/rows.jsonl", f"{tmp_dir}/rows.jsonl", "ko2en", f"{tmp_dir}/sft", max_val=3)
     assert counts == {"train": 7, "val": 3}
+
+
+def test_iter_failed_status(spark, tmp_dir):
+    import os
+
+    good = spark.createDataFrame([("한국어 문장", "english")], "ko string, en string")
+    good.coalesce(1).write.parquet(f"{tmp_dir}/broken")
+    with open(os.path.join(tmp_dir, "broken", "part-zzzz-corrupt.parquet"), "wb") as f:
+        f.write(b"PAR1 this is not a parquet file PAR1")
+    spec = SourceSpec("broken", f"{tmp_dir}/broken")
+    rep = validate_sources(spark, [spec], limit=10)
+    assert rep["candidates"][0]["status"] in ("iter_failed", "load_failed")
+    assert rep["selected"] == []
