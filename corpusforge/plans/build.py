@@ -38,6 +38,10 @@ class BuildResult:
     cutoff: float | None
     config: dict
 
+    def release(self) -> None:
+        """Drop the persisted winners once every output has been written."""
+        self.winners.unpersist()
+
     @property
     def annotated(self) -> DataFrame:
         """Every row with its final outcome ('dup' included); lazy, and the
@@ -128,5 +132,6 @@ def build_dataset(
     stats = build_stats(result, max_per_source)
     stats_df = spark.createDataFrame([(json.dumps(stats, ensure_ascii=False),)], "value string")
     stats_df.coalesce(1).write.mode("overwrite").text(f"{out_dir}/stage_stats")
+    result.release()
     return stats
 
