@@ -86,12 +86,50 @@ def _dense(h: np.ndarray, r: np.ndarray):
     return inv[: h.size].astype(np.int64), inv[h.size:].astype(np.int64), uniq.size
 
 
+def _window_keys(ids: np.ndarray, max_n: int, base: int) -> np.ndarray:
+    """Key of the max_n-token window starting at each position, tokens as
+    digits 1..base-1 and 0 past the end: exact while base**max_n < 2**63."""
+    padded = np.concatenate([ids, np.zeros(max_n - 1, dtype=np.int64)])
+    keys = np.zeros(ids.size, dtype=np.int64)
+    for j in range(max_n):
+        keys = keys * base + padded[j:j + ids.size]
+    return keys
+
+
+def _matches_one_sort(h1: np.ndarray, r1: np.ndarray, v: int, max_n: int) -> list[int]:
+    """One sort for all orders: an n-gram is the first n digits of its window
+    key, so equal n-grams form contiguous runs of the sorted keys. The side
+    (hypothesis 0, reference 1) rides in the lowest bit."""
+    base = v + 1
+    keys = np.concatenate([_window_keys(h1 + 1, max_n, base) * 2, _window_keys(r1 + 1, max_n, base) * 2 + 1])
+    keys.sort()
+    side = keys & 1
+    window = keys >> 1
+    out = []
+    for n in range(1, max_n + 1):
+        prefix = window // (base ** (max_n - n))
+        ok = prefix % base != 0  # the window has n real tokens
+        p, sd = prefix[ok], side[ok]
+        if p.size == 0:
+            out.append(0)
+            continue
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1])
+        ref_c = np.add.reduceat(sd, starts)
+        out.append(int(np.minimum(np.diff(np.append(starts, p.size)) - ref_c, ref_c).sum()))
+    return out
+
+
 def segment_matches(h_ids: np.ndarray, r_ids: np.ndarray, max_n: int) -> list[int]:
     """sum_g min(count_hyp(g), count_ref(g)) for n = 1..max_n, exactly.
 
-    n-gram ids are built order by order: id_n = dense(id_{n-1} * V + token),
-    so values stay below (#grams * alphabet) and never collide."""
+    Tokens are first mapped to dense ids 0..V-1. When (V+1)**max_n fits in
+    63 bits (any text with fewer than ~1400 distinct characters, or fewer than
+    ~55000 distinct words) one sort serves all orders. Otherwise n-gram ids
+    are built order by order: id_n = dense(id_{n-1} * V + token), so values
+    stay below (#grams * alphabet) and never collide."""
     h1, r1, v = _dense(h_ids, r_ids)
+    if v > 0 and (v + 1) ** max_n < 2 ** 62:
+        return _matches_one_sort(h1, r1, v, max_n)
     hg, rg, size = h1, r1, v
     out = []
     for n in range(1, max_n + 1):

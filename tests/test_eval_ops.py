@@ -160,3 +160,19 @@ def test_schema_probe_and_status(spark):
     )
     got = {r.src: (r.n_samples, r.n_ok, r.sanity_pass_rate, r.status) for r in report.sanity_summary(samples, ["src"]).collect()}
     assert got == {"s": (10, 5, 0.5, "ok"), "t": (1, 0, 0.0, "low_sanity")}
+
+
+def test_segment_matches_large_alphabet_fallback():
+    # more than ~1400 distinct characters: the one-sort key would overflow,
+    # so the order-by-order dense ids are used; both must agree with Python
+    import numpy as np
+
+    rnd = random.Random(9)
+    alphabet = [chr(0x4E00 + i) for i in range(3000)]
+    h = "".join(rnd.choice(alphabet) for _ in range(4000)) + "abcabc"
+    r = h[100:3000] + "".join(rnd.choice(alphabet) for _ in range(800)) + "abc"
+    hi, ri = metrics._char_ids(h, r)
+    assert len(set(h) | set(r)) > 1448
+    assert metrics.segment_matches(hi, ri, 6) == pyref.match_counts(list(h), list(r), 6)
+    small_h, small_r = np.array([1, 2, 1, 2], dtype=np.int64), np.array([2, 1, 2], dtype=np.int64)
+    assert metrics.segment_matches(small_h, small_r, 4) == pyref.match_counts([1, 2, 1, 2], [2, 1, 2], 4)
