@@ -39,7 +39,7 @@ class BuildResult:
     config: dict
 
     def release(self) -> None:
-        """Drop the persisted winners once every output has been written."""
+        """Drop the winners from executor memory if they were persisted."""
         self.winners.unpersist()
 
     @property
@@ -64,12 +64,16 @@ def build_corpus(
 
     Plan: one narrow pass (waterfall + key) written to the shared checkpoint
     folder; one aggregate on the key keeps the winners with their payload
-    (partial aggregation, skew-safe) and is persisted; counters, order
+    (partial aggregation, skew-safe), also written once; counters, order
     statistics, the cut and the split then read those. No row-level join."""
     keyed = with_dedup_key(apply_waterfall(pairs, cfg))
     if checkpoint:
         keyed = cut_lineage(keyed, "keyed")
-    winners = dedup_winners(keyed, PAYLOAD, keyed=True).persist(StorageLevel.MEMORY_AND_DISK)
+    winners = dedup_winners(keyed, PAYLOAD, keyed=True)
+    # read by the counters, the order statistics, the cut and the split: write
+    # it once (no executor memory held between calls) or, without a shared
+    # folder, keep it on executors
+    winners = cut_lineage(winners, "winners") if checkpoint else winners.persist(StorageLevel.MEMORY_AND_DISK)
     counts = outcome_counts_from_winners(keyed, winners)
     before_cut = winners.count()
     after_cut, cutoff = apply_score_cut(winners, drop_bottom_score_pct)
