@@ -22,7 +22,7 @@ from ..operators.dedup import annotate_duplicates, dedup_winners, with_dedup_key
 from ..operators.score import apply_score_cut, score_distribution
 from ..operators.split import exact_split
 from ..operators.stats import final_distribution, outcome_counts_from_winners, source_stats_from_counts, totals
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 from ..sources.corpus import load_catalogue
 from ..sources.jsonl import write_jsonl
 from ..sources.specs import FilterCfg, SourceSpec
@@ -127,6 +127,7 @@ def build_dataset(
 ) -> dict:
     """End to end: read, clean, cut, split; write train/val JSONL (K1, in
     shuffled order) and return the stats document (K2, also written)."""
+    ship_package(spark)
     pairs = load_catalogue(spark, sources, max_per_source)
     result = build_corpus(pairs, cfg, drop_bottom_score_pct, val_fraction, seed)
     cols = ["ko", "en", "source", "score"]

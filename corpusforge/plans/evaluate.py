@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chat, infer, metrics
 from ..operators.align import zip_by_id
+from ..session import ship_package
 from ..sources.jsonl import write_jsonl
 
 SAMPLES_IN_RESULT = 20
@@ -34,6 +35,7 @@ def evaluate(
     meta: dict | None = None,
 ) -> dict:
     """pairs(id, ko, en, ord) -> result dict (K5); writes K4/K5 under ``output``."""
+    ship_package(spark)
     target_lang = "en" if direction == "ko2en" else "ko"
     if limit:  # W4: first `limit` pairs in order (0/None = all)
         pairs = pairs.where(F.col("ord") < F.lit(int(limit)))

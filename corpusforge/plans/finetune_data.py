@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.chat import sft_messages
+from ..session import ship_package
 from ..sources.jsonl import read_jsonl, write_jsonl
 
 
@@ -17,6 +18,7 @@ def formatted_split(spark: SparkSession, path: str, direction: str, limit: int |
 
 def prepare_sft(spark: SparkSession, train: str, val: str, direction: str, out_dir: str,
                 max_train: int | None = None, max_val: int | None = 500) -> dict:
+    ship_package(spark)
     counts = {}
     for name, path, cap in (("train", train, max_train), ("val", val, max_val)):
         df = formatted_split(spark, path, direction, cap)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import HANGUL, LATIN
 from ..operators.report import SAMPLE_LIMIT, probe_schema, sanity_ok
 from ..sources.corpus import first_n_at_least_one, get_field, head_files, with_file_ordinal
+from ..session import ship_package
 from ..sources.specs import SourceSpec
 
 
@@ -76,6 +77,7 @@ def validate_one(spark: SparkSession, spec: SourceSpec, limit: int = SAMPLE_LIMI
 def validate_sources(spark: SparkSession, candidates: list[SourceSpec], limit: int = SAMPLE_LIMIT,
                      output: str | None = None, **patterns) -> dict:
     """Report for every candidate; crashes become report rows."""
+    ship_package(spark)
     results = []
     for spec in candidates:
         try:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -88,3 +90,31 @@ def balanced(df, min_partitions: int | None = None):
     except Exception:  # e.g. a Spark Connect session: leave planning to AQE
         return df
     return df if have >= want else df.repartition(want)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark) -> None:
+    """Make this package importable by the Python workers (UDFs and
+    ``mapInPandas`` functions are pickled by module reference): zip it once
+    per application and hand it to ``SparkContext.addPyFile``, Spark's own
+    way of distributing Python code to executors."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: use spark.addArtifacts / an installed package
+        return
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="corpusforge-pyfiles-"), "corpusforge.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
