@@ -25,6 +25,9 @@ def spark():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
+    from corpusforge.session import ship_package
+
+    ship_package(s)  # workers import the package for UDFs, whatever the cwd
     yield s
     s.stop()
 
