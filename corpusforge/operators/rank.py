@@ -74,6 +74,8 @@ def order_statistics(
     ``(name, k)`` in ``ranks(n)`` (k outside [0, n) is skipped).
 
     Null values are ignored. Returns one ``GroupStats`` per non-empty group.
+    NaN sorts last (Spark's order; Python's sort has no total order for
+    NaN) and -0.0 equals 0.0, so either may be reported for a zero rank.
     """
     group_cols = list(group_cols)
     spark = df.sparkSession
