@@ -21,6 +21,7 @@ here because its window needs one more shuffle stage per pass.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -31,6 +32,8 @@ from pyspark.sql import types as T
 DEFAULT_BUCKETS = 4096
 # ranges tables above this many rows are joined without a broadcast hint
 _BROADCAST_RANGES = 100_000
+# the full double range needs well under this many passes at 4096 buckets
+_MAX_PASSES = 400
 
 
 @dataclass
@@ -74,8 +77,9 @@ def order_statistics(
     ``(name, k)`` in ``ranks(n)`` (k outside [0, n) is skipped).
 
     Null values are ignored. Returns one ``GroupStats`` per non-empty group.
-    NaN sorts last (Spark's order; Python's sort has no total order for
-    NaN) and -0.0 equals 0.0, so either may be reported for a zero rank.
+    NaN ranks after every number (Spark's order; Python's sort has no total
+    order for NaN) and -0.0 equals 0.0, so either may be reported for a
+    zero rank.
     """
     group_cols = list(group_cols)
     spark = df.sparkSession
@@ -84,8 +88,12 @@ def order_statistics(
     )
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        num = ~F.isnan("_v")
         base = data.groupBy(*group_cols).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+            F.count(F.lit(1)).alias("_n"),
+            F.count(F.when(num, 1)).alias("_nn"),
+            F.min(F.when(num, F.col("_v"))).alias("_lo"),
+            F.max(F.when(num, F.col("_v"))).alias("_hi"),
         ).collect()
         out: list[GroupStats] = []
         targets: list[_Target] = []
@@ -93,17 +101,28 @@ def order_statistics(
             if not r["_n"]:  # a global aggregate over no rows still yields one row
                 continue
             g = tuple(r[c] for c in group_cols)
-            gs = GroupStats(g, r["_n"], r["_lo"], r["_hi"])
+            n_num = r["_nn"]
+            # NaN sorts after every number (Spark's order)
+            lo = r["_lo"] if n_num else math.nan
+            hi = r["_hi"] if n_num == r["_n"] else math.nan
+            gs = GroupStats(g, r["_n"], lo, hi)
             out.append(gs)
             for name, k in ranks(gs.n):
                 if 0 <= k < gs.n:
-                    targets.append(_Target(g, name, int(k), gs.lo, gs.hi))
+                    t = _Target(g, name, int(k), r["_lo"], r["_hi"])
+                    if k >= n_num:
+                        t.value, t.done = math.nan, True
+                    targets.append(t)
         for t in targets:
-            if t.lo == t.hi:
+            if not t.done and t.lo == t.hi:
                 t.value, t.done = t.lo, True
 
         group_types = [data.schema[c].dataType for c in group_cols]
+        passes = 0
         while any(not t.done for t in targets):
+            passes += 1
+            if passes > _MAX_PASSES:  # every pass shrinks the range; never loop forever
+                raise RuntimeError("order statistics did not converge")
             active = [t for t in targets if not t.done]
             ranges: dict[tuple, int] = {}
             for t in active:

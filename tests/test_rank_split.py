@@ -80,3 +80,16 @@ def test_kth_smallest_hex(spark):
     hs = sorted(r.h for r in df.collect())
     for k in (0, 1, 2499, 4999):
         assert kth_smallest_hex(df, "h", k, digits=2) == hs[k]
+
+
+def test_order_statistics_nan_ranks_last(spark):
+    import math
+
+    vals = [0.1, 0.5, float("nan"), 0.3, float("nan"), 0.9]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    st = order_statistics(df, "v", [], lambda n: [(str(k), k) for k in range(n)])[0]
+    got = [st.values[str(k)] for k in range(6)]
+    assert got[:4] == [0.1, 0.3, 0.5, 0.9] and all(math.isnan(x) for x in got[4:])
+    assert st.lo == 0.1 and math.isnan(st.hi)
+    only_nan = spark.createDataFrame([(float("nan"),)], "v double")
+    assert math.isnan(order_statistics(only_nan, "v", [], lambda n: [("m", 0)])[0].values["m"])
