@@ -79,6 +79,42 @@ def cut_lineage(df, name: str = "stage"):
     return spark.read.parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one job in the shared checkpoint folder.
+
+    ``cut`` writes a frame as ``cut_lineage`` does; ``drop`` deletes every table
+    written so far but those that ``keep`` reads, so a finished job leaves
+    only what its lazy result still needs."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{checkpoint_dir(spark).rstrip('/')}/corpusforge-{name}-{uuid.uuid4().hex}"
+        self._tables: dict[str, object] = {}
+
+    def new_folder(self, name: str) -> str:
+        """A path under this job's folder for a caller that writes files itself."""
+        path = f"{self.path}/{name}-{len(self._tables)}"
+        self._tables[path] = None
+        return path
+
+    def cut(self, df, name: str = "stage"):
+        path = self.new_folder(name)
+        df.write.mode("error").parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._tables[path] = kept
+        return kept
+
+    def drop(self, keep=()) -> None:
+        """Delete the tables that are not in ``keep``."""
+        jvm = self.spark.sparkContext._jvm
+        for path, table in list(self._tables.items()):
+            if any(table is k or path == k for k in keep):
+                continue
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            del self._tables[path]
+
+
 def balanced(df, min_partitions: int | None = None):
     """Spread a scan over at least ``min_partitions`` tasks before CPU-heavy
     narrow work. Large inputs already have many file splits and pass
