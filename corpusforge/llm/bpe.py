@@ -3,8 +3,7 @@
 Merging is replaced by a search for the one valid token sequence: a sequence
 is what the merges produce exactly if each adjacent pair is, alone, encoded as
 that pair. The encoder takes the longest vocabulary match at a position
-(found for all positions in one pass of an Aho-Corasick automaton over the
-bytes read as Latin-1), keeps it if it is compatible with the token before,
+(found by an Aho-Corasick automaton over the bytes read as Latin-1), keeps it if it is compatible with the token before,
 tries the next shorter match otherwise, and backtracks when none is left.
 Pair compatibility is memoised, and an end position that failed once is never
 tried again, so the work is linear in the piece's length.
@@ -13,6 +12,9 @@ tried again, so the work is linear in the piece's length.
 from __future__ import annotations
 
 import base64
+import re
+from array import array
+from collections.abc import Callable
 from itertools import islice
 
 import ahocorasick
@@ -23,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of a worker's memory: pieces and pairs remembered, characters of a piece remembered.
-CACHED_PIECES, CACHED_PAIRS, CACHED_LENGTH = 300_000, 500_000, 64
+CACHED_PIECES, CACHED_PAIRS, CACHED_LENGTH = 150_000, 500_000, 64
 _PIECES_AT_ONCE = 200_000
-_REPLACEMENT = "�".encode()
+_LONG = 1_000_000  # characters
+_REPLACEMENT = "\ufffd".encode()
+_NEVER = 1 << 62
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -43,139 +47,213 @@ class Bpe:
         if missing:
             raise ValueError("a byte-level vocabulary needs a token for each byte")
         self.automaton = ahocorasick.Automaton()
-        self._pairs: dict[tuple[int, int], bool] = {}
-        #: The next shorter token that starts a token, or None. Tokens that the
-        #: merges can't build are no matches.
-        self.shorter: dict[int, int | None] = {}
-        usable = {token for token, rank in ranks.items() if len(token) == 1 or self.merged(token) == [rank]}
+        self._pairs: dict[int, bool] = {}  # of left * base + right
+        self._base = max(ranks.values()) + 1
+        #: Per token the tokens that form its left and its right edge while it
+        #: is merged, each with the rank of the merge that ends it.
+        self._left_edge: dict[int, list[tuple[bytes, int]]] = {}
+        self._right_edge: dict[int, list[tuple[bytes, int]]] = {}
+        #: The next shorter token that starts a token, or -1, and the place of a
+        #: token's last byte. Tokens that the merges can't build are no matches.
+        self.shorter = [-1] * self._base
+        self.last_byte = [0] * self._base
+        usable = set()
+        for token in sorted(ranks, key=lambda t: (len(t) > 1, ranks[t])):
+            left, right = self._edges(token)
+            if left[-1][0] == token:
+                usable.add(token)
+                self._left_edge[ranks[token]], self._right_edge[ranks[token]] = left, right
         for token in usable:
             rank = ranks[token]
             cut = next((n for n in range(len(token) - 1, 0, -1) if token[:n] in usable), 0)
-            self.shorter[rank] = ranks[token[:cut]] if cut else None
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.shorter[rank] = ranks[token[:cut]] if cut else -1
+            self.last_byte[rank] = len(token) - 1
+            self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        size = max(self.bytes_of) + 2  # one entry more, for ids that are no token
-        parts = [self.bytes_of.get(i, _REPLACEMENT) for i in range(size)]
-        self._lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        self._starts = np.cumsum(self._lengths) - self._lengths
-        self._bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
-
-    def merged(self, data: bytes) -> list[int]:
-        """The encoding by its definition: merge the adjacent parts whose union
-        has the lowest rank, the leftmost first. Used on two tokens at a time."""
-        parts = [data[i : i + 1] for i in range(len(data))]
+        #: Bytes of each id; one entry more, for ids that are no token.
+        self._parts = [self.bytes_of.get(i, _REPLACEMENT) for i in range(max(self.bytes_of) + 2)]
+
+    def _edges(self, token: bytes) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
+        """Merge a token's bytes (the adjacent parts whose union has the lowest
+        rank first, the leftmost of equals) and note what its edges were."""
+        parts = [token[i : i + 1] for i in range(len(token))]
+        left, right = [], []
         while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            joined = parts[best] + parts[best + 1]
-            if joined not in self.ranks:
+            unions = [self.ranks.get(x + y, _NEVER) for x, y in zip(parts, parts[1:], strict=False)]
+            rank = min(unions)
+            if rank == _NEVER:
                 break
-            parts[best : best + 2] = [joined]
-        return [self.ranks[p] for p in parts]
+            at = unions.index(rank)
+            if at == 0:
+                left.append((parts[0], rank))
+            if at == len(parts) - 2:
+                right.append((parts[-1], rank))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [*left, (parts[0], _NEVER)], [*right, (parts[-1], _NEVER)]
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self._pairs.get((left, right))
+        """The merges of the two tokens' joined bytes end in these two tokens."""
+        known = self._pairs.get(left * self._base + right)
         if known is None:
             if len(self._pairs) >= CACHED_PAIRS:
                 self._pairs.clear()
-            known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self._pairs[left, right] = known
+            known = self._never_joined(self._right_edge[left], self._left_edge[right])
+            self._pairs[left * self._base + right] = known
         return known
 
+    def _never_joined(self, xs: list[tuple[bytes, int]], ys: list[tuple[bytes, int]]) -> bool:
+        """No merge crosses the border between tokens whose edges there are,
+        in time, ``xs`` and ``ys``: each edge lasts until the rank of the merge
+        that ends it. Of merges of equal rank the leftmost comes first."""
+        i = j = 0
+        while True:
+            (x, x_end), (y, y_end) = xs[i], ys[j]
+            joined = self.ranks.get(x + y, _NEVER)
+            if joined < x_end and joined <= y_end and joined != _NEVER:
+                return False
+            if x_end == y_end == _NEVER:
+                return True
+            if x_end <= y_end:
+                i += 1
+            else:
+                j += 1
+
     def encode_piece(self, data: bytes) -> list[int]:
         """The ids of one piece (no merges cross its ends)."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        longest: list[tuple[int, int]] = [(0, 0)] * len(data)
-        for end, (rank, size) in self.automaton.iter(data.decode("latin-1")):
-            start = end - size + 1
-            if size > longest[start][1]:
-                longest[start] = (rank, size)
-        dead = bytearray(len(data) + 1)
+        size, text, longest_from = len(data), data.decode("latin-1"), self.automaton.iter_long
+        last_byte, shorter, pairs, base = self.last_byte, self.shorter, self._pairs, self._base
+        dead = bytearray(size + 1)
         tokens: list[int] = []
-        ends = [0]  # the end of each token, after a first 0
-        at = 0
-        token: int | None = longest[0][0] if data else None
-        while at < len(data):
-            while token is not None:
-                end = at + len(self.bytes_of[token])
-                if not dead[end] and (not tokens or self.compatible(tokens[-1], token)):
-                    break
-                token = self.shorter[token]
-            if token is None:  # nothing goes on from here: replace the last token by a shorter one
+        at, before = 0, -1
+        matches = longest_from(text)  # the longest match at a place, then at its end, and so on
+        longest = token = next(matches)[1] if size else -1
+        while at < size:
+            while token >= 0:
+                end = at + last_byte[token] + 1
+                if not dead[end]:
+                    if before < 0:
+                        break
+                    known = pairs.get(before * base + token)
+                    if known or (known is None and self.compatible(before, token)):
+                        break
+                token = shorter[token]
+            if token < 0:  # nothing goes on from here: replace the last token by a shorter one
                 dead[at] = 1
-                token = self.shorter[tokens.pop()]
-                ends.pop()
-                at = ends[-1]
+                at -= last_byte[before] + 1
+                token, longest = shorter[tokens.pop()], -1
+                before = tokens[-1] if tokens else -1
             else:
                 tokens.append(token)
-                ends.append(end)
-                at = end
-                token = longest[at][0] if at < len(data) else None
+                before, at = token, end
+                if at < size:
+                    if token != longest:
+                        matches = longest_from(text, at)
+                    longest = token = next(matches)[1]
         return tokens
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, length per id); ids outside the vocabulary give U+FFFD."""
-        unknown = len(self._lengths) - 1
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for; an id outside the vocabulary gives U+FFFD."""
+        unknown = len(self._parts) - 1
         ids = np.where((ids < 0) | (ids > unknown), unknown, ids)
-        sizes = self._lengths[ids]
-        total = int(sizes.sum())
-        shift = np.repeat(self._starts[ids] - (np.cumsum(sizes) - sizes), sizes)
-        return self._bytes[shift + np.arange(total)], sizes
+        of = self._parts.__getitem__
+        return b"".join(b"".join(map(of, ids[lo : lo + _PIECES_AT_ONCE].tolist())) for lo in range(0, len(ids), _PIECES_AT_ONCE))
 
 
-class _Pieces(dict):
-    """Piece of text -> its ids as int32 bytes; bounded, filled on demand."""
+class _Remembered(dict):
+    """Text -> its ids as int32 bytes; filled on demand and bounded: when it is
+    full its entries become the older half, from which those in use come back."""
 
-    def __init__(self, bpe: Bpe):
+    def __init__(self, compute: Callable[[str], bytes]):
         super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.bpe.encode_piece(piece.encode("utf-8", "replace")), dtype=np.int32).tobytes()
-        if len(piece) <= CACHED_LENGTH:
+        self.compute = compute
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, text: str) -> bytes:
+        packed = self.older.get(text)
+        if packed is None:
+            packed = self.compute(text)
+        if len(text) <= CACHED_LENGTH:
             if len(self) >= CACHED_PIECES:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = packed
+            self[text] = packed
         return packed
 
 
-_LOADED: dict[int, tuple[Bpe, _Pieces]] = {}
+class TextEncoder:
+    """Whole texts to ids: pieces by the pattern, each encoded alone.
+
+    With ``spaces_start_pieces`` the pattern is known to let a space stand only
+    first in a piece, or in a run of white space. A text without such runs
+    before a space, or at its end, can then be cut before every space, and the
+    parts between spaces are remembered too."""
+
+    def __init__(self, bpe: Bpe, pattern: str, spaces_start_pieces: bool):
+        self.pattern = regex.compile(pattern)
+        self.pieces = _Remembered(lambda p: array("i", bpe.encode_piece(p.encode("utf-8", "replace"))).tobytes())
+        self.parts = _Remembered(self._by_pattern)
+        self.first = _Remembered(lambda part: self._by_pattern(" " + part))
+        self.runs = re.compile(r"\s(?: |$)") if spaces_start_pieces else None
+
+    def _by_pattern(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
+    def encode(self, text: str) -> bytes:
+        """The ids as int32 bytes, from a bounded number of pieces at a time."""
+        if self.runs is not None and len(text) < _LONG and text[:1] != " " and not self.runs.search(text):
+            start, *rest = text.split(" ")
+            return self.parts[start] + b"".join(map(self.first.__getitem__, rest))
+        if len(text) < _LONG:
+            return self._by_pattern(text)
+        found, out = self.pattern.finditer(text), []
+        while part := b"".join(self.pieces[m.group()] for m in islice(found, _PIECES_AT_ONCE)):
+            out.append(part)
+        return b"".join(out)
+
+
+_LOADED: dict[int, Bpe] = {}
+_ENCODERS: dict[tuple[int, str, bool], TextEncoder] = {}
 
 
-def _loaded(data: bytes) -> tuple[Bpe, _Pieces]:
-    """The vocabulary's encoder, built once in a Python worker."""
+def _loaded(data: bytes) -> Bpe:
+    """The vocabulary, prepared once in a Python worker."""
     key = hash(data)
     if key not in _LOADED:
-        bpe = Bpe(parse_ranks(data))
-        _LOADED[key] = (bpe, _Pieces(bpe))
+        _LOADED[key] = Bpe(parse_ranks(data))
     return _LOADED[key]
 
 
-def encode_text(text: str, pattern, cache: _Pieces) -> bytes:
-    """The ids of a whole text as int32 bytes, a bounded number of pieces at a time."""
-    if len(text) < 4 * _PIECES_AT_ONCE:
-        return b"".join(map(cache.__getitem__, pattern.findall(text)))
-    found, parts = pattern.finditer(text), []
-    while part := b"".join(cache[m.group()] for m in islice(found, _PIECES_AT_ONCE)):
-        parts.append(part)
-    return b"".join(parts)
+def _encoder(data: bytes, pattern: str, spaces_start_pieces: bool) -> TextEncoder:
+    key = (hash(data), pattern, spaces_start_pieces)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(_loaded(data), pattern, spaces_start_pieces)
+    return _ENCODERS[key]
 
 
-def with_token_ids(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def with_token_ids(
+    df: DataFrame,
+    vocabulary: bytes,
+    pattern: str,
+    text_col: str = "text",
+    out_col: str = "ids",
+    spaces_start_pieces: bool = False,
+) -> DataFrame:
     """``df`` with the token ids (array<int>) of every whole text added.
 
     ``vocabulary`` is a rank file's content, ``pattern`` splits a text into
-    pieces; no special tokens. Null and empty texts have no ids. The vocabulary is
+    pieces (see ``TextEncoder`` for ``spaces_start_pieces``); no special
+    tokens. Null and empty texts have no ids. The vocabulary is
     broadcast (its size does not depend on the data); texts are never
     shuffled, and all other columns stay on the JVM side."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        _, cache = _loaded(shared.value)
-        split = regex.compile(pattern)
-        packed = [encode_text(t.as_py() or "", split, cache) for t in texts]
+        encoder = _encoder(shared.value, pattern, spaces_start_pieces)
+        packed = [encoder.encode(t.as_py() or "") for t in texts]
         ends = np.cumsum([0] + [len(p) // 4 for p in packed])
         flat = np.frombuffer(b"".join(packed), dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
@@ -192,7 +270,7 @@ def with_decoded(df: DataFrame, vocabulary: bytes, ids_col: str = "ids", out_col
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        bpe, _ = _loaded(shared.value)
+        bpe = _loaded(shared.value)
         rows = []
         for ids in lists:
             values = ids.values
@@ -200,8 +278,7 @@ def with_decoded(df: DataFrame, vocabulary: bytes, ids_col: str = "ids", out_col
                 rows.append(b"")
                 continue
             flat = values.drop_null().to_numpy(zero_copy_only=False)
-            parts = [bpe.decode(flat[lo : lo + 1_000_000])[0].tobytes() for lo in range(0, len(flat), 1_000_000)]
-            rows.append(parts[0] if len(parts) == 1 else b"".join(parts))
+            rows.append(bpe.decode(flat))
         return pa.array(rows, pa.binary())
 
     return df.withColumn(out_col, decode.asNondeterministic()(F.col(ids_col)))

@@ -100,18 +100,16 @@ def mix(
             "whole": F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("bigint"),
         }
     )
-    wanted = wanted.withColumn("rest", goal - F.col("whole") * F.col("source_size"))
-    same = blocks["source"].eqNullSafe(wanted["source"])
+    wanted = wanted.withColumn("rest", goal - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "s")
     edges = (
-        blocks.join(wanted, same)
+        blocks.join(wanted.select("s", "rest"), F.col("source").eqNullSafe(F.col("s")))
         .where("upto > rest")
-        .groupBy(wanted["source"])
+        .groupBy(F.col("source").alias("t"))
         .agg(F.min("block").alias("edge"), F.min(F.col("upto") - F.col("n")).alias("edge_before"))
     )
-    plan = wanted.alias("w").join(edges.alias("e"), F.col("w.source").eqNullSafe(F.col("e.source")), "left")
-    plan = scratch.cut(plan.select("w.*", "edge", "edge_before").withColumnRenamed("source", "s"), "plan")
+    plan = scratch.cut(wanted.join(edges, F.col("s").eqNullSafe(F.col("t")), "left").drop("t"), "plan")
 
-    planned = rows.join(plan, rows["source"].eqNullSafe(plan["s"]))
+    planned = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
     sure = planned.where("edge is null or block <> edge").withColumn(
         "extra", F.when(F.col("block") < F.col("edge"), F.col("size")).otherwise(0).cast("bigint")
     )
