@@ -12,7 +12,6 @@ tried again, so the work is linear in the piece's length.
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from collections.abc import Callable
 from itertools import islice
@@ -184,30 +183,16 @@ class _Remembered(dict):
 
 
 class TextEncoder:
-    """Whole texts to ids: pieces by the pattern, each encoded alone.
+    """Whole texts to ids: pieces by the pattern, each encoded alone."""
 
-    With ``spaces_start_pieces`` the pattern is known to let a space stand only
-    first in a piece, or in a run of white space. A text without such runs
-    before a space, or at its end, can then be cut before every space, and the
-    parts between spaces are remembered too."""
-
-    def __init__(self, bpe: Bpe, pattern: str, spaces_start_pieces: bool):
+    def __init__(self, bpe: Bpe, pattern: str):
         self.pattern = regex.compile(pattern)
         self.pieces = _Remembered(lambda p: array("i", bpe.encode_piece(p.encode("utf-8", "replace"))).tobytes())
-        self.parts = _Remembered(self._by_pattern)
-        self.first = _Remembered(lambda part: self._by_pattern(" " + part))
-        self.runs = re.compile(r"\s(?: |$)") if spaces_start_pieces else None
-
-    def _by_pattern(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """The ids as int32 bytes, from a bounded number of pieces at a time."""
-        if self.runs is not None and len(text) < _LONG and text[:1] != " " and not self.runs.search(text):
-            start, *rest = text.split(" ")
-            return self.parts[start] + b"".join(map(self.first.__getitem__, rest))
         if len(text) < _LONG:
-            return self._by_pattern(text)
+            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
         found, out = self.pattern.finditer(text), []
         while part := b"".join(self.pieces[m.group()] for m in islice(found, _PIECES_AT_ONCE)):
             out.append(part)
@@ -215,7 +200,7 @@ class TextEncoder:
 
 
 _LOADED: dict[int, Bpe] = {}
-_ENCODERS: dict[tuple[int, str, bool], TextEncoder] = {}
+_ENCODERS: dict[tuple[int, str], TextEncoder] = {}
 
 
 def _loaded(data: bytes) -> Bpe:
@@ -226,10 +211,10 @@ def _loaded(data: bytes) -> Bpe:
     return _LOADED[key]
 
 
-def _encoder(data: bytes, pattern: str, spaces_start_pieces: bool) -> TextEncoder:
-    key = (hash(data), pattern, spaces_start_pieces)
+def _encoder(data: bytes, pattern: str) -> TextEncoder:
+    key = (hash(data), pattern)
     if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(_loaded(data), pattern, spaces_start_pieces)
+        _ENCODERS[key] = TextEncoder(_loaded(data), pattern)
     return _ENCODERS[key]
 
 
@@ -239,24 +224,24 @@ def with_token_ids(
     pattern: str,
     text_col: str = "text",
     out_col: str = "ids",
-    spaces_start_pieces: bool = False,
 ) -> DataFrame:
     """``df`` with the token ids (array<int>) of every whole text added.
 
     ``vocabulary`` is a rank file's content, ``pattern`` splits a text into
-    pieces (see ``TextEncoder`` for ``spaces_start_pieces``); no special
-    tokens. Null and empty texts have no ids. The vocabulary is
+    pieces; no special tokens. Null and empty texts have no ids. The vocabulary is
     broadcast (its size does not depend on the data); texts are never
     shuffled, and all other columns stay on the JVM side."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(shared.value, pattern, spaces_start_pieces)
-        packed = [encoder.encode(t.as_py() or "") for t in texts]
-        ends = np.cumsum([0] + [len(p) // 4 for p in packed])
-        flat = np.frombuffer(b"".join(packed), dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        encoder = _encoder(shared.value, pattern)
+        flat, ends = bytearray(), [0]
+        for text in texts:
+            flat += encoder.encode(text.as_py() or "")
+            ends.append(len(flat) // 4)
+        ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(flat)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
 
     return df.withColumn(out_col, encode.asNondeterministic()(F.col(text_col)))
 
