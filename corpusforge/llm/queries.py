@@ -7,10 +7,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_dup, sharding
+from . import bpe, language_id, mixing, near_dup, sharding
+from .sampling import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
+LANG_FOLDS, LANG_HELD_OUT = 5, 0
+
+
 def vocabulary(path: str = BPE_FILE) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -55,6 +60,23 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def held_out(folds: int, fold: int) -> Column:
+    """Rows that no training reads; rows without an id are among them."""
+    return F.coalesce(remainder("doc_id", folds) == fold, F.lit(True))
+
+
+def language_model(docs: DataFrame) -> language_id.LanguageModel:
+    learn = docs.where(~held_out(LANG_FOLDS, LANG_HELD_OUT))
+    return language_id.train(learn, language_id.read_vocabulary(PIECE_FILE))
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.with_language(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", held_out(LANG_FOLDS, LANG_HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 @_query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
