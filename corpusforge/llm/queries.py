@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, near_dup, sharding
+from . import bpe, language_id, mixing, near_dup, sharding, toxicity
 from .sampling import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,9 @@ PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
 LANG_FOLDS, LANG_HELD_OUT = 5, 0
 
 
+TOXIC_FOLDS, TOXIC_HELD_OUT = 5, 0
+
+
 def vocabulary(path: str = BPE_FILE) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -55,16 +58,33 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"))
 
 
-@_query
-def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
-
-
 def held_out(folds: int, fold: int) -> Column:
     """Rows that no training reads; rows without an id are among them."""
     return F.coalesce(remainder("doc_id", folds) == fold, F.lit(True))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    learn = _table(spark, sf_dir, "labels").where(~held_out(TOXIC_FOLDS, TOXIC_HELD_OUT))
+    return toxicity.train(_table(spark, sf_dir, "documents"), learn)
+
+
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_toxicity(docs, toxicity_model(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        held_out(TOXIC_FOLDS, TOXIC_HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@_query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def language_model(docs: DataFrame) -> language_id.LanguageModel:
     learn = docs.where(~held_out(LANG_FOLDS, LANG_HELD_OUT))
     return language_id.train(learn, language_id.read_vocabulary(PIECE_FILE))
