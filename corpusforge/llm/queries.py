@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, near_dup, sharding, toxicity
+from . import bpe, language_id, mixing, near_dup, quality, sharding, toxicity
 from .sampling import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,7 @@ PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
 LANG_FOLDS, LANG_HELD_OUT = 5, 0
 
 
+QUALITY_FOLDS, QUALITY_HELD_OUT = 3, 1
 TOXIC_FOLDS, TOXIC_HELD_OUT = 5, 0
 
 
@@ -85,6 +86,19 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = _table(spark, sf_dir, "labels").where(~held_out(QUALITY_FOLDS, QUALITY_HELD_OUT))
+    scored = quality.with_quality(docs, quality.train(docs, learn))
+    return scored.select(
+        "doc_id",
+        held_out(QUALITY_FOLDS, QUALITY_HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def language_model(docs: DataFrame) -> language_id.LanguageModel:
     learn = docs.where(~held_out(LANG_FOLDS, LANG_HELD_OUT))
     return language_id.train(learn, language_id.read_vocabulary(PIECE_FILE))
