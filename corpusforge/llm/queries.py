@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, near_dup, quality, sharding, toxicity
+from ..session import Scratch
+from . import ann, bpe, fingerprint, language_id, mixing, near_dup, quality, sharding, toxicity, warc
 from .sampling import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +87,40 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    path = scratch.new_folder("archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    read = warc.read_archives(spark, path)
+
+    def row_id(name: str) -> Column:
+        return F.expr(f"try_cast(regexp_extract({name}, '^<urn:row:(.*)>$', 1) as bigint)")
+
+    return read.select(
+        row_id("record_id").alias("page_id"),
+        "payload_bytes",
+        F.coalesce(F.sha1("payload"), F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        row_id("refers_to").alias("refers_to"),
+    )
+
+
+SQL["op4_warc"] = f"""
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+    k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} AND kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} AND kept <> page_id THEN kept END AS refers_to
+    FROM k"""
+
+
+@_query
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -111,6 +146,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(LANG_FOLDS, LANG_HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+@_query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(rows, "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
 @_query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
