@@ -186,7 +186,7 @@ def _rows(ids: list, done: list, kind: str, part: int, id_type: pa.DataType, tex
     columns = list(zip(*[d or (None,) * len(_COLUMNS) for d in done], strict=True)) or [()] * len(_COLUMNS)
     arrays = [pa.array([i.as_py() for i in ids], id_type)]
     arrays += [pa.array(list(c), t) for c, (_, t) in zip(columns, _COLUMNS, strict=True)]
-    arrays += [pa.array([kind] * len(ids)), pa.array([part] * len(ids), pa.int32()), pa.array(texts or [None] * len(ids), pa.string())]
+    arrays += [pa.array([kind] * len(ids), pa.string()), pa.array([part] * len(ids), pa.int32()), pa.array(texts or [None] * len(ids), pa.string())]
     return pa.RecordBatch.from_arrays(arrays, names=["id", *[n for n, _ in _COLUMNS], "kind", "part", "text"])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_MOST_BROADCAST = 100_000  # classes
+
 
 def remainder(id_col: str, m: int) -> Column:
     """crc32 of the id as text, modulo m; null for a null id."""
@@ -19,6 +21,8 @@ def hash_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int) ->
     rows = rows.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
     counts = rows.groupBy(F.col(class_col).alias("_class")).agg(F.count("*").alias("_n"))
     drawn = rows.withColumn("_draw", F.pmod(F.xxhash64(F.col(id_col), F.lit(20240607)), F.lit(1 << 40)))
+    if counts.count() <= _MOST_BROADCAST:  # so that the threshold holds before rows are dealt by class
+        counts = F.broadcast(counts)
     near = drawn.join(counts, F.col(class_col) == F.col("_class")).where(
         F.col("_draw") < F.lit((1.5 * per_class + 50) * (1 << 40)) / F.col("_n")
     )

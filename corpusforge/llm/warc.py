@@ -103,7 +103,8 @@ def _member(file, data: bytes, at: int, base: int) -> tuple[bytes, int] | None:
     """(content, place after it) of the member at ``data[at:]``; None if the
     bytes there don't decode to a WARC header (or to nothing, an empty member)."""
     inflate = zlib.decompressobj(31)
-    out, chunk, ahead, known = [], data[at : at + _READ], base + at + _READ, False
+    out, chunk, known = [], data[at : at + _READ], False
+    fed = base + at + len(chunk)  # the place after what has been inflated
     try:
         while True:
             part = inflate.decompress(chunk)
@@ -115,10 +116,10 @@ def _member(file, data: bytes, at: int, base: int) -> tuple[bytes, int] | None:
                     return None
                 known = True
             if inflate.eof:
-                return b"".join(out), ahead - max(0, _READ - len(chunk)) - len(inflate.unused_data)
-            file.seek(ahead)
+                return b"".join(out), fed - len(inflate.unused_data)
+            file.seek(fed)
             chunk = file.read(_READ)
-            ahead += _READ
+            fed += len(chunk)
             if not chunk:
                 break
     except zlib.error:
