@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import BLANKS, flat_utf8, pieces, row_slices, word_hashes, word_spans
-from .sampling import hash_sample, with_texts
+from .sampling import fit_in_task, hash_sample, with_texts
 
 UNDETERMINED = "und"
 #: Bounds of the training sample: documents of a language, characters of a document.
@@ -203,11 +203,15 @@ def train(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text
     most ``SAMPLE_DOCS`` documents a language, by the hash of their ids, and
     ``SAMPLE_CHARS`` characters of each. Without such rows no language is learned."""
     drawn = hash_sample(docs.select(id_col, lang_col), id_col, lang_col, SAMPLE_DOCS)
-    rows = with_texts(drawn, docs, id_col, text_col, SAMPLE_CHARS).select("_text", lang_col).collect()
-    rows = [r for r in rows if r[0].split()]
-    if not rows:
-        return LanguageModel([], vocabulary, np.zeros((len(vocabulary), 0)))
-    return fit([r[0] for r in rows], [r[1] for r in rows], vocabulary)
+    texts = with_texts(drawn, docs, id_col, text_col, SAMPLE_CHARS).select("_text", lang_col)
+
+    def learn(rows: list[tuple]) -> LanguageModel:
+        rows = [r for r in rows if r[0].split()]
+        if not rows:
+            return LanguageModel([], vocabulary, np.zeros((len(vocabulary), 0)))
+        return fit([r[0] for r in rows], [r[1] for r in rows], vocabulary)
+
+    return fit_in_task(texts, learn)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

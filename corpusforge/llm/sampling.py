@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,3 +41,16 @@ def with_texts(sample: DataFrame, docs: DataFrame, id_col: str, text_col: str, m
         F.col(id_col).alias("_text_id"), F.substring(text_col, 1, most_chars).alias("_text")
     )
     return texts.join(F.broadcast(sample), F.col("_text_id") == F.col(id_col)).drop("_text_id")
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
+    """``fit`` on the rows of a bounded sample, sorted, in one executor's task;
+    the driver receives the model only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows.sort(key=lambda r: [(v is not None, v) for v in r])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else fit([])
