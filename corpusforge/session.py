@@ -106,12 +106,17 @@ class Scratch:
 
     def drop(self, keep=()) -> None:
         """Delete the tables that are not in ``keep``."""
-        jvm = self.spark.sparkContext._jvm
-        for path, table in list(self._tables.items()):
-            if any(table is k or path == k for k in keep):
-                continue
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        self._delete([p for p, t in self._tables.items() if not any(t is k or p == k for k in keep)])
+
+    def delete(self, *tables) -> None:
+        """Delete these tables."""
+        self._delete([p for p, t in self._tables.items() if any(t is k or p == k for k in tables)])
+
+    def _delete(self, paths: list[str]) -> None:
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        for path in paths:
+            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
             del self._tables[path]
 
 
