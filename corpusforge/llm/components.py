@@ -31,13 +31,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             .groupBy(F.col("u").alias("node"))
             .agg(F.min("label").alias("near"))
         )
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        step = labels.select("node", "label").join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # the label is itself a node: where it has a smaller label, take that
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
         step = step.join(jump, "label", "left").select(
             "node", "old", F.least("label", F.coalesce("beyond", "label")).alias("label")
         )
         step = scratch.cut(step, "labels")
+        scratch.delete(labels)
+        labels = step
         if step.where("label <> old").limit(1).count() == 0:
+            scratch.delete(both)
             return step.select("node", "label")
-        labels = step.select("node", "label")

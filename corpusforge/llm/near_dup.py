@@ -196,6 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = scratch.cut(_table_keys(nodes), "keyed")
     tops = keyed.groupBy("key").agg(F.count("*").alias("held"), F.max("rank").alias("top")).where("held > 1")
     members = scratch.cut(keyed.join(tops, "key"), "members")
+    scratch.delete(keyed)
 
     wanted = members.select("node").distinct().join(nodes.select("node", "first_id"), "node")
     chosen = texts.join(wanted.select("first_id").distinct(), F.col("id").eqNullSafe(F.col("first_id"))).select("text")
@@ -210,8 +211,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = scratch.cut(labelled.withColumn("lab", F.xxhash64("label")), "labelled")
+    scratch.delete(members)
     open_keys = labelled.groupBy("key").agg(F.min("lab").alias("x"), F.max("lab").alias("y")).where("x <> y").select("key")
-    left = scratch.cut(labelled.join(open_keys, "key"), "open")
+    left = scratch.cut(labelled.join(open_keys, "key").drop("lab", "rank", "top"), "open")
+    scratch.delete(labelled)
     small = left.where(f"held <= {SMALL_KEY}").select("key", "node", "label", "n")
     small = (
         small.alias("x")
@@ -222,7 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = left.where(f"held > {SMALL_KEY}").select("node", "label").distinct()
     large = scratch.cut(_prefix_pairs(large, sets), "prefix")
     more = _confirmed(small.union(large).distinct(), sets)
-    labels = components(scratch.cut(links.union(more), "links"), scratch)
+    links = scratch.cut(links.union(more), "links")
+    scratch.delete(left, large, sets)
+    labels = components(links, scratch)
 
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
