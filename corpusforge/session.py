@@ -90,10 +90,12 @@ class Scratch:
         self.spark = spark
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/corpusforge-{name}-{uuid.uuid4().hex}"
         self._tables: dict[str, object] = {}
+        self._made = 0
 
     def new_folder(self, name: str) -> str:
         """A path under this job's folder for a caller that writes files itself."""
-        path = f"{self.path}/{name}-{len(self._tables)}"
+        self._made += 1
+        path = f"{self.path}/{name}-{self._made}"
         self._tables[path] = None
         return path
 
