@@ -45,8 +45,11 @@ def require_aligned(aligned: DataFrame, what: str = "rows") -> DataFrame:
 def zip_by_id(left: DataFrame, right: DataFrame, id_col: str = "id") -> DataFrame:
     """Columns of two id-keyed tables side by side; both sides must hold
     the same ids (checked with counts, no collect)."""
-    joined = left.join(right, id_col, "inner")
-    n_left, n_right, n_joined = left.count(), right.count(), joined.count()
-    if not (n_left == n_right == n_joined):
-        raise RuntimeError(f"zip mismatch: left={n_left} right={n_right} matched={n_joined}")
-    return joined
+    sides = left.select(id_col, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
+        right.select(id_col, F.lit(0).alias("l"), F.lit(1).alias("r"))
+    )
+    counts = sides.groupBy(id_col).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    bad = counts.where(F.col(id_col).isNull() | (F.col("l") != 1) | (F.col("r") != 1)).take(1)
+    if bad:
+        raise RuntimeError(f"ids differ: {bad[0][0]!r} is {bad[0]['l']} times on the left, {bad[0]['r']} times on the right")
+    return left.join(right, id_col, "inner")

@@ -1,9 +1,9 @@
 """Caller-supplied batch inference and segment scoring.
 
 The model is never ours: the caller passes ``fn(list[str]) -> list[str]``
-(or ``-> list[float]`` for scoring). Spark ships Arrow batches to Python
-workers with ``mapInPandas``; inside a batch rows go to ``fn`` in chunks of
-``batch_size`` in arrival order, and each result stays keyed to its row.
+(or ``-> list[float]`` for scoring). Spark ships Arrow batches of the text
+columns to Python workers; inside a batch rows go to ``fn`` in chunks of
+``batch_size`` in arrival order, and each result stays with its row.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.numeric import py_round
 
@@ -31,21 +31,21 @@ def batch_predict(
     batch_size: int = 4,
 ) -> DataFrame:
     """Add ``out_col`` = fn(source) with surrounding whitespace stripped."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType(), True)])
     size = max(int(batch_size), 1)
 
-    def run(batches):
-        for pdf in batches:
-            src = pdf[src_col].tolist()
-            out: list[str] = []
-            for i, j in _chunks(len(src), size):
-                got = list(fn(src[i:j]))
-                if len(got) != j - i:
-                    raise RuntimeError(f"predictor returned {len(got)} outputs for {j - i} inputs")
-                out.extend(None if p is None else str(p).strip() for p in got)
-            yield pdf.assign(**{out_col: out})
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        src = texts.tolist()
+        out: list[str | None] = []
+        for i, j in _chunks(len(src), size):
+            got = list(fn(src[i:j]))
+            if len(got) != j - i:
+                raise RuntimeError(f"predictor returned {len(got)} outputs for {j - i} inputs")
+            out.extend(None if p is None else str(p).strip() for p in got)
+        return pd.Series(out, dtype=object)
 
-    return df.mapInPandas(run, schema)
+    # only the text goes to Python: other columns keep their values and types
+    return df.withColumn(out_col, run.asNondeterministic()(F.col(src_col)))
 
 
 def score_segments(
@@ -56,19 +56,20 @@ def score_segments(
     batch_size: int = 8,
 ) -> DataFrame:
     """T4: rows {src, mt, ref} in chunks of ``batch_size`` -> segment score."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.DoubleType(), True)])
     size = max(int(batch_size), 1)
-    s, m, r = cols
 
-    def run(batches):
-        for pdf in batches:
-            rows = [{"src": a, "mt": b, "ref": c} for a, b, c in zip(pdf[s], pdf[m], pdf[r])]
-            out: list[float] = []
-            for i, j in _chunks(len(rows), size):
-                out.extend(float(x) for x in fn(rows[i:j]))
-            yield pdf.assign(**{out_col: out})
-
-    return df.mapInPandas(run, schema)
+    @F.pandas_udf("double")
+    def run(src: pd.Series, mt: pd.Series, ref: pd.Series) -> pd.Series:
+        rows = [{"src": a, "mt": b, "ref": c} for a, b, c in zip(src, mt, ref, strict=True)]
+        out: list[float] = []
+        for i, j in _chunks(len(rows), size):
+            got = [float(x) for x in fn(rows[i:j])]
+            if len(got) != j - i:
+                raise RuntimeError(f"scorer returned {len(got)} scores for {j - i} segments")
+            out.extend(got)
+        return pd.Series(out, dtype=float)
+
+    return df.withColumn(out_col, run.asNondeterministic()(*[F.col(c) for c in cols]))
 
 
 def system_score(df: DataFrame, score_col: str = "segment_score", digits: int = 4) -> DataFrame:

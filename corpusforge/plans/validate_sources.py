@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import HANGUL, LATIN
 from ..operators.report import SAMPLE_LIMIT, probe_schema, sanity_ok
-from ..sources.corpus import first_n_at_least_one, get_field, head_files, with_file_ordinal
+from ..sources.corpus import first_n_at_least_one, get_field, head_files, of_files, with_file_ordinal
 from ..session import ship_package
 from ..sources.specs import SourceSpec
 
@@ -46,14 +46,15 @@ def validate_one(spark: SparkSession, spec: SourceSpec, limit: int = SAMPLE_LIMI
     if num_err:
         info["num_rows_error"] = num_err
     try:
-        df = spark.read.format(spec.fmt).load(spec.path)
+        reader = spark.read.format(spec.fmt)
+        df = (reader.schema(spec.schema) if spec.schema else reader).load(spec.path)
         df.schema
     except Exception as exc:  # noqa: BLE001
         info.update(status="load_failed", error=_err(exc))
         return info
     ko_path, en_path, desc = probe_schema(df.schema)
     try:
-        head = spark.read.format(spec.fmt).load(head_files(spark, spec.fmt, spec.path, limit, spec.schema) or spec.path)
+        head = of_files(df, head_files(spark, spec.fmt, spec.path, limit, spec.schema))
         sample = first_n_at_least_one(with_file_ordinal(head), limit)
         ko = get_field(sample, ko_path) if ko_path else F.lit(None).cast("string")
         en = get_field(sample, en_path) if en_path else F.lit(None).cast("string")

@@ -168,24 +168,33 @@ def head_files(spark: SparkSession, fmt: str, path, limit: int, schema: str | No
     a few rows on a 100 TB source touches one file, never every split.
     Pass ``schema`` for formats that would otherwise infer it from the data
     (JSON): listing files must not scan them."""
-    files = sorted(_reader(spark, fmt, schema).load(path).inputFiles())
+    source = _reader(spark, fmt, schema).load(path)
+    files = sorted(source.inputFiles())
     chosen: list[str] = []
     total, i, step = 0, 0, 1
     while total < max(limit, 1) and i < len(files):
         batch = files[i:i + step]
-        total += _reader(spark, fmt, schema).load(batch).count()
+        total += of_files(source, batch).count()
         chosen += batch
         i, step = i + step, step * 2
     return chosen
 
 
+def of_files(source: DataFrame, files: list[str]) -> DataFrame:
+    """The rows of some of a source's files. The source is the one that was
+    loaded, so its partition columns stay; Spark skips the other files."""
+    if not files:
+        return source
+    names = {*files, *(f.replace("file:///", "file:/", 1) for f in files)}  # Spark spells local paths both ways
+    return source.where(F.col("_metadata.file_path").isin(sorted(names)))
+
+
 def read_source(spark: SparkSession, spec: SourceSpec, limit: int | None = None) -> DataFrame:
     """Read a source with an ``ord`` column. With a file ordinal and a cap,
     only the head files that can hold the first ``limit`` rows are read."""
-    path = spec.path
+    df = _reader(spark, spec.fmt, spec.schema).load(spec.path)
     if spec.ordinal is None and limit is not None:
-        path = head_files(spark, spec.fmt, spec.path, limit, spec.schema) or spec.path
-    df = _reader(spark, spec.fmt, spec.schema).load(path)
+        df = of_files(df, head_files(spark, spec.fmt, spec.path, limit, spec.schema))
     if spec.ordinal is None:
         df = with_file_ordinal(df)
     elif spec.ordinal != "ord":

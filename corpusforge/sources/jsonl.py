@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from .corpus import first_n_at_least_one, head_files, with_file_ordinal
+from .corpus import first_n_at_least_one, head_files, of_files, with_file_ordinal
 
 # Required keys of a curated test-set row (fixed values).
 TESTSET_FIELDS = ("id", "ko", "en", "source", "date", "category")
@@ -19,9 +19,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = CLEAN_PAIR_SCHEMA,
     malformed lines raise. ``limit`` counts non-blank rows and, as in the
     reference loop (test after append), ``limit=0`` still yields one row.
     Adds ``ord`` (0-based arrival order)."""
-    if limit is not None:  # only the head files that can hold the first rows
-        path = head_files(spark, "json", path, limit, schema) or path
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    if limit is not None:  # only the head files that can hold the first rows
+        df = of_files(df, head_files(spark, "json", path, limit, schema))
     df = with_file_ordinal(df)
     if limit is None:
         return df
@@ -45,7 +45,12 @@ def read_required_jsonl(spark: SparkSession, path: str, required=TESTSET_FIELDS)
 
     lines = with_file_ordinal(raw, expand=expand)
     m = F.from_json(F.col("value"), "map<string,string>", {"mode": "FAILFAST"})
-    parsed = lines.select("ord", m.alias("m"))
+    # a filter, so that the check runs whatever columns are read, also for a count
+    missing = F.array_except(F.array(*[F.lit(k) for k in required]), F.map_keys("m"))
+    complete = F.when(F.size(missing) == 0, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("row "), F.col("ord").cast("string"), F.lit(" lacks "), F.array_join(missing, ", "))).cast("boolean")
+    )
+    parsed = lines.select("ord", m.alias("m")).where(complete)
     return parsed.select("ord", *required_columns(F.col("m"), required, F.col("ord")))
 
 
