@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesops import held
+
 #: Bounds of a worker's memory: pieces and pairs remembered, characters of a piece remembered.
-CACHED_PIECES, CACHED_PAIRS, CACHED_LENGTH = 150_000, 500_000, 64
+CACHED_PIECES, CACHED_PAIRS, CACHED_LENGTH = 120_000, 200_000, 64
 _PIECES_AT_ONCE = 200_000
 _LONG = 1_000_000  # characters
 _REPLACEMENT = "\ufffd".encode()
@@ -36,6 +38,21 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
+class Decoder:
+    """Bytes of each id; one entry more, for ids that are no token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = {rank: token for token, rank in ranks.items()}
+        self._parts = [tokens.get(i, _REPLACEMENT) for i in range(max(tokens) + 2)]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for; an id outside the vocabulary gives U+FFFD."""
+        unknown = len(self._parts) - 1
+        ids = np.where((ids < 0) | (ids > unknown), unknown, ids)
+        of = self._parts.__getitem__
+        return b"".join(b"".join(map(of, ids[lo : lo + _PIECES_AT_ONCE].tolist())) for lo in range(0, len(ids), _PIECES_AT_ONCE))
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary."""
 
@@ -69,8 +86,7 @@ class Bpe:
             self.last_byte[rank] = len(token) - 1
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        #: Bytes of each id; one entry more, for ids that are no token.
-        self._parts = [self.bytes_of.get(i, _REPLACEMENT) for i in range(max(self.bytes_of) + 2)]
+        self.decode = Decoder(ranks).decode
 
     def _edges(self, token: bytes) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
         """Merge a token's bytes (the adjacent parts whose union has the lowest
@@ -153,13 +169,6 @@ class Bpe:
                     longest = token = next(matches)[1]
         return tokens
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes that ids stand for; an id outside the vocabulary gives U+FFFD."""
-        unknown = len(self._parts) - 1
-        ids = np.where((ids < 0) | (ids > unknown), unknown, ids)
-        of = self._parts.__getitem__
-        return b"".join(b"".join(map(of, ids[lo : lo + _PIECES_AT_ONCE].tolist())) for lo in range(0, len(ids), _PIECES_AT_ONCE))
-
 
 class _Remembered(dict):
     """Text -> its ids as int32 bytes; filled on demand and bounded: when it is
@@ -199,25 +208,6 @@ class TextEncoder:
         return b"".join(out)
 
 
-_LOADED: dict[int, Bpe] = {}
-_ENCODERS: dict[tuple[int, str], TextEncoder] = {}
-
-
-def _loaded(data: bytes) -> Bpe:
-    """The vocabulary, prepared once in a Python worker."""
-    key = hash(data)
-    if key not in _LOADED:
-        _LOADED[key] = Bpe(parse_ranks(data))
-    return _LOADED[key]
-
-
-def _encoder(data: bytes, pattern: str) -> TextEncoder:
-    key = (hash(data), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(_loaded(data), pattern)
-    return _ENCODERS[key]
-
-
 def with_token_ids(
     df: DataFrame,
     vocabulary: bytes,
@@ -235,7 +225,8 @@ def with_token_ids(
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(shared.value, pattern)
+        data = shared.value
+        encoder = held((hash(data), pattern), lambda: TextEncoder(Bpe(parse_ranks(data)), pattern))
         flat, ends = bytearray(), [0]
         for text in texts:
             flat += encoder.encode(text.as_py() or "")
@@ -255,7 +246,8 @@ def with_decoded(df: DataFrame, vocabulary: bytes, ids_col: str = "ids", out_col
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        bpe = _loaded(shared.value)
+        data = shared.value
+        decoder = held(hash(data), lambda: Decoder(parse_ranks(data)))
         rows = []
         for ids in lists:
             values = ids.values
@@ -263,7 +255,7 @@ def with_decoded(df: DataFrame, vocabulary: bytes, ids_col: str = "ids", out_col
                 rows.append(b"")
                 continue
             flat = values.drop_null().to_numpy(zero_copy_only=False)
-            rows.append(bpe.decode(flat))
+            rows.append(decoder.decode(flat))
         return pa.array(rows, pa.binary())
 
     return df.withColumn(out_col, decode.asNondeterministic()(F.col(ids_col)))

@@ -8,7 +8,7 @@ few numpy operations instead of a Python object. Callers walk a batch in
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,3 +105,15 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
 def row_slices(rows: np.ndarray, n_rows: int) -> np.ndarray:
     """Offsets into a row-ordered element array: row r owns [o[r], o[r+1])."""
     return np.searchsorted(rows, np.arange(n_rows + 1), side="left")
+
+
+_HELD: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]) -> object:
+    """A Python worker's prepared model. Workers are used again by later
+    operators, so only the last model stays in memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

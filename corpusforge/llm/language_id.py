@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import BLANKS, flat_utf8, pieces, row_slices, word_hashes, word_spans
+from .bytesops import BLANKS, flat_utf8, held, pieces, row_slices, word_hashes, word_spans
 from .sampling import fit_in_task, hash_sample, with_texts
 
 UNDETERMINED = "und"
@@ -167,15 +167,9 @@ def fit(texts: list[str], langs: list[str], vocabulary: list[bytes]) -> Language
     return LanguageModel(languages, vocabulary, p)
 
 
-_TRIES: dict[int, _Trie] = {}
-
-
 def _scorer(model: LanguageModel) -> _Trie:
-    key = hash((len(model.vocabulary), model.vocabulary[-1], model.vocabulary[len(model.vocabulary) // 2]))
-    if key not in _TRIES:
-        _TRIES.clear()
-        _TRIES[key] = _Trie(model.vocabulary)
-    return _TRIES[key]
+    key = ("trie", len(model.vocabulary), model.vocabulary[-1], model.vocabulary[len(model.vocabulary) // 2])
+    return held(key, lambda: _Trie(model.vocabulary))
 
 
 def predict(column: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
