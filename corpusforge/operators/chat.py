@@ -22,7 +22,7 @@ DEFAULT_SYSTEM = {
 
 def _check(direction: str) -> None:
     if direction not in DIRECTIONS:
-        raise ValueError(f"Unknown direction: {direction}")
+        raise ValueError(f"no such direction: {direction!r} (known: {DIRECTIONS})")
 
 
 def direction_columns(direction: str, ko: str = "ko", en: str = "en") -> tuple[Column, Column]:

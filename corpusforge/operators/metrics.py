@@ -243,11 +243,15 @@ def bleu_score(stats: DataFrame) -> Column:
 
 def chrf_stats(df: DataFrame, hyp: str = "pred", ref: str = "ref") -> DataFrame:
     """One row: m1..m6 matches, h1..h6 / r1..r6 hypothesis / reference
-    character n-gram totals (whitespace removed)."""
+    character n-gram totals (whitespace removed). A segment whose reference
+    has no n-grams of an order adds none of its hypothesis either."""
     seg = df.select(_segment_udf("chrf", CHRF_ORDER)(F.col(hyp), F.col(ref)).alias("s"))
     seg = seg.select(F.col("s"), F.col("s")[CHRF_ORDER].alias("hl"), F.col("s")[CHRF_ORDER + 1].alias("rl"))
     aggs = [F.sum(F.col("s")[n - 1]).alias(f"m{n}") for n in range(1, CHRF_ORDER + 1)]
-    aggs += [F.sum(F.greatest(F.col("hl") - n + 1, F.lit(0))).alias(f"h{n}") for n in range(1, CHRF_ORDER + 1)]
+    aggs += [
+        F.sum(F.when(F.col("rl") >= n, F.greatest(F.col("hl") - n + 1, F.lit(0))).otherwise(0)).alias(f"h{n}")
+        for n in range(1, CHRF_ORDER + 1)
+    ]
     aggs += [F.sum(F.greatest(F.col("rl") - n + 1, F.lit(0))).alias(f"r{n}") for n in range(1, CHRF_ORDER + 1)]
     out = seg.agg(*aggs)
     return out.select(*[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in out.columns])

@@ -8,9 +8,12 @@ current value range into a fixed number of buckets (one aggregate with
 partial aggregation; its output is at most ``buckets`` rows per range, no
 matter how large the data), and the driver walks the cumulative counts to
 the bucket holding rank k. The next pass only looks inside that bucket.
-Buckets are monotone in the value, min and max of a range always land in
-different buckets, so every pass strictly shrinks the candidate set; for
-continuous data three passes reach a single value even at 10^12 rows.
+Buckets are monotone in the value, and min and max of a range always land in
+different buckets. A range that spans more than a factor of 4, or both signs,
+is divided by sign and logarithm: at 4,096 buckets each is then about one
+binary order wide. A narrower range is divided linearly, 12 bits of the
+mantissa at a time. So 7 passes reach a single value whatever the
+distribution, and continuous data needs about three at 10^12 rows.
 The input is persisted once (memory and disk) for the passes.
 
 The histogram of a pass (at most ``buckets`` rows per target range, never
@@ -25,15 +28,13 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BUCKETS = 4096
 # ranges tables above this many rows are joined without a broadcast hint
 _BROADCAST_RANGES = 100_000
-# the full double range needs well under this many passes at 4096 buckets
-_MAX_PASSES = 400
 
 
 @dataclass
@@ -66,6 +67,19 @@ def _walk(buckets: list[tuple[int, int, object, object]], k: int):
     raise AssertionError("rank outside histogram")
 
 
+def _is_wide(lo: float, hi: float) -> bool:
+    small, large = sorted((abs(lo), abs(hi)))
+    return lo <= 0 <= hi or math.isinf(large) or large / 4 > small
+
+
+def _place(value: str) -> Column:
+    """Where a value lies on its range's axis, monotone in the value: by sign
+    and logarithm (the least double is 2^-1074) in a wide range, as it is in others."""
+    v = F.col(value)
+    signed = F.signum(v) * (F.least(F.log2(F.abs(v)), F.lit(1025.0)) + 1076.0)
+    return F.when(~F.col("_rwide"), v).when(v == 0, F.lit(0.0)).otherwise(signed)
+
+
 def order_statistics(
     df: DataFrame,
     value_col: str,
@@ -118,11 +132,7 @@ def order_statistics(
                 t.value, t.done = t.lo, True
 
         group_types = [data.schema[c].dataType for c in group_cols]
-        passes = 0
         while any(not t.done for t in targets):
-            passes += 1
-            if passes > _MAX_PASSES:  # every pass shrinks the range; never loop forever
-                raise RuntimeError("order statistics did not converge")
             active = [t for t in targets if not t.done]
             ranges: dict[tuple, int] = {}
             for t in active:
@@ -131,19 +141,18 @@ def order_statistics(
                 [T.StructField("_rid", T.IntegerType(), False)]
                 + [T.StructField(f"_g{i}", dt, True) for i, dt in enumerate(group_types)]
                 + [T.StructField("_rlo", T.DoubleType(), False), T.StructField("_rhi", T.DoubleType(), False)]
+                + [T.StructField("_rwide", T.BooleanType(), False)]
             )
             rdf = spark.createDataFrame(
-                [(rid, *g, lo, hi) for (g, lo, hi), rid in ranges.items()], schema
+                [(rid, *g, lo, hi, _is_wide(lo, hi)) for (g, lo, hi), rid in ranges.items()], schema
             )
+            rdf = rdf.withColumn("_from", _place("_rlo")).withColumn("_to", _place("_rhi"))
             if len(ranges) <= _BROADCAST_RANGES:
                 rdf = F.broadcast(rdf)
             cond = (F.col("_v") >= F.col("_rlo")) & (F.col("_v") <= F.col("_rhi"))
             for i, c in enumerate(group_cols):
                 cond = cond & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-            half = F.lit(0.5)
-            scaled = (F.col("_v") * half - F.col("_rlo") * half) / (
-                F.col("_rhi") * half - F.col("_rlo") * half
-            )
+            scaled = (_place("_v") - F.col("_from")) / (F.col("_to") - F.col("_from"))
             bucket = F.least(F.floor(scaled * F.lit(buckets)), F.lit(buckets - 1)).cast("int")
             hist = (
                 data.join(rdf, cond)
@@ -172,8 +181,9 @@ def order_statistics(
         data.unpersist()
 
 
-def kth_smallest_hex(df: DataFrame, hex_col: str, k: int, digits: int = 4) -> str:
+def kth_smallest_hex(df: DataFrame, hex_col: str, k: int, digits: int = 4, unique: bool = False) -> str:
     """sorted(df[hex_col])[k] for fixed-length lowercase hex strings (hashes).
+    With ``unique``, more rows up to that value than k + 1 raise.
 
     Level i buckets rows sharing the chosen prefix by their next ``digits``
     hex digits (16**digits buckets). Uniform hashes need two levels even at
@@ -191,8 +201,10 @@ def kth_smallest_hex(df: DataFrame, hex_col: str, k: int, digits: int = 4) -> st
                 .collect()
             )
             rows = sorted((h["_b"], h["_c"], h["_mn"], h["_mx"]) for h in hist)
-            before, (bkt, _, mn, mx) = _walk(rows, k)
+            before, (bkt, held, mn, mx) = _walk(rows, k)
             if mn == mx:
+                if unique and before + held > k + 1:
+                    raise ValueError(f"{hex_col}: repeated value at the cut, {before + held - k - 1} rows too many")
                 return mn
             k -= before
             prefix = prefix + format(bkt, f"0{digits}x")

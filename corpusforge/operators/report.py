@@ -55,10 +55,15 @@ def probe_map(m: Column) -> Column:
     quoted = F.transform(F.slice(keys, 1, 6), lambda k: F.concat(F.lit("'"), k, F.lit("'")))
     unknown = F.concat(F.lit(UNKNOWN_PREFIX + "["), F.array_join(quoted, ", "), F.lit("]"))
     ko = en = desc = None
-    for k_name, e_name, d in reversed(LAYOUTS[1:]):
-        cond = F.map_contains_key(m, k_name) & F.map_contains_key(m, e_name)
-        ko = F.when(cond, m[k_name]) if ko is None else F.when(cond, m[k_name]).otherwise(ko)
-        en = F.when(cond, m[e_name]) if en is None else F.when(cond, m[e_name]).otherwise(en)
+    for k_name, e_name, d in reversed(LAYOUTS):
+        holder = m
+        if "." in k_name:  # an object inside the map arrives as its JSON text
+            outer, k_name = k_name.split(".")
+            e_name = e_name.split(".")[1]
+            holder = F.from_json(m[outer], "map<string,string>")
+        cond = F.map_contains_key(holder, k_name) & F.map_contains_key(holder, e_name)
+        ko = F.when(cond, holder[k_name]) if ko is None else F.when(cond, holder[k_name]).otherwise(ko)
+        en = F.when(cond, holder[e_name]) if en is None else F.when(cond, holder[e_name]).otherwise(en)
         desc = F.when(cond, F.lit(d)).otherwise(unknown if desc is None else desc)
     return F.struct(ko.alias("ko"), en.alias("en"), desc.alias("schema"))
 

@@ -27,14 +27,15 @@ def val_size(n: int, val_fraction: float) -> int:
 def exact_split(
     df: DataFrame, key_col: str, val_fraction: float = 0.05, seed: int = 42, n: int | None = None
 ) -> DataFrame:
-    """Add ``shuffle_key`` and ``split`` ('train' / 'val') columns."""
+    """Add ``shuffle_key`` and ``split`` ('train' / 'val') columns. A key
+    repeated across the cut would change the split's size: it raises."""
     keyed = df.withColumn("shuffle_key", shuffle_key(F.col(key_col), seed))
     if n is None:
         n = keyed.count()
     n_val = val_size(n, val_fraction)
     if n_val <= 0:
         return keyed.withColumn("split", F.lit("train"))
-    threshold = kth_smallest_hex(keyed, "shuffle_key", n_val - 1)
+    threshold = kth_smallest_hex(keyed, "shuffle_key", n_val - 1, unique=True)
     return keyed.withColumn(
         "split", F.when(F.col("shuffle_key") <= F.lit(threshold), "val").otherwise("train")
     )

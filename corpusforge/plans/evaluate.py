@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chat, infer, metrics
 from ..operators.align import zip_by_id
-from ..session import ship_package
+from ..session import Scratch, ship_package
 from ..sources.jsonl import write_jsonl
 
 SAMPLES_IN_RESULT = 20
@@ -33,8 +33,15 @@ def evaluate(
     limit: int | None = None,
     output: str | None = None,
     meta: dict | None = None,
+    model: str | None = None,
+    adapter: str | None = None,
+    dataset: str | None = None,
+    split: str | None = None,
+    comet_model: str | None = None,
 ) -> dict:
-    """pairs(id, ko, en, ord) -> result dict (K5); writes K4/K5 under ``output``."""
+    """pairs(id, ko, en, ord) -> result dict (K5); writes K4/K5 under ``output``.
+    Model output is written to the shared folder, so that a lost executor
+    repeats no finished translation, and deleted at the end."""
     ship_package(spark)
     target_lang = "en" if direction == "ko2en" else "ko"
     if limit:  # W4: first `limit` pairs in order (0/None = all)
@@ -45,22 +52,25 @@ def evaluate(
         triples = zip_by_id(base, predictions.select("id", "pred"))
     else:
         triples = infer.batch_predict(base, translate, "src", "pred", batch_size)
-    triples = triples.persist()
-    n_pairs = triples.count()  # forces the translation
+    scratch = Scratch(spark, "evaluate")
+    triples = scratch.cut(triples, "triples")  # forces the translation
+    n_pairs = triples.count()
     seconds = round(time.time() - t0, 1)
     result_metrics = metrics.translation_metrics(triples, target_lang)
     if scorer is not None:
         scored = infer.score_segments(triples, scorer)
         result_metrics["comet"] = infer.system_score(scored).first()[0]
+        result_metrics["comet_model"] = comet_model
     samples = [
         {"src": r.src, "ref": r.ref, "pred": r.pred}
         for r in triples.orderBy("ord").limit(SAMPLES_IN_RESULT).collect()  # W5
     ]
-    result = {**(meta or {}), "direction": direction, "n_pairs": n_pairs,
+    about = {"model": model, "adapter": adapter, "dataset": dataset, "split": split}
+    result = {**about, **(meta or {}), "direction": direction, "n_pairs": n_pairs,
               "translate_seconds": seconds, "metrics": result_metrics, "samples": samples}
     if output:
         write_jsonl(triples.orderBy("ord").select("src", "ref", "pred"), f"{output}.preds")
         spark.createDataFrame([(json.dumps(result, ensure_ascii=False, indent=2),)], "value string") \
             .coalesce(1).write.mode("overwrite").text(output)
-    triples.unpersist()
+    scratch.drop()
     return result

@@ -140,7 +140,7 @@ def q_exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 on the test data: each user turn with the assistant turn right after
     it in the same conversation -> (conv_id, turn, src, tgt)."""
-    c = balanced(table(spark, sf_dir, "conversations"))
+    c = table(spark, sf_dir, "conversations")
     user = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("src"))
     asst = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt")
@@ -624,7 +624,7 @@ def _chrf_sql() -> str:
     eff = " + ".join(f"(CASE WHEN {both(n)} THEN 1 ELSE 0 END)" for n in range(1, 7))
     return f"""
     WITH {_ngram_ctes(_char_units(), 6, "")},
-    t AS (SELECT n, sum(greatest(hl - n + 1, 0)) AS h, sum(greatest(rl - n + 1, 0)) AS r
+    t AS (SELECT n, sum(CASE WHEN rl >= n THEN greatest(hl - n + 1, 0) ELSE 0 END) AS h, sum(greatest(rl - n + 1, 0)) AS r
           FROM lens, range(1, 7) o(n) GROUP BY n),
     w AS (SELECT {cols_m}, {cols_h}, {cols_r}),
     a AS (SELECT *, CASE WHEN ({eff}) > 0 THEN ({sp}) / ({eff}) ELSE 0 END AS ap,

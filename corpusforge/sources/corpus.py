@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import balanced
+from ..session import cut_lineage
 from .specs import SourceSpec
 
 # split-offset tables up to this many rows (~200 bytes each) are broadcast
@@ -17,30 +18,39 @@ BROADCAST_SPLITS = 1_000_000
 
 
 # ----------------------------------------------------------------- ordinals
+def _has_row_index(df: DataFrame) -> bool:
+    """The reader tells each row's place in its file (Parquet does)."""
+    try:
+        df.select("_metadata.row_index").schema
+    except AnalysisException:
+        return False
+    return True
+
+
 def with_file_ordinal(df: DataFrame, name: str = "ord", expand=None) -> DataFrame:
-    """Add a 0-based arrival-order ordinal from file position.
+    """Add a 0-based arrival-order ordinal from file position, in order of
+    file path and place in the file.
 
-    Rows of one file split are read contiguously by one task, so
-    ``monotonically_increasing_id`` minus the split's smallest id is the row's
-    index inside the split. Per-split counts (one row per split, so small even
-    at 100 TB) give each split's offset in (file path, block start) order.
-    The offsets table is joined back; Spark broadcasts it when its measured
-    size is under the broadcast threshold and shuffles otherwise.
+    Parquet rows carry their place in the file (``_metadata.row_index``), so a
+    row count per file gives the ordinal, however the files are split. Other
+    formats are written once with their split and task position; counts and
+    rows then come from that one table, so a later scan with other splits
+    can't lose rows.
 
     ``expand`` is an optional narrow, order-keeping step (e.g. an explode)
     applied to the scan before numbering, so its output rows get the ordinal.
     """
-    tagged = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_cf_file"),
-        F.col("_metadata.file_block_start").alias("_cf_block"),
-    )
-    if expand is not None:
-        tagged = expand(tagged)
-    tagged = tagged.withColumn("_cf_mid", F.monotonically_increasing_id())
-    splits = tagged.groupBy("_cf_file", "_cf_block").agg(
-        F.min("_cf_mid").alias("_cf_m0"), F.count(F.lit(1)).alias("_cf_n")
-    )
+    file = F.col("_metadata.file_path").alias("_cf_file")
+    if expand is None and _has_row_index(df):
+        tagged = df.select("*", file, F.lit(0).cast("bigint").alias("_cf_block"), F.col("_metadata.row_index").alias("_cf_mid"))
+        base = F.lit(0).cast("bigint")
+    else:
+        tagged = df.select("*", file, F.col("_metadata.file_block_start").alias("_cf_block"))
+        if expand is not None:
+            tagged = expand(tagged)
+        tagged = cut_lineage(tagged.withColumn("_cf_mid", F.monotonically_increasing_id()), "ordinal")
+        base = F.min("_cf_mid")
+    splits = tagged.groupBy("_cf_file", "_cf_block").agg(base.alias("_cf_m0"), F.count(F.lit(1)).alias("_cf_n"))
     order = Window.orderBy("_cf_file", "_cf_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         "_cf_file",
@@ -48,9 +58,9 @@ def with_file_ordinal(df: DataFrame, name: str = "ord", expand=None) -> DataFram
         "_cf_m0",
         F.coalesce(F.sum("_cf_n").over(order), F.lit(0)).alias("_cf_off"),
     )
-    # one row per file split: about 800k rows for 100 TB at 128 MB splits.
+    # one row per file or file split: about 800k rows for 100 TB at 128 MB.
     # Count it first; broadcast below a proven bound, shuffle-join above it.
-    offsets = offsets.persist()
+    offsets = cut_lineage(offsets, "offsets")
     n_splits = offsets.count()
     side = F.broadcast(offsets) if n_splits <= BROADCAST_SPLITS else offsets
     out = tagged.join(side, ["_cf_file", "_cf_block"]).withColumn(
@@ -68,19 +78,33 @@ def first_n(df: DataFrame, limit: int | None, ord_col: str = "ord") -> DataFrame
 
 
 def first_n_by(df: DataFrame, limit: int | None, ord_col: str) -> DataFrame:
-    """First ``limit`` rows by any unique sortable ordinal (not necessarily
+    """First ``limit`` rows by any unique numeric ordinal (not necessarily
     dense, e.g. an id column): keep ord <= the limit-th smallest ordinal,
-    found exactly by histogram selection (no sort, no global window)."""
+    found exactly by histogram selection (no sort, no global window). A
+    bigint is searched by its upper and then its lower 32 bits, which doubles
+    hold exactly. Rows without an ordinal go; ordinals of other types raise."""
     if limit is None:
         return df
+    kind = df.schema[ord_col].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)):
+        raise TypeError(f"ordinal {ord_col!r} has type {kind.simpleString()}; an integer or double column is needed")
     if limit <= 0:
         return df.where(F.lit(False))
     from ..operators.rank import order_statistics
 
-    stats = order_statistics(df, ord_col, [], lambda n: [("cut", min(int(limit), n) - 1)])
+    c = F.col(ord_col)
+    wide = isinstance(kind, T.LongType)
+    parts = df.select(F.shiftright(c, 32).alias("hi"), c.bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo")) if wide else df.select(c.alias("hi"))
+    stats = order_statistics(parts, "hi", [], lambda n: [("cut", min(int(limit), n) - 1)])
     if not stats:
-        return df
-    return df.where(F.col(ord_col) <= F.lit(stats[0].values["cut"]))
+        return df.where(F.lit(False))
+    cut = stats[0].values["cut"]
+    if not wide:
+        return df.where(c <= F.lit(cut))
+    cut = int(cut)
+    k = min(int(limit), stats[0].n) - 1 - parts.where(F.col("hi") < cut).count()
+    low = order_statistics(parts.where(F.col("hi") == cut), "lo", [], lambda n: [("cut", k)])[0].values["cut"]
+    return df.where(c <= F.lit((cut << 32) + int(low)))
 
 
 def first_n_at_least_one(df: DataFrame, limit: int, ord_col: str = "ord") -> DataFrame:
@@ -205,7 +229,7 @@ def read_source(spark: SparkSession, spec: SourceSpec, limit: int | None = None)
 def union_sources(frames: list[DataFrame]) -> DataFrame:
     """Union of projected sources; the priority column keeps order
     (rows carry their own ordinal, so later repartitioning is harmless)."""
-    return balanced(reduce(lambda a, b: a.unionByName(b), frames))
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def load_catalogue(

@@ -38,9 +38,9 @@ def read_parallel_lines(spark: SparkSession, src_path: str, tgt_path: str, src:
     line counts raise. Returns (id, src, tgt) with id = line index as text."""
     a = read_lines(spark, src_path, src)
     b = read_lines(spark, tgt_path, tgt)
-    na, nb = a.count(), b.count()
+    na, nb = a.count(), b.count()  # of the numbered lines as written, not of a new scan
     if na != nb:
-        raise RuntimeError(f"row mismatch: {src}={na} {tgt}={nb}")
+        raise RuntimeError(f"the files do not align: {na} {src} lines against {nb} {tgt} lines")
     return a.join(b, "line_no").select(F.col("line_no").cast("string").alias("id"), src, tgt, "line_no")
 
 
@@ -50,13 +50,13 @@ def flores_path(root: str, split: str, lang: str) -> str:
 
 def load_flores(spark: SparkSession, root: str, split: str = "devtest") -> DataFrame:
     if split not in SPLITS:
-        raise ValueError(f"split must be 'dev' or 'devtest', got {split!r}")
-    return read_parallel_lines(spark, flores_path(root, split, "ko"), flores_path(root, split, "en"))
+        raise ValueError(f"no such split: {split!r} (known: {SPLITS})")
+    return read_parallel_lines(spark, flores_path(root, split, "ko"), flores_path(root, split, "en")).withColumnRenamed("line_no", "ord")
 
 
 def load_eval_pairs(spark: SparkSession, name: str, root: str, split: str = "devtest") -> DataFrame:
-    """Dataset readers by name; unknown names raise."""
+    """(id, ko, en, ord) of a dataset by name; unknown names raise."""
     readers = {"flores": load_flores}
     if name not in readers:
-        raise ValueError(f"Unknown dataset: {name}")
+        raise ValueError(f"no reader for dataset {name!r} (known: {sorted(readers)})")
     return readers[name](spark, root, split)

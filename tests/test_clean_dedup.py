@@ -2,7 +2,6 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-import pyref
 from corpusforge.operators.clean import apply_waterfall
 from corpusforge.operators.dedup import annotate_duplicates, dedup_winners
 from corpusforge.operators.stats import source_stats
@@ -12,32 +11,35 @@ KO10 = "가나다라마바사아자차"  # 10 Hangul syllables
 EN = "abcdefghij"
 
 
+NFD10 = unicodedata.normalize("NFD", KO10)
+
+# (expected reason, ko, en): one case per outcome and boundary, worked by hand
+CASES = [
+    ("schema", None, EN),
+    ("empty", "\u3000\xa0", EN),
+    ("not_ko", "abcdefghijk", EN),
+    ("not_ko", NFD10, EN),  # conjoining letters are not syllables
+    ("not_en", KO10, "abc 가 defghij"),
+    ("not_en", KO10, "1234567890"),
+    ("len_ko", "가" * 9, "a" * 10),
+    (None, "가" * 10, "a" * 10),
+    (None, "가" * 800, "a" * 800),
+    ("len_ko", "가" * 801, "a" * 801),
+    ("len_en", KO10, "a" * 9),
+    (None, "가" * 400, "a" * 1600),  # ratio 4
+    ("len_en", "가" * 400, "a" * 1601),
+    ("ratio", "가" * 100, "a" * 29 + " "),
+    (None, "가" * 100, "a" * 30),  # ratio 0.3
+    (None, "가" * 100, "a" * 31),
+    (None, "가" * 20, "a" * 100),  # ratio 5
+    ("ratio", "가" * 20, "a" * 101),
+    ("not_en", "가" * 9, "가"),  # too short as well: the first reason counts
+    (None, "  " + KO10 + "  ", "\u3000" + EN),
+]
+
+
 def waterfall_rows():
-    """One row per outcome and boundary (FIXTURES.md §3)."""
-    nfd = unicodedata.normalize("NFD", KO10)
-    rows = [
-        (None, EN),  # schema (null side)
-        ("　\xa0", EN),  # empty after strip (U+3000, U+00A0)
-        ("abcdefghijk", EN),  # not_ko
-        (nfd, EN),  # NFD-only Hangul -> not_ko
-        (KO10, "abc 가 defghij"),  # Hangul inside the English -> not_en
-        (KO10, "1234567890"),  # digits-only English -> not_en
-        ("가" * 9, "a" * 10),  # len_ko 9
-        ("가" * 10, "a" * 10),  # ok 10
-        ("가" * 800, "a" * 800),  # ok 800
-        ("가" * 801, "a" * 801),  # len_ko 801
-        (KO10, "a" * 9),  # len_en 9
-        ("가" * 400, "a" * 1600),  # ok 1600 (ratio 4.0)
-        ("가" * 400, "a" * 1601),  # len_en 1601
-        ("가" * 100, "a" * 29 + " "),  # ratio 0.29 -> ratio
-        ("가" * 100, "a" * 30),  # ratio 0.3 exactly -> ok
-        ("가" * 100, "a" * 31),  # ok
-        ("가" * 20, "a" * 100),  # ratio 5.0 exactly -> ok
-        ("가" * 20, "a" * 101),  # ratio above 5.0
-        ("가" * 9, "가"),  # fails not_en and len_ko: first reason wins (not_en)
-        ("  " + KO10 + "  ", "　" + EN),  # padded -> ok after strip
-    ]
-    return rows
+    return [(ko, en) for _, ko, en in CASES]
 
 
 def frame(spark, rows, source="s", priority=0):
@@ -47,12 +49,16 @@ def frame(spark, rows, source="s", priority=0):
     )
 
 
-def test_waterfall_matches_python(spark):
-    rows = waterfall_rows()
-    got = {r.ord: r.reason for r in apply_waterfall(frame(spark, rows)).collect()}
-    exp = {i: pyref.waterfall(ko, en)[0] for i, (ko, en) in enumerate(rows)}
-    assert got == exp
-    assert set(exp.values()) >= {None, "schema", "empty", "not_ko", "not_en", "len_ko", "len_en", "ratio"}
+def test_waterfall_reasons(spark):
+    got = {r.ord: r.reason for r in apply_waterfall(frame(spark, waterfall_rows())).collect()}
+    assert [got[i] for i in range(len(CASES))] == [reason for reason, _, _ in CASES]
+
+
+def test_changed_thresholds(spark):
+    cfg = FilterCfg(char_min=3, char_max_ko=4, char_max_en=8, ratio_min=1.0, ratio_max=2.0)
+    rows = [("가나다", "abc"), ("가나", "abc"), ("가나다라마", "abcde"), ("가나다", "ab"), ("가나다라", "abcdefghi"), ("가나다라", "abc"), ("가나다", "abcdefg")]
+    got = {r.ord: r.reason for r in apply_waterfall(frame(spark, rows), cfg).collect()}
+    assert [got[i] for i in range(7)] == [None, "len_ko", "len_ko", "len_en", "len_en", "ratio", "ratio"]
 
 
 def test_non_string_side_is_schema(spark):
@@ -80,6 +86,13 @@ def dedup_rows():
     ]
 
 
+# (priority, ord) -> reason, worked by hand
+DEDUP_REASONS = {
+    (0, 1): None, (0, 2): "len_ko", (0, 5): "dup", (0, 7): "dup", (1, 0): "dup",
+    (1, 3): None, (1, 4): "dup", (2, 0): "len_en", (2, 1): "len_en", (2, 2): None,
+}
+
+
 def test_dedup_priority_and_first_writer(spark):
     rows = dedup_rows()
     df = spark.createDataFrame(
@@ -87,10 +100,7 @@ def test_dedup_priority_and_first_writer(spark):
         "source string, priority int, ord bigint, ko_raw string, en_raw string, score double",
     )
     got = {(r.priority, r.ord): r.reason for r in annotate_duplicates(apply_waterfall(df)).collect()}
-    exp = pyref.annotate([(p, o, ko, en) for p, o, ko, en in rows])
-    assert got == exp
-    assert exp[(0, 1)] is None and exp[(0, 5)] == "dup" and exp[(1, 0)] == "dup"
-    assert exp[(2, 2)] is None and exp[(1, 4)] == "dup"
+    assert got == DEDUP_REASONS
 
 
 def test_dedup_partition_independent(spark):
@@ -103,7 +113,7 @@ def test_dedup_partition_independent(spark):
     b = sorted(tuple(r) for r in annotate_duplicates(apply_waterfall(df.repartition(8))).select("priority", "ord", "reason").collect())
     assert a == b
     w = sorted((r.priority, r.ord) for r in dedup_winners(apply_waterfall(df.repartition(8)), ["source"]).collect())
-    assert w == sorted(k for k, v in pyref.annotate([(p, o, ko, en) for p, o, ko, en in rows]).items() if v is None)
+    assert w == [(0, 1), (1, 3), (2, 2)]
 
 
 def test_source_stats_invariant(spark):

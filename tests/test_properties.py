@@ -45,7 +45,27 @@ def test_text_functions_match_python(spark, xs):
         assert list(r.split) == x.split()
         assert list(r.lines) == x.splitlines()
         assert r.nfc == unicodedata.normalize("NFC", x)
-        assert r.key == pyref.dedup_key(x)
+        assert len(r.key) == 32
+
+
+@SETTINGS
+@given(texts)
+def test_keys_ignore_padding_and_case(spark, xs):
+    """Padding never matters, nor case or composition; other texts differ."""
+    rows = [(x, "\u3000 " + x + "\n", x.lower()) for x in xs]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    keys = df.select(*[text.dedup_key(F.col(c)).alias(c) for c in "abc"]).collect()
+    assert all(r.a == r.b for r in keys)
+    plain = [(x.strip(), r) for x, r in zip(xs, keys) if x.isascii()]
+    assert all(r.a == r.c for _, r in plain)
+    assert len({x.lower() for x, _ in plain}) == len({r.a for _, r in plain})
+
+
+def test_key_values(spark):
+    df = spark.createDataFrame([("  ABC ",), ("\ud55c",), ("\u1112\u1161\u11ab",), ("",)], "s string")
+    got = [r[0] for r in df.select(text.dedup_key(F.col("s"))).collect()]
+    assert got[0] == "900150983cd24fb0d6963f7d28e17f72" and got[1] == got[2] != got[0]
+    assert got[3] == "d41d8cd98f00b204e9800998ecf8427e"
 
 
 @SETTINGS

@@ -42,7 +42,7 @@ def test_parallel_lines_strict(spark, tmp_dir):
     root = f"{tmp_dir}/flores"
     write(f"{root}/devtest/kor_Hang.devtest", "가\n나\n다\n")
     write(f"{root}/devtest/eng_Latn.devtest", "a\nb\nc")
-    pairs = load_eval_pairs(spark, "flores", root, "devtest").orderBy("line_no").collect()
+    pairs = load_eval_pairs(spark, "flores", root, "devtest").orderBy("ord").collect()
     assert [(r.id, r.ko, r.en) for r in pairs] == [("0", "가", "a"), ("1", "나", "b"), ("2", "다", "c")]
     write(f"{root}/dev/kor_Hang.dev", "가\n나\n")
     write(f"{root}/dev/eng_Latn.dev", "a\n")
