@@ -2,9 +2,9 @@
 -> per-source score distribution -> bottom-percent score cut -> exact seeded
 split -> JSONL + stats.
 
-Shuffles: one exchange on the dedup key (aggregate with map-side combine)
-and small aggregates for the order statistics and counters; no row-level
-join. The keyed frame is written once to the shared checkpoint folder so the
+Shuffles: one exchange of narrow row ids on the dedup key (aggregate with
+map-side combine), one join on the unique row id, and small aggregates for the
+order statistics and counters. The keyed frame is written once to the shared checkpoint folder so the
 text work never runs twice and an executor loss never replays it.
 """
 
@@ -22,7 +22,7 @@ from ..operators.dedup import annotate_duplicates, dedup_winners, with_dedup_key
 from ..operators.score import apply_score_cut, score_distribution
 from ..operators.split import exact_split
 from ..operators.stats import final_distribution, outcome_counts_from_winners, source_stats_from_counts, totals
-from ..session import cut_lineage, ship_package
+from ..session import Scratch, ship_package
 from ..sources.corpus import load_catalogue
 from ..sources.jsonl import write_jsonl
 from ..sources.specs import FilterCfg, SourceSpec
@@ -37,9 +37,12 @@ class BuildResult:
     before_cut: int
     cutoff: float | None
     config: dict
+    scratch: Scratch | None = None  # holds ``keyed`` and ``winners``
 
     def release(self) -> None:
-        """Drop the winners from executor memory if they were persisted."""
+        """Delete the intermediate tables; the frames can't be read afterwards."""
+        if self.scratch is not None:
+            self.scratch.drop()
         self.winners.unpersist()
 
     @property
@@ -63,17 +66,19 @@ def build_corpus(
     """pairs(source, priority, ord, ko_raw, en_raw, score) -> BuildResult.
 
     Plan: one narrow pass (waterfall + key) written to the shared checkpoint
-    folder; one aggregate on the key keeps the winners with their payload
-    (partial aggregation, skew-safe), also written once; counters, order
-    statistics, the cut and the split then read those. No row-level join."""
+    folder; one aggregate of narrow row ids on the key (partial aggregation,
+    skew-safe) names the winners, whose rows a semi join on the unique row id
+    fetches, also written once; counters, order statistics, the cut and the
+    split then read those. ``BuildResult.release`` deletes both tables."""
     keyed = with_dedup_key(apply_waterfall(pairs, cfg))
+    scratch = Scratch(pairs.sparkSession, "build") if checkpoint else None
     if checkpoint:
-        keyed = cut_lineage(keyed, "keyed")
+        keyed = scratch.cut(keyed, "keyed")
     winners = dedup_winners(keyed, PAYLOAD, keyed=True)
     # read by the counters, the order statistics, the cut and the split: write
     # it once (no executor memory held between calls) or, without a shared
     # folder, keep it on executors
-    winners = cut_lineage(winners, "winners") if checkpoint else winners.persist(StorageLevel.MEMORY_AND_DISK)
+    winners = scratch.cut(winners, "winners") if checkpoint else winners.persist(StorageLevel.MEMORY_AND_DISK)
     counts = outcome_counts_from_winners(keyed, winners)
     before_cut = winners.count()
     after_cut, cutoff = apply_score_cut(winners, drop_bottom_score_pct)
@@ -89,7 +94,7 @@ def build_corpus(
         "ratio_min": cfg.ratio_min,
         "ratio_max": cfg.ratio_max,
     }
-    return BuildResult(keyed, counts, winners, kept, before_cut, cutoff, config)
+    return BuildResult(keyed, counts, winners, kept, before_cut, cutoff, config, scratch)
 
 
 def build_stats(result: BuildResult, max_per_source: int | None = None) -> dict:

@@ -66,8 +66,7 @@ def clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT ord AS doc_id, source, dkey FROM a WHERE reason IS NULL""",
 )
 def dedup_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = apply_waterfall(doc_pairs(spark, sf_dir), DOC_CFG)
-    won = dedup_winners(checked, ["source"])
+    won = dedup_winners(doc_keyed(spark, sf_dir), ["source"], keyed=True)
     return won.select(F.col("ord").alias("doc_id"), "source", "dkey")
 
 

@@ -1,5 +1,6 @@
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusforge.operators.clean import apply_waterfall
@@ -103,6 +104,19 @@ def test_dedup_priority_and_first_writer(spark):
     assert got == DEDUP_REASONS
 
 
+def test_dedup_aggregates_narrow_rows_by_hashing(spark):
+    rows = apply_waterfall(frame(spark, waterfall_rows()))
+    for df in (annotate_duplicates(rows), dedup_winners(rows, ["source", "ko", "en"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_dedup_needs_row_ids(spark):
+    df = apply_waterfall(frame(spark, [(KO10, EN)])).withColumn("ord", F.lit(None).cast("bigint"))
+    with pytest.raises(Exception, match="no priority or no ordinal"):
+        dedup_winners(df, ["source"]).collect()
+
+
 def test_dedup_partition_independent(spark):
     rows = dedup_rows() * 1
     df = spark.createDataFrame(

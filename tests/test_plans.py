@@ -1,6 +1,8 @@
+import glob
 import json
 
 from corpusforge.plans.build import build_dataset
+from corpusforge.session import checkpoint_dir
 from corpusforge.plans.evaluate import evaluate
 from corpusforge.plans.finetune_data import prepare_sft
 from corpusforge.plans.validate_sources import validate_sources
@@ -22,6 +24,7 @@ def corpora(spark, d):
 def test_build_dataset_accounting(spark, tmp_dir):
     specs = corpora(spark, tmp_dir)
     stats = build_dataset(spark, specs, f"{tmp_dir}/out", drop_bottom_score_pct=10, val_fraction=0.1)
+    assert not glob.glob(checkpoint_dir(spark).removeprefix("file:") + "/corpusforge-build-*/*")  # nothing is left behind
     for s in stats["per_source"].values():
         assert s["loaded"] == s["passed"] + sum(s["rejected"].values())
     t = stats["total"]
