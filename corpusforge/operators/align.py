@@ -17,6 +17,27 @@ def lines_with_position(df: DataFrame, key_cols: list[str], text_col: str, line_
     return df.select(*key_cols, F.posexplode(split_lines(F.col(text_col))).alias("pos", line_col))
 
 
+def align_texts(left: DataFrame, right: DataFrame, key_cols: list[str], left_text: str, right_text: str, left_line: str, right_line: str) -> DataFrame:
+    """J1 of two texts a key: (key..., pos, left_line, right_line, one_sided).
+    Texts meet whole, one row a key, and are split into lines after the join,
+    so the shuffle and its sort handle documents and not single lines."""
+    both = left.select(*key_cols, F.col(left_text).alias("_cf_l")).join(
+        right.select(*key_cols, F.col(right_text).alias("_cf_r")), list(key_cols), "full_outer"
+    )
+    none = F.array().cast("array<string>")
+    sides = both.select(
+        *key_cols,
+        F.coalesce(split_lines(F.col("_cf_l")), none).alias("_cf_l"),
+        F.coalesce(split_lines(F.col("_cf_r")), none).alias("_cf_r"),
+    )
+    shared = F.least(F.size("_cf_l"), F.size("_cf_r")).alias("_cf_n")
+    lines = sides.select(*key_cols, shared, F.posexplode(F.arrays_zip("_cf_l", "_cf_r")).alias("pos", "_cf_z"))
+    return lines.select(
+        *key_cols, "pos", F.col("_cf_z._cf_l").alias(left_line), F.col("_cf_z._cf_r").alias(right_line),
+        (F.col("pos") >= F.col("_cf_n")).alias("one_sided"),
+    )
+
+
 def align_by_position(
     left: DataFrame, right: DataFrame, key_cols: list[str], pos_col: str = "pos"
 ) -> DataFrame:

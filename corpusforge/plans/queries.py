@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import py_round
 from ..functions.text import LATIN, LINE_BREAK, WHITESPACE
 from ..operators import chat, infer, metrics, report, validate
-from ..operators.align import align_by_position, lines_with_position
+from ..operators.align import align_texts
 from ..operators.clean import apply_waterfall
 from ..operators.dedup import annotate_duplicates, dedup_winners, with_dedup_key
 from ..operators.score import apply_score_cut, score_distribution
@@ -389,11 +389,9 @@ def _lines_sql(side: str, pair_expr: str, col: str) -> str:
 )
 def line_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    left = lines_with_position(d.select(F.col("doc_id").alias("pair_id"), "text"), ["pair_id"], "text", "src_line")
-    right = lines_with_position(
-        d.select((F.col("doc_id") - 1).alias("pair_id"), "text"), ["pair_id"], "text", "tgt_line"
-    )
-    return align_by_position(left, right, ["pair_id"])
+    left = d.select(F.col("doc_id").alias("pair_id"), "text")
+    right = d.select((F.col("doc_id") - 1).alias("pair_id"), "text")
+    return align_texts(left, right, ["pair_id"], "text", "text", "src_line", "tgt_line")
 
 
 # -------------------------------------------------------- nested_projection

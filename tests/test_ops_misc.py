@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusforge.operators import infer, report
-from corpusforge.operators.align import align_by_position, lines_with_position, require_aligned, zip_by_id
+from corpusforge.operators.align import align_by_position, align_texts, lines_with_position, require_aligned, zip_by_id
 from corpusforge.sources.corpus import first_n_per_group
 
 
@@ -12,6 +12,7 @@ def test_align_by_position_flags_one_sided(spark):
     lines_l = lines_with_position(left, ["k"], "t", "src")
     lines_r = lines_with_position(right, ["k"], "t", "tgt")
     got = sorted(tuple(r) for r in align_by_position(lines_l, lines_r, ["k"]).collect())
+    assert got == sorted(tuple(r) for r in align_texts(left, right, ["k"], "t", "t", "src", "tgt").collect())
     assert got == [(1, 0, "a", "x", False), (1, 1, "b", "y", False), (1, 2, "c", None, True)]
     with pytest.raises(RuntimeError):
         require_aligned(align_by_position(lines_l, lines_r, ["k"]))
