@@ -139,23 +139,27 @@ class QualityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(x: np.ndarray, y: Sequence[int]) -> QualityModel:
-    """Boost on statistics and labels 0 and 1. With one label only, the score
-    is that label softened (0.01 or 0.99); without rows it is 0.5."""
+def fit(x: np.ndarray, y: Sequence[int], weights: Sequence[float] | None = None) -> QualityModel:
+    """Boost on statistics and labels 0 and 1, each standing for ``weights`` rows
+    (default: one). With one label only, the score is that label softened (0.01
+    or 0.99); without rows it is 0.5."""
     y = np.asarray(y, dtype=float)
+    w = np.ones(len(y)) if weights is None else np.asarray(weights, dtype=float)
     none = (np.zeros((0, (1 << DEPTH) - 1), np.int64), np.zeros((0, (1 << DEPTH) - 1)), np.zeros((0, 1 << DEPTH)))
     if not len(y) or y.min() == y.max():
         return QualityModel(float(np.log(99) * (2 * y[0] - 1)) if len(y) else 0.0, *none)
     edges = [np.unique(np.quantile(col, np.linspace(0, 1, BINS + 1)[1:-1])) for col in x.T]
     binned = np.column_stack([np.searchsorted(e, col, side="left") for e, col in zip(edges, x.T, strict=True)])
     n, m = binned.shape
-    base = float(np.log(y.mean() / (1 - y.mean())))
+    w = w / w.mean()
+    prior = np.average(y, weights=w)
+    base = float(np.log(prior / (1 - prior)))
     z = np.full(n, base)
     inner, leaves = (1 << DEPTH) - 1, 1 << DEPTH
     features, thresholds, values = [], [], []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-z))
-        g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+        g, h = w * (y - p), w * np.maximum(p * (1 - p), 1e-6)
         feature, threshold = np.zeros(inner, np.int64), np.full(inner, np.inf)
         node = np.zeros(n, dtype=np.int64)
         for depth in range(DEPTH):
@@ -176,8 +180,8 @@ def fit(x: np.ndarray, y: Sequence[int]) -> QualityModel:
                 better = top > best
                 best[better], cut[better] = top[better], k[better]
                 feature[level : level + width][better] = j
-            for w in np.flatnonzero(cut < BINS):
-                threshold[level + w] = edges[feature[level + w]][cut[w]]
+            for k in np.flatnonzero(cut < BINS):
+                threshold[level + k] = edges[feature[level + k]][cut[k]]
             node = 2 * node + 1 + (binned[np.arange(n), feature[node]] > cut[at])
         sg = np.bincount(node - inner, weights=g, minlength=leaves)
         sh = np.bincount(node - inner, weights=h, minlength=leaves)
@@ -193,7 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on a sample of the rows that ``labels`` (id, label 0 or 1) covers: at
     most ``SAMPLE_DOCS`` documents of each label, by the hash of their ids, and
     ``SAMPLE_CHARS`` characters of each; the driver receives their statistics.
-    Labels are weighted as they come in the sample's classes."""
+    A sampled row counts for as many as its label has per sampled one, so the
+    labels' prior is that of all rows."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).alias("_y"))
     drawn = hash_sample(known.dropDuplicates([id_col]), id_col, "_y", SAMPLE_DOCS)
     texts = with_texts(drawn, docs.select(id_col, text_col), id_col, text_col, SAMPLE_CHARS)
@@ -202,9 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def measure(column: pa.Array) -> pa.Array:
         return pa.array(list(statistics(column)), pa.list_(pa.float64()))
 
-    rows = texts.select(id_col, "_y", measure.asNondeterministic()("_text").alias("x")).collect()
+    rows = texts.select(id_col, "_y", measure.asNondeterministic()("_text").alias("x"), "_weight").collect()
     rows.sort(key=lambda r: (r[0], r[2]))
-    return fit(np.array([r["x"] for r in rows]).reshape(len(rows), -1), [r["_y"] for r in rows])
+    return fit(np.array([r["x"] for r in rows]).reshape(len(rows), -1), [r["_y"] for r in rows], [r["_weight"] for r in rows])
 
 
 def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -17,8 +17,9 @@ def remainder(id_col: str, m: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(m))
 
 
-def hash_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows of each class, by the hash of their ids.
+def hash_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int, weight_col: str = "_weight") -> DataFrame:
+    """At most ``per_class`` rows of each class, by the hash of their ids, and
+    in ``weight_col`` how many rows of its class each stands for.
 
     A class's count sets a hash threshold that about 1.5 times as many rows
     pass, so what is then ranked per class is bounded whatever the input."""
@@ -31,7 +32,9 @@ def hash_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int) ->
         F.col("_draw") < F.lit((1.5 * per_class + 50) * (1 << 40)) / F.col("_n")
     )
     place = Window.partitionBy("_class").orderBy("_draw", id_col)
-    return near.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= per_class).select(*rows.columns)
+    ranked = near.withColumns({"_place": F.row_number().over(place), "_near": F.count("*").over(Window.partitionBy("_class"))})
+    weight = F.col("_n") / F.least(F.col("_near"), F.lit(per_class))
+    return ranked.where(F.col("_place") <= per_class).select(*rows.columns, weight.alias(weight_col))
 
 
 def with_texts(sample: DataFrame, docs: DataFrame, id_col: str, text_col: str, most_chars: int) -> DataFrame:
