@@ -21,8 +21,8 @@ from .bytesops import BLANKS, flat_utf8, held, pieces, row_slices, word_hashes,
 from .sampling import fit_in_task, hash_sample, with_texts
 
 UNDETERMINED = "und"
-#: Bounds of the training sample: documents of a language, characters of a document.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 20_000
+#: Bound of the training sample: documents of a language.
+SAMPLE_DOCS = 300
 EM_ROUNDS = 4
 PRIOR = 0.05  # added to a piece's expected count
 UNIT = 48  # bytes; pieces do not cross a word's end, nor the cuts of a longer word
@@ -135,16 +135,47 @@ def unit_scores(raw, starts, ends, first, trie: _Trie, p: np.ndarray) -> np.ndar
     return out[one][back]
 
 
-def fit(texts: list[str], langs: list[str], vocabulary: list[bytes]) -> LanguageModel:
-    """Piece probabilities of each language, by expectation maximisation."""
-    languages = sorted(set(langs))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language, unit, starts a word, times) of whole texts, per some MB of them.
+    Blank texts are left out."""
+    for batch in batches:
+        raw, offsets = flat_utf8(batch.column(0))
+        filled = np.array([bool(t) and not t.isspace() for t in batch.column(0).to_pylist()])
+        names, lang_of = np.unique(np.array(batch.column(1).to_pylist(), dtype=object), return_inverse=True)
+        for lo, hi in pieces(offsets, 4 << 20):
+            starts, ends, rows, first = _units(raw, offsets[lo : hi + 1])
+            rows = rows + lo
+            starts, ends, rows, first = (a[filled[rows]] for a in (starts, ends, rows, first))
+            keys = word_hashes(raw, starts, ends, lower=False) ^ first.astype(np.uint64)
+            _, one, back = np.unique(keys, return_index=True, return_inverse=True)
+            pair, times = np.unique(back * len(names) + lang_of[rows], return_counts=True)
+            unit = one[pair // len(names)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([names[k] for k in pair % len(names)], batch.column(1).type),
+                    pa.array([raw[a:b].tobytes() for a, b in zip(starts[unit], ends[unit], strict=True)], pa.binary()),
+                    pa.array(first[unit], pa.bool_()),
+                    pa.array(times, pa.int64()),
+                ],
+                names=["lang", "unit", "first", "times"],
+            )
+
+
+def fit(counts: list[tuple[str, bytes, bool, int]], vocabulary: list[bytes]) -> LanguageModel:
+    """Piece probabilities of each language, by expectation maximisation, from
+    (language, unit, starts a word, times)."""
+    languages = sorted({c[0] for c in counts})
     trie = _Trie(vocabulary)
-    raw, offsets = flat_utf8(pa.array(texts, pa.large_string()))
-    starts, ends, rows, first = _units(raw, offsets)
-    keys = word_hashes(raw, starts, ends, lower=False) ^ first.astype(np.uint64)
-    _, one, back = np.unique(keys, return_index=True, return_inverse=True)
-    of = np.searchsorted(languages, langs)[rows]
-    times = np.bincount(back * len(languages) + of, minlength=len(one) * len(languages)).reshape(len(one), -1)
+    units = sorted({(c[1], c[2]) for c in counts})
+    index, column = {u: k for k, u in enumerate(units)}, {x: k for k, x in enumerate(languages)}
+    raw = np.frombuffer(b"".join(u for u, _ in units), dtype=np.uint8)
+    ends = np.cumsum([len(u) for u, _ in units])
+    starts = ends - np.array([len(u) for u, _ in units])
+    first = np.array([f for _, f in units])
+    times = np.zeros((len(units), len(languages)))
+    for lang, unit, begins, n in counts:
+        times[index[unit, begins], column[lang]] += n
+    one = np.arange(len(units))
     order = np.argsort(ends[one] - starts[one], kind="stable")
     # the start: a longer piece is rarer, whatever the language
     weight = np.array([256.0 ** -min(len(v), 4) for v in vocabulary])
@@ -194,18 +225,21 @@ def predict(column: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndar
 
 def train(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on a sample of ``docs`` (rows with an id, a text and a language): at
-    most ``SAMPLE_DOCS`` documents a language, by the hash of their ids, and
-    ``SAMPLE_CHARS`` characters of each. Without such rows no language is learned."""
+    most ``SAMPLE_DOCS`` documents a language, by the hash of their ids. Whole
+    texts are reduced to counts of their units where they lie; the fitting task
+    receives the different ones. Without such rows no language is learned."""
     drawn = hash_sample(docs.select(id_col, lang_col), id_col, lang_col, SAMPLE_DOCS)
-    texts = with_texts(drawn, docs, id_col, text_col, SAMPLE_CHARS).select("_text", lang_col)
+    texts = with_texts(drawn, docs.select(id_col, text_col), id_col, text_col).select("_text", lang_col)
+    lang_type = docs.schema[lang_col].dataType.simpleString()
+    counted = texts.mapInArrow(_counted, f"lang {lang_type}, unit binary, first boolean, times bigint")
+    counted = counted.groupBy("lang", "unit", "first").agg(F.sum("times").alias("times"))
 
-    def learn(rows: list[tuple]) -> LanguageModel:
-        rows = [r for r in rows if r[0].split()]
-        if not rows:
+    def learn(counts: list[tuple]) -> LanguageModel:
+        if not counts:
             return LanguageModel([], vocabulary, np.zeros((len(vocabulary), 0)))
-        return fit([r[0] for r in rows], [r[1] for r in rows], vocabulary)
+        return fit(counts, vocabulary)
 
-    return fit_in_task(texts, learn)
+    return fit_in_task(counted, learn)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

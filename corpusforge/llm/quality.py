@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .bytesops import BLANKS, flat_utf8, mix64, pieces, word_hashes, word_spans
 from .sampling import hash_sample, with_texts
 
-#: Bounds of the training sample: documents of a class, characters of a document.
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 50_000
+#: Bound of the training sample: documents of a class.
+SAMPLE_DOCS = 6000
 TREES, DEPTH, BINS, RATE, SHRINK, LEAST_HESSIAN = 80, 4, 64, 0.15, 1.0, 2.0
 
 # Character classes by byte; a class's share of the text is a statistic.
@@ -195,13 +195,13 @@ def fit(x: np.ndarray, y: Sequence[int], weights: Sequence[float] | None = None)
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on a sample of the rows that ``labels`` (id, label 0 or 1) covers: at
-    most ``SAMPLE_DOCS`` documents of each label, by the hash of their ids, and
-    ``SAMPLE_CHARS`` characters of each; the driver receives their statistics.
+    most ``SAMPLE_DOCS`` documents of each label, by the hash of their ids. The
+    statistics are those of whole texts; the driver receives only them.
     A sampled row counts for as many as its label has per sampled one, so the
     labels' prior is that of all rows."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).alias("_y"))
     drawn = hash_sample(known.dropDuplicates([id_col]), id_col, "_y", SAMPLE_DOCS)
-    texts = with_texts(drawn, docs.select(id_col, text_col), id_col, text_col, SAMPLE_CHARS)
+    texts = with_texts(drawn, docs.select(id_col, text_col), id_col, text_col)
 
     @F.arrow_udf("array<double>")
     def measure(column: pa.Array) -> pa.Array:

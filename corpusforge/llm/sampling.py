@@ -19,7 +19,8 @@ def remainder(id_col: str, m: int) -> Column:
 
 def hash_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int, weight_col: str = "_weight") -> DataFrame:
     """At most ``per_class`` rows of each class, by the hash of their ids, and
-    in ``weight_col`` how many rows of its class each stands for.
+    in ``weight_col`` how many rows of its class each stands for (``_place``:
+    its number in the class).
 
     A class's count sets a hash threshold that about 1.5 times as many rows
     pass, so what is then ranked per class is bounded whatever the input."""
@@ -34,26 +35,27 @@ def hash_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int, we
     place = Window.partitionBy("_class").orderBy("_draw", id_col)
     ranked = near.withColumns({"_place": F.row_number().over(place), "_near": F.count("*").over(Window.partitionBy("_class"))})
     weight = F.col("_n") / F.least(F.col("_near"), F.lit(per_class))
-    return ranked.where(F.col("_place") <= per_class).select(*rows.columns, weight.alias(weight_col))
+    return ranked.where(F.col("_place") <= per_class).select(*rows.columns, weight.alias(weight_col), "_place")
 
 
-def with_texts(sample: DataFrame, docs: DataFrame, id_col: str, text_col: str, most_chars: int) -> DataFrame:
-    """The sample's rows with the first ``most_chars`` characters of their
-    texts (a bound on what the driver receives for training, not on scoring)."""
-    texts = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("_text_id"), F.substring(text_col, 1, most_chars).alias("_text")
-    )
+def with_texts(sample: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The sample's rows with their whole texts."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_text_id"), F.col(text_col).alias("_text"))
     return texts.join(F.broadcast(sample), F.col("_text_id") == F.col(id_col)).drop("_text_id")
 
 
-def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
+def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], object], keep: Callable[[Iterator[tuple]], list[tuple]] = list) -> object:
     """``fit`` on the rows of a bounded sample, sorted, in one executor's task;
-    the driver receives the model only."""
+    the driver receives the model only. ``keep`` sees the rows one by one, by
+    ``_place`` where they have one, and decides which are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows = keep(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         rows.sort(key=lambda r: [(v is not None, v) for v in r])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    dealt = sample.repartition(1)
+    if "_place" in sample.columns:
+        dealt = dealt.sortWithinPartitions("_place")
+    found = dealt.mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0][0]) if found else fit([])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusforge.llm import quality, sampling, toxicity
+from corpusforge.llm import language_id, quality, queries, sampling, toxicity
 
 
 def test_sampled_classes_keep_their_prior(spark):
@@ -30,3 +30,58 @@ def test_cut_at_a_half_does_not_move_with_the_sample(spark, monkeypatch, module,
     labels = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)) == 0).cast("int").alias(label))
     got = np.array([r.score for r in score(docs, train(docs, labels)).select("score").collect()])
     assert (got >= 0.5).mean() < 0.1
+
+
+def frame(spark, texts, langs):
+    return spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string")
+
+
+def test_toxicity_learns_from_the_end_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEP", 500)  # parts of a document, too
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(50)]
+    texts = [" ".join(rng.choice(words) for _ in range(4000)) + (" vile vile scum" if i % 2 else " kind") for i in range(160)]
+    assert min(map(len, texts)) > 10_000
+    docs = frame(spark, texts, ["en"] * len(texts))
+    model = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    got = toxicity.with_toxicity(docs, model).select("doc_id", "score").collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got]) > 0.95
+
+
+def test_parts_of_long_documents_have_the_same_maxima(monkeypatch):
+    rng = np.random.default_rng(1)
+    places = np.array([1, 7, 400, 33])
+    first = np.cumsum(places + 2) - (places + 2)
+    ids = rng.integers(0, 50, (2, int((places + 2).sum())))
+    tables, filters = rng.normal(size=(2, 51, toxicity.DIMS)), [rng.normal(size=(w, toxicity.DIMS, toxicity.FILTERS)) for w in toxicity.WIDTHS]
+    whole = toxicity._best_places(ids, tables, filters, first, places)
+    monkeypatch.setattr(toxicity, "STEP", 16)
+    parts = toxicity._best_places(ids, tables, filters, first, places)
+    assert np.allclose(whole[0], parts[0]) and all((a == b).all() for a, b in zip(whole[1], parts[1], strict=True))
+
+
+def test_a_budget_of_bytes_leaves_out_documents_and_keeps_the_prior(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit_in_task", lambda rows, learn, keep: seen.update(kept=keep(tuple(r) for r in rows.orderBy("_place").collect())))
+    docs = frame(spark, ["abcd " * 20] * 300, ["en"] * 300)
+    toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
+    for y, n in ((0, 200), (1, 100)):
+        mine = [r for r in seen["kept"] if r[2] == y]
+        assert len(mine) == 10 and all(len(r[1]) == 100 for r in mine) and sum(r[4] for r in mine) == pytest.approx(n)
+
+
+def test_quality_learns_from_the_end_of_long_texts(spark):
+    texts = ["plain words here " * 3200 + ("12345 " if i % 2 else "fine ") * 3000 for i in range(60)]
+    docs = frame(spark, texts, ["en"] * len(texts))
+    model = quality.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    got = quality.with_quality(docs, model).select("doc_id", "score").collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_language_is_learned_from_the_end_of_long_texts(spark):
+    texts = ["0 " * 10_500 + ("the cat sat on the mat " if i % 2 else "le chat est sur la table ") * 20 for i in range(20)]
+    docs = frame(spark, texts, ["en" if i % 2 else "fr" for i in range(20)])
+    model = language_id.train(docs, language_id.read_vocabulary(queries.PIECE_FILE))
+    new = frame(spark, ["the mat the cat", "la table le chat", " "], ["?"] * 3)
+    assert [r.lang_pred for r in language_id.with_language(new, model).orderBy("doc_id").collect()] == ["en", "fr", "und"]
