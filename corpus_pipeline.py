@@ -34,10 +34,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate component. Rows
-    without an id stay."""
-    extra = near_dup.near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    return docs.join(extra.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """A document of smallest id of each near-duplicate component; of repeated
+    rows one, null ids last."""
+    return near_dup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,7 @@ def mix(
     share: float = SHARE,
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
+    key_col: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, source, size, source_size, target, taken, repeats.
 
@@ -73,20 +74,25 @@ def mix(
     add up to its target rounded to a word. ``repeats`` is the same in whole
     documents (the partly taken one is rounded). Null sources are one source,
     the last. A source without words has target 0 and takes nothing. The order
-    is that of md5(seed|id), then id and size, so reruns agree; rows equal in
-    all three are interchangeable. Columns other than the three are ignored; an
-    empty table gives an empty result.
+    is that of md5(seed|id), or of the seed and the text for a null id, then id,
+    size and the text's hash, so reruns agree; rows equal in all are
+    interchangeable. Columns other than the three are ignored; an empty table
+    gives an empty result. ``key_col`` names a unique column that comes along
+    and decides between equal rows.
 
     The fractional repetition needs running sums, but not over a whole source:
     documents fall into 4,096 blocks by the first digits of the md5, block
     sums locate the one block where the target ends, and only its rows (about
     1 in 4,096) are sorted."""
     scratch = Scratch(docs.sparkSession, "mix")
+    text_hash = F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary")).alias("h"),
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("|"), text_hash))).cast("binary")).alias("h"),
+        F.xxhash64(text_col).alias("tie"),
+        (F.lit(0) if key_col is None else F.col(key_col)).alias("key"),
     )
     rows = scratch.cut(rows.withColumn("block", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")), "rows")
 
@@ -113,7 +119,7 @@ def mix(
     sure = planned.where("edge is null or block <> edge").withColumn(
         "extra", F.when(F.col("block") < F.col("edge"), F.col("size")).otherwise(0).cast("bigint")
     )
-    prior = Window.partitionBy("source").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    prior = Window.partitionBy("source").orderBy("h", "id", "size", "tie", "key").rowsBetween(Window.unboundedPreceding, -1)
     split = planned.where("block = edge").withColumn(
         "extra",
         F.greatest(
@@ -132,12 +138,15 @@ def mix(
         (F.col("whole") + F.when((F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0))
         .cast("int")
         .alias("repeats"),
+        *([] if key_col is None else [F.col("key").alias(key_col)]),
     )
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """``docs`` with every row repeated as the mix says (ids must be unique);
-    columns unchanged."""
-    times = mix(docs, id_col=id_col, **params).select(F.col(id_col).alias("_mix_id"), "repeats").where("repeats > 0")
-    repeated = docs.join(times, docs[id_col].eqNullSafe(times["_mix_id"]))
-    return repeated.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*[docs[c] for c in docs.columns])
+    """``docs`` with every row repeated as the mix says; columns unchanged. Rows
+    are known by a key that is written with them, so repeated and null ids
+    are rows like others."""
+    keyed = Scratch(docs.sparkSession, "applymix").cut(docs.withColumn("_mix_key", F.monotonically_increasing_id()), "keyed")
+    times = mix(keyed, id_col=id_col, key_col="_mix_key", **params).select("_mix_key", "repeats").where("repeats > 0")
+    repeated = keyed.join(times, "_mix_key")
+    return repeated.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)

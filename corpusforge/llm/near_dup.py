@@ -82,8 +82,8 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = pa.array(np.concatenate(signatures) if signatures else np.zeros(0, np.int64), pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * N_HASHES, pa.int32()), flat)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), lists],
-            names=["id", "node", "n", "sig"],
+            [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), lists, batch.column(2)],
+            names=["id", "node", "n", "sig", "key"],
         )
 
 
@@ -175,7 +175,24 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each near-duplicate component of ``docs``, of the smallest id
+    (null ids come last); of rows that share it, one. Rows without words stay.
+    Columns unchanged.
+
+    Rows are known by a key that is written with them. Of a component with
+    repeated rows of the kept id, a hash aggregate finds the smallest key, so
+    copies of any number cost no sort."""
+    scratch = Scratch(docs.sparkSession, "dropnear")
+    keyed = scratch.cut(docs.withColumn("_near_key", F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed, id_col, text_col, key_col="_near_key").where("component is not null")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_near_key").alias("key")))
+    winners = found.groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("key"))
+    gone = found.select("_near_key").join(winners, F.col("_near_key") == F.col("key"), "left_anti")
+    return keyed.join(gone, "_near_key", "left_anti").select(*docs.columns)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Words are `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased; a text of fewer than
@@ -185,12 +202,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links of similarity 0.75 or more. Equal sets are one node, so repeated
     rows and groups of copies of any size cost one set. A null id takes part
     by its text and never names a component (component_id is null where no
-    id is known; such rows are kept). Other columns are ignored."""
+    id is known; such rows are kept). Other columns are ignored.
+
+    ``key_col`` names a unique bigint column that comes along, with
+    ``component``: equal on rows of one component, whatever their ids, and null
+    where the set is empty."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = scratch.cut(texts.mapInArrow(_summaries, f"id {id_type}, node binary, n bigint, sig array<bigint>"), "rows")
+    key = F.lit(0).cast("bigint") if key_col is None else F.col(key_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("key"))
+    rows = scratch.cut(texts.mapInArrow(_summaries, f"id {id_type}, node binary, n bigint, sig array<bigint>, key bigint"), "rows")
     nodes = scratch.cut(rows.where("node is not null").groupBy("node", "n", "sig").agg(F.min("id").alias("first_id")), "nodes")
 
     keyed = scratch.cut(_table_keys(nodes), "keyed")
@@ -231,8 +253,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = named.select("node", "label").join(smallest, "label").select("node", "component_id")
-    out = rows.select("id", "node", "n").join(named, "node", "left")
+    named = named.select("node", "label").join(smallest, "label").select("node", "component_id", F.col("label").alias("component"))
+    out = rows.select("id", "node", "n", "key").join(named, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
     out = scratch.cut(
         out.select(
@@ -240,6 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.col("n").alias("n_shingles"),
             "component_id",
             F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
+            *([] if key_col is None else [F.col("key").alias(key_col), "component"]),
         ),
         "result",
     )

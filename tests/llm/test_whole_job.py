@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusforge.llm import language_id, quality, queries, sampling, toxicity
+from corpusforge.llm import language_id, mixing, near_dup, quality, queries, sampling, toxicity
 
 
 def test_sampled_classes_keep_their_prior(spark):
@@ -85,3 +85,41 @@ def test_language_is_learned_from_the_end_of_long_texts(spark):
     model = language_id.train(docs, language_id.read_vocabulary(queries.PIECE_FILE))
     new = frame(spark, ["the mat the cat", "la table le chat", " "], ["?"] * 3)
     assert [r.lang_pred for r in language_id.with_language(new, model).orderBy("doc_id").collect()] == ["en", "fr", "und"]
+
+
+def test_mix_repeats_rows_of_repeated_and_null_ids_by_themselves(spark):
+    texts = [f"word{k} " * (1 + k % 5) for k in range(120)]
+    rows = [(None if k % 3 == 0 else k // 4, t, "ab"[k % 2]) for k, t in enumerate(texts)] + [(None, "same copy", "a")] * 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.apply_mix(docs)
+    assert got.columns == docs.columns
+    once = sum(r.repeats for r in mixing.mix(docs).collect())
+    words = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    taken = {s: 0 for s in "ab"}
+    for r in got.collect():
+        taken[r.source] += len(r.text.split())
+    targets = {r.source: r.target for r in mixing.mix(docs).collect()}
+    assert got.count() == once and all(abs(taken[s] - targets[s]) <= 5 for s in "ab") and max(taken.values()) <= 2 * max(words.values())
+    again = mixing.apply_mix(docs.repartition(7))
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+
+
+def test_null_ids_are_dealt_to_many_blocks(spark):
+    """The order of null ids is that of their texts, not one md5 for all."""
+    docs = spark.createDataFrame([(None, f"text {k}", "a") for k in range(300)], "doc_id long, text string, source string")
+    keyed = docs.withColumn("k", F.regexp_extract("text", r"(\d+)", 1).cast("long"))
+    got = {r.k: r.taken for r in mixing.mix(keyed, share=0.5, key_col="k").collect()}
+    taken = [k for k in range(300) if got[k]]
+    assert sum(got.values()) == 300 and taken != list(range(len(taken)))
+
+
+def test_near_duplicates_keep_one_row_of_repeated_and_null_ids(spark):
+    long = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    near = long[0] + " more"
+    rows = [(5, long[0]), (5, long[0]), (5, near), (9, near), (None, long[0]), (None, long[1]), (None, long[1]), (7, long[2]), (7, long[3]), (None, None), (None, ""), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = near_dup.drop_near_duplicates(docs)
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert got.columns == docs.columns and len(kept) == 7
+    assert sum(t in (long[0], near) for _, t in kept) == 1 and all(i == 5 for i, t in kept if t in (long[0], near))
+    assert kept.count((None, long[1])) == 1 and {(7, long[2]), (7, long[3]), (None, None), (None, ""), (3, None)} <= set(kept)
