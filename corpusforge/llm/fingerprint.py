@@ -5,8 +5,9 @@ prime 2^31 - 1, for two bases. The difference of two prefix values, divided by
 a power of B, is the hash of a span wherever it stands: any two spans compare
 in constant time, and the longest common extension of two places is found
 by binary search. A fingerprint holds the whole text's hash and the smallest
-scrambled hashes of its spans of ``SPAN`` code points, whose overlap
-estimates how much of two texts is alike.
+scrambled hashes of its spans, whose overlap estimates how much of two texts is
+alike. Their number grows with the text, and shorter texts are compared by
+shorter spans.
 """
 
 from __future__ import annotations
@@ -22,8 +23,15 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 
-SPAN = 16  # code points
-KEPT = 32  # span hashes in a fingerprint
+SPANS = (1, 4, 16)  # code points
+SHORT = (8, 64)  # a pair whose shorter text is below is compared by the first or second span
+
+
+def kept(n: int) -> tuple[int, int, int]:
+    """Span hashes, for each of ``SPANS``, in the fingerprint of n code points."""
+    return 16, 64 if n <= 256 else 32, max(64, n // 32)
+
+
 _P = np.uint64((1 << 31) - 1)
 _BITS = np.uint64(31)
 _BASES = (1_103_515_245, 69_069_133)
@@ -59,7 +67,7 @@ class PrefixHashes:
 
     def __init__(self, text: str):
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-        self.n = len(codes)
+        self.n, self.codes = len(codes), codes
         _POWERS.need(self.n + 1)
         self.sums = []
         for up in _POWERS.up:
@@ -95,24 +103,32 @@ class PrefixHashes:
         return low
 
     def fingerprint(self) -> str:
-        """Hex: the length and the whole text's hash, then up to ``KEPT`` of the
-        smallest different span hashes (of the whole text where it is shorter)."""
+        """Hex: the length and the whole text's hash; then the numbers of kept
+        hashes of the first two ``SPANS``, and the smallest different span hashes
+        of each span (none of a span longer than the text)."""
         whole = self.span(0, self.n)
         head = f"{self.n:08x}{whole[0]:08x}{whole[1]:08x}"
         if self.n == 0:
             return head
-        length = min(self.n, SPAN)
-        h = self.spans(slice_starts(self.n - length + 1), length).astype(np.uint32)
-        h ^= h >> np.uint32(16)
-        h *= np.uint32(0x7FEB352D)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x846CA68B)
-        h ^= h >> np.uint32(16)
-        some = 8 * KEPT
-        low = np.unique(np.partition(h, some)[:some] if len(h) > some else h)
-        if len(low) < KEPT and len(h) > some:  # many repeated spans
-            low = np.unique(h)
-        return head + low[:KEPT].astype(">u4").tobytes().hex()
+        low = [_smallest(_reduced(np.unique(self.codes) + np.uint64(1)), kept(self.n)[0])]
+        for length, some in zip(SPANS[1:], kept(self.n)[1:], strict=True):
+            low.append(_smallest(self.spans(slice_starts(max(0, self.n - length + 1)), length), some))
+        return head + np.concatenate(([len(low[0]), len(low[1])], *low)).astype(">u4").tobytes().hex()
+
+
+def _smallest(hashes: np.ndarray, most: int) -> np.ndarray:
+    """The smallest different scrambled values, ``most`` at most."""
+    h = hashes.astype(np.uint32)
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x7FEB352D)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x846CA68B)
+    h ^= h >> np.uint32(16)
+    some = 4 * most
+    low = np.unique(np.partition(h, some)[:some] if len(h) > some else h)
+    if len(low) < most and len(h) > some:  # many repeated spans
+        low = np.unique(h)
+    return low[:most]
 
 
 _STARTS = np.arange(1 << 12)
@@ -126,14 +142,29 @@ def slice_starts(n: int) -> np.ndarray:
 
 
 def likeness(a: str, b: str) -> float:
-    """Estimated share (0 to 1) of common spans from two fingerprints alone:
-    of the smallest span hashes of both together, those that both have."""
+    """Share (0 to 1) of common spans, from two fingerprints alone.
+
+    The span is the one that suits the shorter text. A fingerprint with fewer
+    hashes than it may keep holds all; of the others the lowest largest hash
+    is the bound up to which both are complete, and what lies up to it is
+    compared. Exact where neither is full, else with a standard error of about
+    sqrt(s (1 - s) / hashes compared) for a share s."""
     if a == b:
         return 1.0
-    x = {a[i : i + 8] for i in range(24, len(a), 8)}
-    y = {b[i : i + 8] for i in range(24, len(b), 8)}
-    both = sorted(x | y)[:KEPT]
-    return sum(h in x and h in y for h in both) / len(both) if both else 0.0
+    sizes = [int(x[:8], 16) for x in (a, b)]
+    if min(sizes) == 0:
+        return 0.0
+    level = sum(min(sizes) >= x for x in SHORT)
+    sets, bound = [], 1 << 32
+    for x, n in zip((a, b), sizes, strict=True):
+        values = np.frombuffer(bytes.fromhex(x[24:]), dtype=">u4").tolist()
+        cuts = [2, 2 + values[0], 2 + values[0] + values[1], len(values)]
+        mine = values[cuts[level] : cuts[level + 1]]
+        if len(mine) >= kept(n)[level]:
+            bound = min(bound, mine[-1])
+        sets.append(set(mine))
+    both = [h for h in sets[0] | sets[1] if h <= bound]
+    return sum(h in sets[0] and h in sets[1] for h in both) / len(both) if both else 0.0
 
 
 def edited(text: str, following: str) -> str:

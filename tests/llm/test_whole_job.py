@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusforge.llm import language_id, mixing, near_dup, quality, queries, sampling, toxicity
+from corpusforge.llm import fingerprint, language_id, mixing, near_dup, quality, queries, sampling, toxicity
 
 
 def test_sampled_classes_keep_their_prior(spark):
@@ -123,3 +123,32 @@ def test_near_duplicates_keep_one_row_of_repeated_and_null_ids(spark):
     assert got.columns == docs.columns and len(kept) == 7
     assert sum(t in (long[0], near) for _, t in kept) == 1 and all(i == 5 for i, t in kept if t in (long[0], near))
     assert kept.count((None, long[1])) == 1 and {(7, long[2]), (7, long[3]), (None, None), (None, ""), (3, None)} <= set(kept)
+
+
+def alike(a, b):
+    return fingerprint.likeness(*(fingerprint.PrefixHashes(t).fingerprint() for t in (a, b)))
+
+
+def spans(text, k):
+    return {text[i : i + k] for i in range(len(text) - k + 1)}
+
+
+def test_half_edited_short_texts_are_alike():
+    rng = random.Random(9)
+    for n in range(2, 64):
+        a, b = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for _ in range(2))
+        e = fingerprint.edited(a, b)
+        k = 1 if n < 8 else 4
+        assert alike(a, e) == pytest.approx(len(spans(a, k) & spans(e, k)) / len(spans(a, k) | spans(e, k))) and alike(a, e) > 0
+
+
+def test_long_texts_that_share_a_passage_are_found():
+    rng = random.Random(10)
+    found, near = [], []
+    for _ in range(40):
+        a, b = ("".join(rng.choice("abcdefgh ") for _ in range(20_000)) for _ in range(2))
+        at = rng.randrange(19_000)
+        found.append(alike(a, b[:at] + a[at : at + 300] + b[at + 300 :]))
+        e = fingerprint.edited(a, b)
+        near.append(alike(a, e) - len(spans(a, 16) & spans(e, 16)) / len(spans(a, 16) | spans(e, 16)))
+    assert sum(x > 0 for x in found) >= 36 and np.std(near) < 0.03
