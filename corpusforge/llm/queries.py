@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from . import ann, bpe, fingerprint, language_id, mixing, near_dup, quality, sharding, toxicity, warc
+from . import ann, bpe, fingerprint, language_id, mixing, near_dup, quality, resample, sharding, toxicity, warc
 from .sampling import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,43 @@ SQL["op9_mixing"] = f"""
 @_query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_resampling"] = f"""
+    WITH bytes AS (SELECT list(c ORDER BY i) AS crc FROM (
+      SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+                 CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+      FROM range(256) t(i))),
+    words AS (SELECT doc_id, true AS raw, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+              UNION ALL
+              SELECT NULL, false, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+    spelt AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM words)),
+    hashed AS (SELECT word, xor(list_reduce(
+                 list_prepend(4294967295, list_transform(range(length(x) // 2),
+                   lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT))),
+                 lambda c, b: xor(c // 256, crc[xor(c, b) % 256 + 1])), 4294967295) % {resample.BUCKETS} AS bucket
+               FROM spelt, bytes),
+    counts AS (SELECT bucket, CAST(count(*) FILTER (raw) AS DOUBLE) AS s, CAST(count(*) FILTER (NOT raw) AS DOUBLE) AS t
+               FROM words JOIN hashed USING (word) GROUP BY bucket),
+    gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + {resample.BUCKETS})
+                / ((s + 1) * (sum(t) OVER () + {resample.BUCKETS})))) AS BIGINT) AS gain FROM counts),
+    weights AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+                FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE raw GROUP BY doc_id),
+    scored AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{resample.SEED}:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                   / 4294967296::DOUBLE))) AS BIGINT) AS score
+               FROM documents d LEFT JOIN weights USING (doc_id)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {resample.LEAST_WORDS} ORDER BY score DESC, doc_id) AS place,
+                 count(*) OVER (PARTITION BY n_features >= {resample.LEAST_WORDS}) AS eligible FROM scored)
+    SELECT doc_id, n_features, weight, score,
+           CASE WHEN n_features >= {resample.LEAST_WORDS} AND place <= {resample.PERCENT} * eligible // 100 THEN place END AS rank
+    FROM ranked"""
