@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from . import ann, bpe, fingerprint, language_id, mixing, near_dup, quality, resample, sharding, toxicity, warc
+from . import ann, bpe, fingerprint, language_id, mixing, near_dup, quality, repair, resample, sharding, toxicity, warc
 from .sampling import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,6 +192,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 @_query
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
