@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from . import ann, bpe, fingerprint, language_id, mixing, near_dup, quality, repair, resample, sharding, toxicity, warc
+from . import ann, bpe, fingerprint, language_id, mixing, near_dup, pii, quality, repair, resample, sharding, toxicity, warc
 from .sampling import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,6 +197,25 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")))
 
 
+@_query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_spans(_table(spark, sf_dir, "documents"))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    found = found.withColumn("base", F.filter("spans", lambda s: s["base"]))
+    return found.select(
+        "doc_id",
+        *[number(k) for k in pii.KINDS],
+        F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 @_query
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
