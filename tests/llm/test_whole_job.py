@@ -129,26 +129,20 @@ def alike(a, b):
     return fingerprint.likeness(*(fingerprint.PrefixHashes(t).fingerprint() for t in (a, b)))
 
 
-def spans(text, k):
-    return {text[i : i + k] for i in range(len(text) - k + 1)}
-
-
-def test_half_edited_short_texts_are_alike():
+def test_half_edited_texts_are_half_alike():
     rng = random.Random(9)
-    for n in range(2, 64):
+    for n in [*range(2, 64), 100, 300, 1000, 5000, 20_000]:
         a, b = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for _ in range(2))
-        e = fingerprint.edited(a, b)
-        k = 1 if n < 8 else 4
-        assert alike(a, e) == pytest.approx(len(spans(a, k) & spans(e, k)) / len(spans(a, k) | spans(e, k))) and alike(a, e) > 0
+        near = alike(a, fingerprint.edited(a, b))
+        assert near > 0 and (n > 65 or near >= (n - n // 2) / n) and (n < 300 or 0.42 < near < 0.51)
 
 
 def test_long_texts_that_share_a_passage_are_found():
     rng = random.Random(10)
-    found, near = [], []
+    found = []
     for _ in range(40):
         a, b = ("".join(rng.choice("abcdefgh ") for _ in range(20_000)) for _ in range(2))
         at = rng.randrange(19_000)
-        found.append(alike(a, b[:at] + a[at : at + 300] + b[at + 300 :]))
-        e = fingerprint.edited(a, b)
-        near.append(alike(a, e) - len(spans(a, 16) & spans(e, 16)) / len(spans(a, 16) | spans(e, 16)))
-    assert sum(x > 0 for x in found) >= 36 and np.std(near) < 0.03
+        found.append(alike(a, b[:at] + a[at : at + 500] + b[at + 500 :]))
+        assert alike(a, a[:at] + "!" + a[at:]) > 0.95 and alike(a, b) < 0.001
+    assert sum(x > 0 for x in found) >= 36 and max(found) <= 500 / 20_000
