@@ -3,8 +3,9 @@
 A language is a distribution over the pieces of a fixed public vocabulary. A
 word's probability is the sum, over all ways to cut it into pieces, of the
 product of the pieces' probabilities; a forward pass over the word's bytes sums
-them all. Piece probabilities are fitted by expectation maximisation with
-the same sums. All words of a batch run through the forward pass together.
+them all, however long the word. Piece probabilities are fitted by expectation
+maximisation with the same sums. All words of a batch run through the forward
+pass together.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import BLANKS, flat_utf8, held, pieces, row_slices, word_hashes, word_spans
+from .bytesops import BLANKS, flat_utf8, pieces, row_slices, word_hashes, word_spans
 from .sampling import fit_in_task, hash_sample, with_texts
 
 UNDETERMINED = "und"
@@ -25,8 +26,12 @@ UNDETERMINED = "und"
 SAMPLE_DOCS = 300
 EM_ROUNDS = 4
 PRIOR = 0.05  # added to a piece's expected count
-UNIT = 48  # bytes; pieces do not cross a word's end, nor the cuts of a longer word
-_AT_ONCE = 8192  # words in one forward pass
+#: Bytes. Longer words (texts without blanks) are scored byte by byte with
+#: rescaled masses; only fitting cuts them, between characters, into parts.
+UNIT = 48
+_RESCALE = 16  # places between rescalings of a long word's masses
+_AT_ONCE = 4096  # words in one forward pass
+_PIECE, _WORDS = 1 << 20, 1 << 18  # bytes of text, and words, handled at a time
 _WORD_START = 0  # the byte put before a word, the vocabulary's mark of a word's start
 
 
@@ -43,7 +48,10 @@ def read_vocabulary(path: str) -> list[bytes]:
 
 
 class _Trie:
-    """Pieces as a byte automaton: node 0 is dead, node 1 the root."""
+    """Pieces as a byte automaton: node 0 is dead, node 1 the root. A node's
+    children lie at its base plus their byte, in slots that nodes share; a slot
+    names the node it belongs to. The 100,000 slots of a vocabulary are smaller
+    than a worker's other buffers, and are built once, with the model."""
 
     def __init__(self, vocabulary: list[bytes]):
         children: list[dict[int, int]] = [{}, {}]
@@ -57,30 +65,62 @@ class _Trie:
                     piece_at.append(-1)
                 node = children[node][b]
             piece_at[node] = i
-        self.step = np.zeros((len(children), 256), dtype=np.int32)
-        for node, to in enumerate(children):
-            if to:
-                self.step[node, list(to)] = list(to.values())
+        n_slots = 512 + 2 * len(children) + 256
+        taken = np.zeros(n_slots, dtype=bool)
+        self.base = np.zeros(len(children), dtype=np.int32)
+        self.owner, self.child = np.zeros((2, n_slots), dtype=np.int32)
+        start = 0  # every slot before is taken
+        for node in sorted(range(len(children)), key=lambda k: -len(children[k])):
+            if not children[node]:
+                break
+            codes = np.array(sorted(children[node]), dtype=np.int64)
+            start += int(np.argmin(taken[start:]))
+            at, window = start, 64
+            while True:
+                bases = at + np.flatnonzero(~taken[at : at + window]) - codes[0]
+                bases = bases[(bases >= 0) & (bases + 256 <= n_slots)]
+                free = ~taken[bases[:, None] + codes].any(axis=1)
+                if free.any():
+                    break
+                at, window = at + window, window * 2
+            base = int(bases[free.argmax()])
+            self.base[node] = base
+            taken[base + codes] = True
+            self.owner[base + codes] = node
+            self.child[base + codes] = [children[node][b] for b in codes.tolist()]
         self.piece = np.array(piece_at, dtype=np.int32)
         self.longest = max(map(len, vocabulary))
 
+    def step(self, nodes: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The nodes that follow on these bytes."""
+        at = self.base[nodes] + found
+        return np.where(self.owner[at] == nodes, self.child[at], 0)
+
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    vocabulary: list[bytes]
+    trie: _Trie | None
     probabilities: np.ndarray  # piece x language
 
 
 def _units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row, starts a word) of every unit: words, long ones cut."""
+    """(start, end, row, starts a word) of every unit to fit: words, long ones
+    cut between characters."""
     starts, ends, rows = word_spans(raw, offsets, BLANKS)
     first = np.ones(len(starts), dtype=bool)
     parts = -(-(ends - starts) // UNIT)
     if len(parts) and parts.max() > 1:
         of = np.repeat(np.arange(len(starts)), parts)
         k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts, ends, rows, first = starts[of] + k * UNIT, np.minimum(starts[of] + (k + 1) * UNIT, ends[of]), rows[of], k == 0
+        whole_end, cut = ends[of], starts[of] + (k + 1) * UNIT
+        for _ in range(3):  # a character's further bytes go with its first
+            cut += (cut < whole_end) & (raw[np.minimum(cut, len(raw) - 1)] & 0xC0 == 0x80)
+        ends = np.minimum(cut, whole_end)
+        starts = np.where(k == 0, starts[of], np.concatenate(([0], ends[:-1])))
+        rows, first = rows[of], k == 0
+        some = ends > starts
+        starts, ends, rows, first = starts[some], ends[some], rows[some], first[some]
     return starts, ends, rows, first
 
 
@@ -101,7 +141,7 @@ def _edges(data: np.ndarray, sizes: np.ndarray, trie: _Trie) -> Iterator[tuple[i
         for e in range(s + 1, min(s + trie.longest, data.shape[1]) + 1):
             inside = sizes[alive] >= e
             alive, nodes = alive[inside], nodes[inside]
-            nodes = trie.step[nodes, data[alive, e - 1]]
+            nodes = trie.step(nodes, data[alive, e - 1])
             live = nodes > 0
             alive, nodes = alive[live], nodes[live]
             if not len(alive):
@@ -112,8 +152,8 @@ def _edges(data: np.ndarray, sizes: np.ndarray, trie: _Trie) -> Iterator[tuple[i
 
 
 def _forward(data: np.ndarray, sizes: np.ndarray, trie: _Trie, p: np.ndarray) -> np.ndarray:
-    """Probability mass of each prefix: [place, unit, language]. A unit is at
-    most 49 bytes, so doubles don't underflow."""
+    """Probability mass of each prefix: [place, unit, language]. A unit is some
+    50 bytes at most, so doubles don't underflow."""
     mass = np.zeros((data.shape[1] + 1, len(data), p.shape[1]))
     mass[0] = 1.0
     for s, e, units, found in _edges(data, sizes, trie):
@@ -135,6 +175,53 @@ def unit_scores(raw, starts, ends, first, trie: _Trie, p: np.ndarray) -> np.ndar
     return out[one][back]
 
 
+def _long_scores(raw, starts, ends, trie: _Trie, p: np.ndarray) -> np.ndarray:
+    """log P(word | language) of words of any length, the mark before them. The
+    words go byte by byte in step; what is held are the pieces begun and not yet
+    ended, with the mass where they begin, rescaled every ``_RESCALE`` places."""
+    out = np.empty((len(starts), p.shape[1]))
+    order = np.argsort(starts - ends, kind="stable")  # the longest first
+    for lo in range(0, len(order), _AT_ONCE):
+        part = order[lo : lo + _AT_ONCE]
+        before, sizes = starts[part] - 1, ends[part] - starts[part] + 1
+        mass, scale = np.ones((2, len(part), p.shape[1]))
+        scale[:] = 0
+        who, nodes, begun = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, p.shape[1]))
+        for e in range(int(sizes[0])):
+            n = int(np.searchsorted(-sizes, -e, side="left"))  # words with a byte here
+            here = raw[before[:n] + e] if e else np.full(n, _WORD_START, np.uint8)
+            going = who < n
+            who = np.concatenate((who[going], np.arange(n)))
+            nodes = np.concatenate((nodes[going], np.ones(n, np.int32)))
+            begun = np.concatenate((begun[going], mass[:n]))
+            nodes = trie.step(nodes, here[who])
+            live = nodes > 0
+            who, nodes, begun = who[live], nodes[live], begun[live]
+            ended = trie.piece[nodes] >= 0
+            mass[:n] = 0
+            np.add.at(mass, who[ended], begun[ended] * p[trie.piece[nodes[ended]]])
+            if e % _RESCALE == _RESCALE - 1:
+                scale[:n] += np.log(mass[:n])
+                begun /= mass[who]
+                mass[:n] = 1
+        out[part] = scale + np.log(mass)
+    return out
+
+
+def word_scores(raw, starts, ends, trie: _Trie, p: np.ndarray) -> np.ndarray:
+    """log P(word | language), over all segmentations of the whole word."""
+    out = np.empty((len(starts), p.shape[1]))
+    long = ends - starts > UNIT
+    short = ~long
+    if short.any():
+        out[short] = unit_scores(raw, starts[short], ends[short], np.ones(int(short.sum()), dtype=bool), trie, p)
+    if long.any():
+        keys = word_hashes(raw, starts[long], ends[long], lower=False)
+        _, one, back = np.unique(keys, return_index=True, return_inverse=True)
+        out[long] = _long_scores(raw, starts[long][one], ends[long][one], trie, p)[back]
+    return out
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(language, unit, starts a word, times) of whole texts, per some MB of them.
     Blank texts are left out."""
@@ -142,7 +229,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offsets = flat_utf8(batch.column(0))
         filled = np.array([bool(t) and not t.isspace() for t in batch.column(0).to_pylist()])
         names, lang_of = np.unique(np.array(batch.column(1).to_pylist(), dtype=object), return_inverse=True)
-        for lo, hi in pieces(offsets, 4 << 20):
+        for lo, hi in pieces(offsets, _PIECE):
             starts, ends, rows, first = _units(raw, offsets[lo : hi + 1])
             rows = rows + lo
             starts, ends, rows, first = (a[filled[rows]] for a in (starts, ends, rows, first))
@@ -195,25 +282,19 @@ def fit(counts: list[tuple[str, bytes, bool, int]], vocabulary: list[bytes]) ->
                 rest[s, units] += share
                 np.add.at(expected, found, share * mass[s, units])
         p = expected / expected.sum(axis=0)
-    return LanguageModel(languages, vocabulary, p)
-
-
-def _scorer(model: LanguageModel) -> _Trie:
-    key = ("trie", len(model.vocabulary), model.vocabulary[-1], model.vocabulary[len(model.vocabulary) // 2])
-    return held(key, lambda: _Trie(model.vocabulary))
+    return LanguageModel(languages, trie, p)
 
 
 def predict(column: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
     """(index of the likeliest language, its posterior under a flat prior) per row."""
-    trie = _scorer(model)
     raw, offsets = flat_utf8(column)
     best, score = np.zeros(len(column), dtype=np.int64), np.zeros(len(column))
-    for lo, hi in pieces(offsets, 4 << 20):
+    for lo, hi in pieces(offsets, _PIECE):
         total = np.zeros((hi - lo, len(model.languages)))
-        starts, ends, rows, first = _units(raw, offsets[lo : hi + 1])
-        for a in range(0, len(starts), 1_000_000):
-            b = a + 1_000_000
-            logs = unit_scores(raw, starts[a:b], ends[a:b], first[a:b], trie, model.probabilities)
+        starts, ends, rows = word_spans(raw, offsets[lo : hi + 1], BLANKS)
+        for a in range(0, len(starts), _WORDS):
+            b = a + _WORDS
+            logs = word_scores(raw, starts[a:b], ends[a:b], model.trie, model.probabilities)
             own = row_slices(rows[a:b], hi - lo)
             some = np.flatnonzero(own[1:] > own[:-1])
             if len(some):
@@ -236,7 +317,7 @@ def train(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text
 
     def learn(counts: list[tuple]) -> LanguageModel:
         if not counts:
-            return LanguageModel([], vocabulary, np.zeros((len(vocabulary), 0)))
+            return LanguageModel([], None, np.zeros((len(vocabulary), 0)))
         return fit(counts, vocabulary)
 
     return fit_in_task(counted, learn)

@@ -134,9 +134,73 @@ def test_prefix_hashes_answer_spans():
         assert x.equal(i, y, j, n) == (i + n <= 500 and j + n <= 501 and a[i : i + n] == b[j : j + n])
 
 
+def plain_kept(text):
+    """(places, levels, lowest level) by plain numbers."""
+    n, most = len(text), min(256, max(64, len(text) // 16))
+
+    def level(i):
+        h = 0
+        for k, c in enumerate(text[i : i + 4]):
+            h += (ord(c) + 1) * pow(1_103_515_245, k, 2**31 - 1)
+        h %= 2**31 - 1
+        for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1)):
+            h = (h ^ (h >> shift)) * factor % 2**32
+        return sum(int(2.0 ** (32 - k / 4)) > h for k in range(128)) - 1
+
+    levels = {i: level(i) for i in range(1, n)}
+    low = next(x for x in range(130) if sum(v >= x for v in levels.values()) <= most)
+    kept = [i for i in levels if levels[i] >= low]
+    if low == 0 or 8 * len(kept) >= most:
+        return kept, [levels[i] for i in kept], low
+    step = 1
+    while step * most < n:
+        step *= 2
+    kept = list(range(step, n, step))
+    return kept, [160 + (i & -i).bit_length() - 1 for i in kept], 160 + step.bit_length() - 1
+
+
+def plain_fingerprint(text):
+    kept, levels, low = plain_kept(text)
+    p, out = 2**31 - 1, []
+    for i, v in zip([0, *kept, len(text)], [low, *levels, 255], strict=True):
+        sums = [sum((ord(c) + 1) * pow(b, k, p) for k, c in enumerate(text[:i])) % p for b in (1_103_515_245, 69_069_133)]
+        out.append(f"{i:08x}{v:02x}{sums[0]:08x}{sums[1]:08x}")
+    return "".join(out) if text else out[0]
+
+
+def plain_likeness(a, b):
+    """Greedy common runs of the texts' own pieces."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    (x, u, low), (y, v, other) = plain_kept(a), plain_kept(b)
+    if (low >= 160) == (other >= 160):
+        x = [i for i, k in zip(x, u, strict=True) if k >= max(low, other)]
+        y = [i for i, k in zip(y, v, strict=True) if k >= max(low, other)]
+    x, y = ([t[i:j] for i, j in zip([0, *c], [*c, len(t)], strict=True)] for t, c in ((a, x), (b, y)))
+    used, i, matched = [False] * len(y), 0, 0
+    while i < len(x):
+        j = next((j for j, piece in enumerate(y) if piece == x[i] and not used[j]), None)
+        if j is None:
+            i += 1
+            continue
+        low, high = 0, min(len(x) - i, len(y) - j)
+        while low < high:
+            m = (low + high + 1) // 2
+            low, high = (m, high) if "".join(x[i : i + m]) == "".join(y[j : j + m]) else (low, m - 1)
+        m = next((k for k in range(low) if used[j + k]), low)
+        while "".join(x[i : i + m]) != "".join(y[j : j + m]):
+            m -= 1
+        used[j : j + m] = [True] * m
+        matched, i = matched + len("".join(x[i : i + m])), i + m
+    return 2 * matched / (len(a) + len(b))
+
+
 def test_fingerprints_match_a_plain_pass(spark):
     rng = random.Random(8)
-    texts = ODD + [" ".join(rng.choice("ab cd ef".split()) for _ in range(rng.randrange(60))) for _ in range(120)]
+    texts = [t if t is None else t[:3000] for t in ODD] + [" ".join(rng.choice("ab cd ef".split()) for _ in range(rng.randrange(60))) for _ in range(120)]
+    texts += ["😀" * 70, "ab" * 300, texts[-1] + " more", "".join(chr(rng.randrange(97, 110)) for _ in range(1500))]
     rows = list(zip(rng.sample(range(10**6), len(texts)), texts))
     got = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, rows).repartition(7)).collect()}
     order = sorted(rows, reverse=True)
@@ -145,14 +209,25 @@ def test_fingerprints_match_a_plain_pass(spark):
         t, u = t or "", u or ""
         k = len(t) // 2
         e = t[: len(t) - k] + u[:k]
-        p, q, v = (fingerprint.PrefixHashes(z).fingerprint() for z in (t, e, u))
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (p, q)
-        assert (r.near_edited, r.near_next) == (fingerprint.likeness(p, q), fingerprint.likeness(p, v))
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_fingerprint(t), plain_fingerprint(e))
+        assert (r.near_edited, r.near_next) == pytest.approx((plain_likeness(t, e), plain_likeness(t, u)))
         assert 0 <= r.near_next <= 1
 
 
+def test_fingerprints_of_many_copies(spark):
+    """Copies of one row over all ranges: each is followed by another, the last by the next document."""
+    rows = [(5, "copy of it")] * 300 + [(None, "no id")] * 200 + [(i, f"text {i}") for i in range(6, 30)] + [(1, "last one")]
+    got = fingerprint.fingerprints(frame(spark, rows).repartition(5)).collect()
+    assert len(got) == len(rows)
+    follower = [hashlib.sha256(fingerprint.edited("copy of it", x).encode()).hexdigest() for x in ("copy of it", "last one")]
+    assert sorted(r.edited_sha256 for r in got if r.doc_id == 5) == sorted([follower[0]] * 299 + [follower[1]])
+    assert [r.edited_sha256 for r in got if r.doc_id == 1] == [hashlib.sha256(fingerprint.edited("last one", "no id").encode()).hexdigest()]
+    follower = [hashlib.sha256(fingerprint.edited("no id", x).encode()).hexdigest() for x in ("no id", "text 29")]
+    assert sorted(r.edited_sha256 for r in got if r.doc_id is None) == sorted([follower[0]] * 199 + [follower[1]])
+
+
 def test_fingerprints_null_and_repeated_ids(spark):
     got = fingerprint.fingerprints(frame(spark, [(None, "abcd"), (3, "wxyz"), (3, "wxyz"), (None, None)])).collect()
     assert sorted((r.doc_id is None, r.n_chars) for r in got) == [(False, 4), (False, 4), (True, 0), (True, 4)]
@@ -185,6 +260,51 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, want)
 
 
+def test_long_words_are_scored_whole():
+    """Words beyond a unit, by plain log sums over all places."""
+    rng = np.random.default_rng(2)
+    vocabulary = sorted(set(TINY))
+    p = rng.random((len(vocabulary), 3)) ** 4
+    p /= p.sum(axis=0)
+    index = {v: i for i, v in enumerate(vocabulary)}
+
+    def log_mass(data):
+        m = [np.zeros(3)]
+        for e in range(1, len(data) + 1):
+            steps = [m[e - n] + np.log(p[index[data[e - n : e]]]) for n in range(1, min(e, 4) + 1) if data[e - n : e] in index]
+            m.append(np.logaddexp.reduce(steps, axis=0))
+        return m[-1]
+
+    words = ["ab" * 20, "ab" * 24, "ab" * 25, "aba" * 400, "é" * 900 + "ab", "a" * 49, "b" * 1000, "日本" * 200]
+    raw, offsets = flat_utf8(pa.array([" ".join(words), "", words[3]]))
+    starts, ends, rows = word_spans(raw, offsets, BLANKS)
+    assert rows.tolist() == [0] * len(words) + [2]
+    got = language_id.word_scores(raw, starts, ends, language_id._Trie(vocabulary), p)
+    assert np.allclose(got, [log_mass(b"\x00" + w.encode()) for w in [*words, words[3]]])
+    starts, ends, _, first = language_id._units(raw, offsets)  # to fit: parts of whole characters, nothing lost
+    assert b"".join(raw[a:b].tobytes() for a, b in zip(starts, ends, strict=True)).decode() == "".join([*words, words[3]])
+    assert first.sum() == len(words) + 1 and (ends - starts).max() <= language_id.UNIT + 3
+    for a, b in zip(starts, ends, strict=True):
+        raw[a:b].tobytes().decode()
+
+
+def test_trie_steps():
+    vocabulary = language_id.read_vocabulary(queries.PIECE_FILE)
+    trie = language_id._Trie(vocabulary)
+    for i in range(0, len(vocabulary), 97):
+        node = np.array([1])
+        for b in vocabulary[i]:
+            node = trie.step(node, np.array([b], np.uint8))
+        assert trie.piece[node[0]] == i
+    assert trie.step(np.array([1]), np.array([65], np.uint8))[0] and not trie.step(np.array([0]), np.array([65], np.uint8))[0]
+    inner = set(vocabulary)
+    for word in (b"\xff\xff", b"zqzqzq", b"\x00the", b"tion"):
+        node = np.array([1])
+        for b in word:
+            node = trie.step(node, np.array([b], np.uint8))
+        assert (trie.piece[node[0]] >= 0) == (word in inner)
+
+
 def test_language_prediction(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = queries.language_model(docs)
