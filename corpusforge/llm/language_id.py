@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .bytesops import BLANKS, flat_utf8, pieces, row_slices, word_hashes, word_spans
 from .sampling import fit_in_task, hash_sample, with_texts
 
@@ -308,8 +309,10 @@ def train(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text
     """Fit on a sample of ``docs`` (rows with an id, a text and a language): at
     most ``SAMPLE_DOCS`` documents a language, by the hash of their ids. Whole
     texts are reduced to counts of their units where they lie; the fitting task
-    receives the different ones. Without such rows no language is learned."""
-    drawn = hash_sample(docs.select(id_col, lang_col), id_col, lang_col, SAMPLE_DOCS)
+    receives the different ones. Of documents that share id and language one is
+    read. Without such rows no language is learned."""
+    scratch = Scratch(docs.sparkSession, "languages")
+    drawn = scratch.cut(hash_sample(docs.select(id_col, lang_col), id_col, lang_col, SAMPLE_DOCS), "sample")
     texts = with_texts(drawn, docs.select(id_col, text_col), id_col, text_col).select("_text", lang_col)
     lang_type = docs.schema[lang_col].dataType.simpleString()
     counted = texts.mapInArrow(_counted, f"lang {lang_type}, unit binary, first boolean, times bigint")
@@ -320,18 +323,25 @@ def train(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text
             return LanguageModel([], None, np.zeros((len(vocabulary), 0)))
         return fit(counts, vocabulary)
 
-    return fit_in_task(counted, learn)
+    model = fit_in_task(counted, learn)
+    scratch.drop()
+    return model
 
 
-def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` added from the whole text.
+def with_language(
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", out_cols: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with the language predicted from the whole text, and its
+    posterior, added as ``out_cols`` (which replace columns of these names).
 
     A null text, one without a letter, and any text where no language was
-    learned get `und` and score 0. Ties go to the first language by name. The
+    learned get `und` and score 0. Ties go to the first language by name.
+    Repeated rows are rows like others; an empty table gives an empty result. The
     model (vocabulary times languages) is broadcast; rows are not moved."""
+    lang, posterior_ = out_cols
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     if not model.languages:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return docs.withColumns({lang: F.lit(UNDETERMINED), posterior_: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<best:int,score:double>")
@@ -343,7 +353,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
     found = docs.withColumn("_found", score.asNondeterministic()(F.col(text_col)))
     return found.withColumns(
         {
-            "lang_pred": F.when(has_letter, F.get(names, F.col("_found.best"))).otherwise(UNDETERMINED),
-            "score": F.when(has_letter, F.col("_found.score")).otherwise(0.0),
+            lang: F.when(has_letter, F.get(names, F.col("_found.best"))).otherwise(UNDETERMINED),
+            posterior_: F.when(has_letter, F.col("_found.score")).otherwise(0.0),
         }
     ).drop("_found")

@@ -82,18 +82,24 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = pa.array(np.concatenate(signatures) if signatures else np.zeros(0, np.int64), pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * N_HASHES, pa.int32()), flat)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), lists, batch.column(2)],
-            names=["id", "node", "n", "sig", "key"],
+            [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), lists, batch.column(2), batch.column(3)],
+            names=["id", "node", "n", "sig", "key", "hash"],
         )
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets in batches of bounded size: a set is about as large as its text."""
+    """Sets, each once in a task, in batches of bounded size: a set is about as
+    large as its text."""
     schema = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+    given = set()
     for batch in batches:
         nodes, sets, held = [], [], 0
         for shingles in shingle_sets(batch.column(0)):
-            nodes.append(_identity(shingles))
+            node = _identity(shingles)
+            if node in given:
+                continue
+            given.add(node)
+            nodes.append(node)
             sets.append(shingles.view(np.int64))
             held += len(shingles)
             if held > 500_000:
@@ -175,6 +181,23 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def _sets_of(wanted: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, shingles) of the wanted nodes, one row each (and of others that
+    repeat a wanted id). A node's text is found by its smallest id, or, where no
+    row of it has an id, by the smallest hash of its texts. Copies of it are
+    folded in each task, and over all tasks where any are left."""
+    by_id = texts.where("id is not null").join(wanted.select(F.col("first_id").alias("id")).distinct(), "id").select("text")
+    none = wanted.where("first_id is null").select(F.col("least_hash").alias("hash")).distinct()
+    by_text = texts.where("id is null").join(none, "hash").select("text")
+    sets = by_id.union(by_text).mapInArrow(_full_sets, "node binary, shingles array<bigint>")
+    sets = scratch.cut(sets.where("node is not null"), "sets")
+    if sets.groupBy("node").count().where("count > 1").limit(1).count():
+        once = scratch.cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        scratch.delete(sets)
+        return once
+    return sets
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate component of ``docs``, of the smallest id
     (null ids come last); of rows that share it, one. Rows without words stay.
@@ -211,19 +234,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "neardup")
     id_type = docs.schema[id_col].dataType.simpleString()
     key = F.lit(0).cast("bigint") if key_col is None else F.col(key_col)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("key"))
-    rows = scratch.cut(texts.mapInArrow(_summaries, f"id {id_type}, node binary, n bigint, sig array<bigint>, key bigint"), "rows")
-    nodes = scratch.cut(rows.where("node is not null").groupBy("node", "n", "sig").agg(F.min("id").alias("first_id")), "nodes")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("key"), F.xxhash64(text_col).alias("hash"))
+    rows = texts.mapInArrow(_summaries, f"id {id_type}, node binary, n bigint, sig array<bigint>, key bigint, hash bigint")
+    rows = scratch.cut(rows, "rows")
+    known = rows.where("node is not null").groupBy("node", "n", "sig")
+    nodes = scratch.cut(known.agg(F.min("id").alias("first_id"), F.min("hash").alias("least_hash")), "nodes")
 
     keyed = scratch.cut(_table_keys(nodes), "keyed")
     tops = keyed.groupBy("key").agg(F.count("*").alias("held"), F.max("rank").alias("top")).where("held > 1")
     members = scratch.cut(keyed.join(tops, "key"), "members")
     scratch.delete(keyed)
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "first_id"), "node")
-    chosen = texts.join(wanted.select("first_id").distinct(), F.col("id").eqNullSafe(F.col("first_id"))).select("text")
-    sets = chosen.mapInArrow(_full_sets, "node binary, shingles array<bigint>")
-    sets = scratch.cut(sets.where("node is not null"), "sets")
+    sets = _sets_of(members.select("node").distinct().join(nodes, "node"), texts, scratch)
 
     stars = members.where("rank = top").select("key", F.col("node").alias("a"), F.col("n").alias("m"))
     stars = members.where("rank <> top").join(stars, "key").where(_size_ratio_fits("n", "m"))

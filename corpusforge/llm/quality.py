@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .bytesops import BLANKS, flat_utf8, mix64, pieces, word_hashes, word_spans
-from .sampling import hash_sample, with_texts
+from .sampling import hash_sample, one_label, with_texts
 
 #: Bound of the training sample: documents of a class.
 SAMPLE_DOCS = 6000
@@ -198,9 +199,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     most ``SAMPLE_DOCS`` documents of each label, by the hash of their ids. The
     statistics are those of whole texts; the driver receives only them.
     A sampled row counts for as many as its label has per sampled one, so the
-    labels' prior is that of all rows."""
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).alias("_y"))
-    drawn = hash_sample(known.dropDuplicates([id_col]), id_col, "_y", SAMPLE_DOCS)
+    labels' prior is that of all rows. Rows with a null in id, label or text, and
+    ids labelled both ways, are left out; of documents that share an id one is
+    read. Without labelled rows every score is the same."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    drawn = scratch.cut(hash_sample(one_label(labels, id_col, label_col), id_col, "_y", SAMPLE_DOCS), "sample")
     texts = with_texts(drawn, docs.select(id_col, text_col), id_col, text_col)
 
     @F.arrow_udf("array<double>")
@@ -208,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pa.array(list(statistics(column)), pa.list_(pa.float64()))
 
     rows = texts.select(id_col, "_y", measure.asNondeterministic()("_text").alias("x"), "_weight").collect()
+    scratch.drop()
     rows.sort(key=lambda r: (r[0], r[2]))
     return fit(np.array([r["x"] for r in rows]).reshape(len(rows), -1), [r["_y"] for r in rows], [r["_weight"] for r in rows])
 

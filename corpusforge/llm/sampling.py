@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_MOST_BROADCAST = 100_000  # classes
+_MOST_BROADCAST = 100_000  # classes, or sampled rows
 
 
 def remainder(id_col: str, m: int) -> Column:
@@ -18,7 +18,7 @@ def remainder(id_col: str, m: int) -> Column:
 
 
 def hash_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int, weight_col: str = "_weight") -> DataFrame:
-    """At most ``per_class`` rows of each class, by the hash of their ids, and
+    """At most ``per_class`` ids of each class, by the hash of their ids, and
     in ``weight_col`` how many rows of its class each stands for (``_place``:
     its number in the class).
 
@@ -32,16 +32,32 @@ def hash_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int, we
     near = drawn.join(counts, F.col(class_col) == F.col("_class")).where(
         F.col("_draw") < F.lit((1.5 * per_class + 50) * (1 << 40)) / F.col("_n")
     )
+    near = near.dropDuplicates([id_col, class_col])  # copies of one row are drawn together
     place = Window.partitionBy("_class").orderBy("_draw", id_col)
     ranked = near.withColumns({"_place": F.row_number().over(place), "_near": F.count("*").over(Window.partitionBy("_class"))})
     weight = F.col("_n") / F.least(F.col("_near"), F.lit(per_class))
     return ranked.where(F.col("_place") <= per_class).select(*rows.columns, weight.alias(weight_col), "_place")
 
 
-def with_texts(sample: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The sample's rows with their whole texts."""
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_text_id"), F.col(text_col).alias("_text"))
-    return texts.join(F.broadcast(sample), F.col("_text_id") == F.col(id_col)).drop("_text_id")
+def one_label(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, label) of the ids that ``labels`` gives one label of 0 and 1, however
+    often; ids that are labelled both ways are left out."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    found = known.groupBy(id_col).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_other"))
+    return found.where("_y = _other").select(id_col, "_y")
+
+
+def with_texts(sample: DataFrame, docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """The sample's rows with their whole texts (``_text``) and the columns
+    ``more``, one row for each: of documents that share the id, the one whose
+    text has the smallest hash. Copies are folded before they move."""
+    held = [F.col(c).alias(f"_{c}") for c in more]
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_text_id"), F.col(text_col).alias("_text"), *held)
+    if sample.count() <= _MOST_BROADCAST:
+        sample = F.broadcast(sample)
+    found = texts.join(sample, F.col("_text_id") == F.col(id_col))
+    one = F.min(F.struct(F.xxhash64("_text").alias("_hash"), "_text", *[f"_{c}" for c in more])).alias("_one")
+    return found.groupBy(*sample.columns).agg(one).select(*sample.columns, "_one._text", *[f"_one._{c}" for c in more])
 
 
 def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], object], keep: Callable[[Iterator[tuple]], list[tuple]] = list) -> object:

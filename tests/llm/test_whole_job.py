@@ -146,3 +146,42 @@ def test_long_texts_that_share_a_passage_are_found():
         found.append(alike(a, b[:at] + a[at : at + 500] + b[at + 500 :]))
         assert alike(a, a[:at] + "!" + a[at:]) > 0.95 and alike(a, b) < 0.001
     assert sum(x > 0 for x in found) >= 36 and max(found) <= 500 / 20_000
+
+
+def test_repeated_and_null_ids_stay_linear(spark):
+    """Thousands of copies of an id, or rows without one, are one set and one training row."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " more"
+    rows = [(None, t) for t in (text, near) for _ in range(3000)] + [(4, text)] * 3000 + [(9, near.upper())] * 500 + [(i, f"other {i} a b c d") for i in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    seen = []
+    confirm = near_dup._confirmed
+
+    def counting(pairs, sets):
+        seen.append((pairs.count(), sets.count()))
+        return confirm(pairs, sets)
+
+    near_dup._confirmed = counting
+    try:
+        got = near_dup.near_duplicates(docs).groupBy("doc_id", "component_id", "kept").count().collect()
+    finally:
+        near_dup._confirmed = confirm
+    assert seen[0] == (1, 2) and all(p <= 1 and s <= 2 for p, s in seen)
+    assert {(r.doc_id, r.component_id, r.kept, r["count"]) for r in got if r.doc_id not in range(20, 40)} == {(None, 4, False, 6000), (4, 4, True, 3000), (9, 4, False, 500)}
+
+    nulls = spark.createDataFrame([(None, t) for t in (text, near) for _ in range(1000)], "doc_id long, text string").repartition(4)
+    assert {(r.component_id, r.kept) for r in near_dup.near_duplicates(nulls).collect()} == {(None, True)}
+
+
+def test_training_rows_of_repeated_ids(spark):
+    rows = [(1, f"copy {i % 2}", "en") for i in range(4000)] + [(i, f"text {i}", "fr") for i in range(2, 60)] + [(None, "none", "en")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] * 3 + [(7, 0), (8, None), (None, 1), (9, 5)], "doc_id long, y int")
+    one = sampling.one_label(labels, "doc_id", "y")
+    assert {r.doc_id for r in one.collect()} == set(range(1, 60)) - {7}
+    drawn = sampling.hash_sample(one, "doc_id", "_y", 1000)
+    found = sampling.with_texts(drawn, docs, "doc_id", "text", "lang").collect()
+    assert sorted(r.doc_id for r in found) == sorted(set(range(1, 60)) - {7})
+    assert len({r._text for r in found if r.doc_id == 1}) == 1
+    langs = sampling.hash_sample(docs.select("doc_id", "lang"), "doc_id", "lang", 1000).collect()
+    assert len(langs) == 59 and {r._weight for r in langs if r.lang == "en"} == {4000.0 + 0}
