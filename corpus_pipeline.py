@@ -12,25 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.llm import language_id, mixing, near_dup, queries, toxicity
-from corpusforge.session import Scratch
+from corpusforge.session import Scratch, scratch_scope
 
 #: A language guess below this posterior rejects the document.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``docs``."""
+    held = {c.lower() for c in docs.columns}
+    while name in held:
+        name = f"_{name}"
+    return name
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined; null and letterless texts go."""
-    found = language_id.with_language(docs, queries.language_model(docs))
-    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    """Documents whose language is determined; null and letterless texts go.
+    Repeated rows and null ids are judged by their texts like others."""
+    lang, score = _unused(docs, "lang_pred"), _unused(docs, "score")
+    found = language_id.with_language(docs, queries.language_model(docs), out_cols=(lang, score))
+    known = (F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)
     return found.where(known).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are scored below 0.5."""
+    """Documents that are scored below 0.5. Null and empty texts are scored as no
+    words; repeated rows and null ids by their texts like others."""
     learn = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn = learn.where(~queries.held_out(queries.TOXIC_FOLDS, queries.TOXIC_HELD_OUT))
-    scored = toxicity.with_toxicity(docs, toxicity.train(docs, learn), out_col="_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    score = _unused(docs, "score")
+    scored = toxicity.with_toxicity(docs, toxicity.train(docs, learn), out_col=score)
+    return scored.where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +52,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, or left out, as their sources' weights ask."""
+    """Documents repeated, or left out, as their sources' weights ask. A null
+    source is one source; a null or empty text has no words and is left out
+    only with its source's whole repetitions."""
     return mixing.apply_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each document of the mix: its tokens' number and digests."""
+    """A row for each document of the mix: its tokens' number and digests (of no
+    token for a null or empty text)."""
     return queries.token_digests(docs)
 
 
@@ -65,6 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+        with scratch_scope():
+            docs = scratch.cut(stage(spark, docs, sf_dir), name)
         scratch.drop(keep=[docs])
     return docs
