@@ -17,7 +17,7 @@ from ..operators.dedup import annotate_duplicates, dedup_winners, with_dedup_key
 from ..operators.score import apply_score_cut, score_distribution
 from ..operators.split import exact_split
 from ..operators.stats import final_distribution, outcome_counts_from_winners, totals
-from ..session import balanced, checkpoint_dir, cut_lineage
+from ..session import Scratch, balanced, checkpoint_dir, cut_lineage
 from ..sources.corpus import first_n, first_n_per_group, get_field, get_score, with_file_ordinal
 from ..sources.jsonl import read_jsonl, read_required_jsonl, required_columns, write_jsonl
 from ..sources.lines import read_parallel_lines
@@ -36,10 +36,10 @@ from .registry import (
 )
 
 
-def doc_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_keyed(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
     """Waterfall + key computed once into the shared checkpoint folder; the
     dedup aggregate and the outcome counts then read narrow columns of it."""
-    return cut_lineage(with_dedup_key(apply_waterfall(doc_pairs(spark, sf_dir), DOC_CFG)), "doc_keyed")
+    return scratch.cut(with_dedup_key(apply_waterfall(doc_pairs(spark, sf_dir), DOC_CFG)), "doc_keyed")
 
 
 # ------------------------------------------------------------ clean_stats
@@ -52,9 +52,10 @@ def doc_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM a GROUP BY 1, 2""",
 )
 def clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = doc_keyed(spark, sf_dir)
+    scratch = Scratch(spark, "stats")
+    keyed = doc_keyed(spark, sf_dir, scratch)
     counts = outcome_counts_from_winners(keyed, dedup_winners(keyed, ["source"], keyed=True))
-    return counts.select("source", F.coalesce("reason", F.lit("passed")).alias("reason"), "n")
+    return finished(counts.select("source", F.coalesce("reason", F.lit("passed")).alias("reason"), "n"), scratch)
 
 
 # --------------------------------------------------------- dedup_priority
@@ -66,8 +67,9 @@ def clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT ord AS doc_id, source, dkey FROM a WHERE reason IS NULL""",
 )
 def dedup_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    won = dedup_winners(doc_keyed(spark, sf_dir), ["source"], keyed=True)
-    return won.select(F.col("ord").alias("doc_id"), "source", "dkey")
+    scratch = Scratch(spark, "stats")
+    won = dedup_winners(doc_keyed(spark, sf_dir, scratch), ["source"], keyed=True)
+    return finished(won.select(F.col("ord").alias("doc_id"), "source", "dkey"), scratch)
 
 
 # ----------------------------------------------------- score_distribution
@@ -225,13 +227,23 @@ def doc_build(spark: SparkSession, sf_dir: str):
     return build_corpus(labeled_doc_pairs(spark, sf_dir), DOC_CFG, BUILD_CUT_PCT, VAL_FRACTION, SEED)
 
 
+def finished(df: DataFrame, *scratches: Scratch | None) -> DataFrame:
+    """A small result, written, after which the job's own tables go."""
+    out = cut_lineage(df, "result")
+    for scratch in scratches:
+        if scratch is not None:
+            scratch.drop()
+    return out
+
+
 @register(
     "source_distribution",
     "A3 U1 U3",
     _built_sql() + " SELECT source, count(*) AS n FROM s GROUP BY source",
 )
 def source_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return final_distribution(doc_build(spark, sf_dir).kept)
+    b = doc_build(spark, sf_dir)
+    return finished(final_distribution(b.kept), b.scratch)
 
 
 @register(
@@ -248,7 +260,7 @@ def source_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = doc_build(spark, sf_dir)
-    return totals(b.before_cut, b.kept)
+    return finished(totals(b.before_cut, b.kept), b.scratch)
 
 
 # ------------------------------------------------------------ sanity_report
@@ -780,8 +792,9 @@ def sft_from_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§3.4 data half on the build output: kept rows written as JSON lines
     (K1; a null score is omitted), read back with the clean-pair reader (S5),
     turned into chat rows (T2), one output row per message."""
-    kept = doc_build(spark, sf_dir).kept
+    b = doc_build(spark, sf_dir)
     path = f"{checkpoint_dir(spark).rstrip('/')}/corpusforge-clean-{uuid.uuid4().hex}"
-    write_jsonl(kept.select("ko", "en", "source", "score"), path)
+    write_jsonl(b.kept.select("ko", "en", "source", "score"), path)
+    b.release()
     msgs = chat.sft_messages(read_jsonl(spark, path), "ko2en")
     return msgs.select(F.posexplode("messages").alias("pos", "m")).select("pos", "m.role", "m.content")

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -79,6 +81,23 @@ def cut_lineage(df, name: str = "stage"):
     return spark.read.parquet(path)
 
 
+_SCOPES: list[list[Scratch]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Deletes, at its end, every table that jobs inside it have left. For a
+    caller that has written what it needs of their lazy results."""
+    made: list[Scratch] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for scratch in made:
+            scratch.drop()
+
+
 class Scratch:
     """Intermediate tables of one job in the shared checkpoint folder.
 
@@ -91,6 +110,8 @@ class Scratch:
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/corpusforge-{name}-{uuid.uuid4().hex}"
         self._tables: dict[str, object] = {}
         self._made = 0
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def new_folder(self, name: str) -> str:
         """A path under this job's folder for a caller that writes files itself."""
