@@ -259,3 +259,34 @@ def with_decoded(df: DataFrame, vocabulary: bytes, ids_col: str = "ids", out_col
         return pa.array(rows, pa.binary())
 
     return df.withColumn(out_col, decode.asNondeterministic()(F.col(ids_col)))
+
+
+def with_round_trip(
+    df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded"
+) -> DataFrame:
+    """``df`` with the token ids of every whole text, as ``with_token_ids``, and
+    the bytes that these ids decode to. Both happen in the same Python worker, so
+    a task needs one and the ids travel once."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def there_and_back(texts: pa.Array) -> pa.Array:
+        data = shared.value
+
+        def make() -> tuple[TextEncoder, Decoder]:
+            ranks = parse_ranks(data)
+            return TextEncoder(Bpe(ranks), pattern), Decoder(ranks)
+
+        encoder, decoder = held((hash(data), pattern, "both"), make)
+        flat, ends, decoded = bytearray(), [0], []
+        for text in texts:
+            ids = encoder.encode(text.as_py() or "")
+            flat += ids
+            ends.append(len(flat) // 4)
+            decoded.append(decoder.decode(np.frombuffer(ids, np.int32)) if ids else b"")
+        values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(flat)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.binary())], ["ids", "decoded"])
+
+    both = df.withColumn("_both", there_and_back.asNondeterministic()(F.col(text_col)))
+    return both.withColumns({ids_col: F.col("_both.ids"), decoded_col: F.col("_both.decoded")}).drop("_both")

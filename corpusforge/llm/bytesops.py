@@ -117,3 +117,8 @@ def held(key: Hashable, make: Callable[[], object]) -> object:
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def forget() -> None:
+    """Let the prepared model go, in an operator that needs none."""
+    _HELD.clear()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .bytesops import BLANKS, flat_utf8, pieces, row_slices, word_hashes, word_spans
+from .bytesops import BLANKS, flat_utf8, forget, pieces, row_slices, word_hashes, word_spans
 from .sampling import fit_in_task, hash_sample, with_texts
 
 UNDETERMINED = "und"
@@ -226,6 +226,7 @@ def word_scores(raw, starts, ends, trie: _Trie, p: np.ndarray) -> np.ndarray:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(language, unit, starts a word, times) of whole texts, per some MB of them.
     Blank texts are left out."""
+    forget()
     for batch in batches:
         raw, offsets = flat_utf8(batch.column(0))
         filled = np.array([bool(t) and not t.isspace() for t in batch.column(0).to_pylist()])
@@ -288,6 +289,7 @@ def fit(counts: list[tuple[str, bytes, bool, int]], vocabulary: list[bytes]) ->
 
 def predict(column: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
     """(index of the likeliest language, its posterior under a flat prior) per row."""
+    forget()
     raw, offsets = flat_utf8(column)
     best, score = np.zeros(len(column), dtype=np.int64), np.zeros(len(column))
     for lo, hi in pieces(offsets, _PIECE):

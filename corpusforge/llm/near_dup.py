@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .bytesops import BLANKS, flat_utf8, mix64, pieces, row_slices, word_hashes, word_spans
+from .bytesops import BLANKS, flat_utf8, forget, mix64, pieces, row_slices, word_hashes, word_spans
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -73,6 +73,7 @@ def _signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         nodes, sizes, signatures = [], [], []
         for shingles in shingle_sets(batch.column(1)):

@@ -45,8 +45,7 @@ def vocabulary(path: str = BPE_FILE) -> bytes:
 def token_digests(docs: DataFrame) -> DataFrame:
     """Per document: the digests of its token ids and of what they decode to."""
     data = vocabulary()
-    coded = bpe.with_token_ids(docs.select("doc_id", "text"), data, public_tokenizers.PATTERN).drop("text")
-    coded = bpe.with_decoded(coded, data)
+    coded = bpe.with_round_trip(docs.select("doc_id", "text"), data, public_tokenizers.PATTERN).drop("text")
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytesops import forget
+
 _MOST_BROADCAST = 100_000  # classes, or sampled rows
 
 
@@ -66,6 +68,7 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], object], keep: C
     ``_place`` where they have one, and decides which are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         rows = keep(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         rows.sort(key=lambda r: [(v is not None, v) for v in r])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
