@@ -6,7 +6,7 @@ so a plain shuffle join. A one-sided row means the inputs disagree in length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines
@@ -64,13 +64,24 @@ def require_aligned(aligned: DataFrame, what: str = "rows") -> DataFrame:
 
 
 def zip_by_id(left: DataFrame, right: DataFrame, id_col: str = "id") -> DataFrame:
-    """Columns of two id-keyed tables side by side; both sides must hold
-    the same ids (checked with counts, no collect)."""
-    sides = left.select(id_col, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
-        right.select(id_col, F.lit(0).alias("l"), F.lit(1).alias("r"))
+    """Columns of two id-keyed tables side by side, strictly: an id that is
+    null, repeated, or on one side only raises when the result is read.
+
+    One full outer join, each side read once and dealt by id once: rows are
+    numbered within their id on the sort that the join needs anyway, and a filter
+    over the joined rows raises. Nothing runs before the result does."""
+    number = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
+    lcols = [c for c in left.columns if c != id_col]
+    rcols = [c for c in right.columns if c != id_col]
+    one = left.withColumn("_cf_l", number).withColumnRenamed(id_col, "_cf_lid")
+    two = right.withColumn("_cf_r", number).withColumnRenamed(id_col, "_cf_rid")
+    joined = one.join(two, F.col("_cf_lid") == F.col("_cf_rid"), "full_outer")
+    name = F.coalesce(F.col("_cf_lid").cast("string"), F.col("_cf_rid").cast("string"), F.lit("null"))
+    fault = (
+        F.when(F.col("_cf_l").isNull(), F.lit("is missing on the left"))
+        .when(F.col("_cf_r").isNull(), F.lit("is missing on the right"))
+        .when(F.col("_cf_l") > 1, F.lit("is repeated on the left"))
+        .when(F.col("_cf_r") > 1, F.lit("is repeated on the right"))
     )
-    counts = sides.groupBy(id_col).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    bad = counts.where(F.col(id_col).isNull() | (F.col("l") != 1) | (F.col("r") != 1)).take(1)
-    if bad:
-        raise RuntimeError(f"ids differ: {bad[0][0]!r} is {bad[0]['l']} times on the left, {bad[0]['r']} times on the right")
-    return left.join(right, id_col, "inner")
+    strict = F.when(fault.isNull(), True).otherwise(F.raise_error(F.concat(F.lit("ids differ: "), name, F.lit(" "), fault)).cast("boolean"))
+    return joined.where(strict).select(F.col("_cf_lid").alias(id_col), *lcols, *rcols)

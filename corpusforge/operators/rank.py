@@ -25,13 +25,16 @@ here because its window needs one more shuffle stage per pass.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import Scratch
+
 DEFAULT_BUCKETS = 4096
 # ranges tables above this many rows are joined without a broadcast hint
 _BROADCAST_RANGES = 100_000
@@ -181,6 +184,106 @@ def order_statistics(
         data.unpersist()
 
 
+_SALTS = 16  # shares of a group's rows that meet its ranges apart
+_MOST_PASSES = 8
+
+
+def _is_wide_col(lo: str, hi: str) -> Column:
+    small, large = F.least(F.abs(lo), F.abs(hi)), F.greatest(F.abs(lo), F.abs(hi))
+    return ((F.col(lo) <= 0) & (F.col(hi) >= 0)) | (large == F.lit(math.inf)) | (large / 4 > small)
+
+
+def grouped_order_statistics(
+    df: DataFrame,
+    value_col: str,
+    group_cols: list[str],
+    ranks: dict[str, Callable[[Column], Column]],
+    buckets: int = DEFAULT_BUCKETS,
+) -> DataFrame:
+    """One row per group that has a value: the group, ``n``, ``min``, ``max`` and
+    a column per rank, the value at the 0-based index ``ranks[name](n)`` of the
+    group's sorted values (null where the index is outside).
+
+    The same histograms as ``order_statistics``, but everything stays in
+    Spark: a pass counts (group, range, bucket), a running sum over a range's
+    buckets (``buckets`` rows at most) finds the bucket of each rank, and the
+    bucket's least and greatest value are the next range. Eight passes suffice
+    for any doubles, so the number of jobs depends on neither rows nor groups, and
+    the driver learns only whether a pass left anything open. Rows are read
+    anew in each pass, without a persisted copy. A group of any size is met in
+    shares (salted), counted partially before it moves.
+
+    Nulls are ignored, NaN ranks last, and -0.0 equals 0.0. Null groups are a
+    group. An empty input gives an empty result."""
+    scratch = Scratch(df.sparkSession, "ranks")
+    keys = [f"_g{i}" for i in range(len(group_cols))]
+    data = df.select(*[F.col(c).alias(k) for c, k in zip(group_cols, keys, strict=True)], F.col(value_col).cast("double").alias("_v"))
+    data = data.where("_v is not null")
+    number = F.when(~F.isnan("_v"), F.col("_v"))
+    base = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(number).alias("_nn"), F.min(number).alias("_lo"), F.max(number).alias("_hi")
+    )
+    base = scratch.cut(base, "base")
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("bigint").alias("k")) for name, rank in ranks.items()]))
+    targets = base.select("*", wanted.alias("_w")).select(*keys, "_n", "_nn", "_lo", "_hi", F.col("_w.name").alias("_name"), F.col("_w.k").alias("_k"))
+    targets = targets.where("_k >= 0 and _k < _n").select(
+        *keys,
+        "_name",
+        "_k",
+        "_lo",
+        "_hi",
+        F.when(F.col("_k") >= F.col("_nn"), F.lit(math.nan)).when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_value"),
+    )
+    targets = scratch.cut(targets, "targets")
+
+    def same(left: str, right: str, names: list[str]) -> Column:
+        out = F.lit(True)
+        for name in names:
+            out = out & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
+        return out
+
+    for _ in range(_MOST_PASSES):
+        left = targets.where("_value is null")
+        if not left.limit(1).count():
+            break
+        ranges = left.select(*keys, "_lo", "_hi").distinct()
+        ranges = ranges.withColumn("_rwide", _is_wide_col("_lo", "_hi")).withColumnsRenamed({"_lo": "_rlo", "_hi": "_rhi"})
+        ranges = ranges.withColumns({"_from": _place("_rlo"), "_to": _place("_rhi")})
+        ranges = ranges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        salted = data.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(_SALTS)).cast("int"))
+        within = salted.alias("d").join(ranges.alias("r"), same("d", "r", [*keys, "_salt"]) & F.expr("d._v >= r._rlo and d._v <= r._rhi"))
+        within = within.select(*[F.col(f"d.{k}").alias(k) for k in keys], "_v", "_rlo", "_rhi", "_rwide", "_from", "_to")
+        scaled = (_place("_v") - F.col("_from")) / (F.col("_to") - F.col("_from"))
+        bucket = F.least(F.floor(scaled * F.lit(buckets)), F.lit(buckets - 1)).cast("int")
+        counts = within.groupBy(*keys, "_rlo", "_rhi", bucket.alias("_b")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx")
+        )
+        upto = F.sum("_c").over(Window.partitionBy(*keys, "_rlo", "_rhi").orderBy("_b"))
+        counts = counts.withColumn("_upto", upto).withColumnsRenamed({"_rlo": "_lo", "_rhi": "_hi"})
+        found = left.alias("t").join(counts.alias("c"), same("t", "c", [*keys, "_lo", "_hi"]) & F.expr("t._k < c._upto and t._k >= c._upto - c._c"))
+        found = found.select(
+            *[F.col(f"t.{k}").alias(k) for k in keys],
+            "_name",
+            (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_k"),
+            F.col("_mn").alias("_lo"),
+            F.col("_mx").alias("_hi"),
+            F.when(F.col("_mn") == F.col("_mx"), F.col("_mn")).alias("_value"),
+        )
+        step = scratch.cut(targets.where("_value is not null").unionByName(found), "targets")
+        scratch.delete(targets)
+        targets = step
+    values = targets.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(f"_r_{name}") for name in ranks])
+    out = base.alias("b").join(values.alias("v"), same("b", "v", keys), "left")
+    numbers = F.col("_nn") > 0
+    return out.select(
+        *[F.col(f"b.{k}").alias(c) for c, k in zip(group_cols, keys, strict=True)],
+        F.col("_n").alias("n"),
+        F.when(numbers, F.col("_lo")).otherwise(F.lit(math.nan)).alias("min"),
+        F.when(F.col("_nn") == F.col("_n"), F.col("_hi")).otherwise(F.lit(math.nan)).alias("max"),
+        *[F.col(f"_r_{name}").alias(name) for name in ranks],
+    )
+
+
 def kth_smallest_hex(df: DataFrame, hex_col: str, k: int, digits: int = 4, unique: bool = False) -> str:
     """sorted(df[hex_col])[k] for fixed-length lowercase hex strings (hashes).
     With ``unique``, more rows up to that value than k + 1 raise.

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import py_round
 from ..functions.text import HANGUL, LATIN, has_script, null_safe
+from ..sources.loose import json_has, json_keys, json_text
 
 # Probe precedence and descriptions (fixed values).
 LAYOUTS = (
@@ -68,6 +69,20 @@ def probe_map(m: Column) -> Column:
     return F.struct(ko.alias("ko"), en.alias("en"), desc.alias("schema"))
 
 
+def probe_json(row: Column) -> Column:
+    """P2 per row of a loose JSON source: struct(ko, en, schema). Keys that are
+    there decide, whatever their values; values that are not text are null.
+    Unknown rows list their first six keys (sorted)."""
+    quoted = F.transform(F.slice(json_keys(row), 1, 6), lambda k: F.concat(F.lit("'"), k, F.lit("'")))
+    unknown = F.concat(F.lit(UNKNOWN_PREFIX + "["), F.array_join(quoted, ", "), F.lit("]"))
+    none = F.lit(None).cast("string")
+    found = F.struct(none.alias("ko"), none.alias("en"), unknown.alias("schema"))
+    for ko, en, desc in reversed(LAYOUTS):
+        here = F.struct(json_text(row, ko).alias("ko"), json_text(row, en).alias("en"), F.lit(desc).alias("schema"))
+        found = F.when(json_has(row, ko) & json_has(row, en), here).otherwise(found)
+    return found
+
+
 def sanity_ok(ko: Column, en: Column, src_pattern: str = HANGUL, tgt_pattern: str = LATIN) -> Column:
     """A5 row test (validator form): text not stripped, null/empty is False."""
     is_ko = null_safe(has_script(ko, src_pattern), ko)

@@ -2,37 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rank import order_statistics
+from ..functions.numeric import py_round
+from .rank import grouped_order_statistics, order_statistics
 
-DIST_SCHEMA = "source string, n bigint, min double, p10 double, median double, p90 double, max double"
-
-
-def _floor_ranks(n: int):
-    # 0-based floor indices of the sorted scores (no interpolation)
-    return [("p10", n // 10), ("median", n // 2), ("p90", n * 9 // 10)]
+#: 0-based floor indices of the sorted scores (no interpolation)
+FLOOR_RANKS = {
+    "p10": lambda n: F.floor(n / 10),
+    "median": lambda n: F.floor(n / 2),
+    "p90": lambda n: F.floor(n * 9 / 10),
+}
 
 
 def score_distribution(df: DataFrame, group_col: str = "source", score_col: str = "score") -> DataFrame:
     """A2: n, min, p10, median, p90, max per group, rounded to 4 as Python
     rounds. Groups without any score are absent."""
-    stats = order_statistics(df, score_col, [group_col], _floor_ranks)
-    rows = [
-        (
-            gs.group[0],
-            gs.n,
-            round(gs.lo, 4),
-            round(gs.values["p10"], 4),
-            round(gs.values["median"], 4),
-            round(gs.values["p90"], 4),
-            round(gs.hi, 4),
-        )
-        for gs in stats
-    ]
-    spark: SparkSession = df.sparkSession
-    return spark.createDataFrame(rows, DIST_SCHEMA)
+    stats = grouped_order_statistics(df, score_col, [group_col], FLOOR_RANKS)
+    return stats.select(
+        F.col(group_col).alias("source"), "n", *[py_round(F.col(c), 4).alias(c) for c in ("min", "p10", "median", "p90", "max")]
+    )
 
 
 def score_cutoff(df: DataFrame, drop_bottom_pct: float, score_col: str = "score") -> float | None:

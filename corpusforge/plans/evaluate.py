@@ -9,9 +9,8 @@ predictions table can be scored instead (``predictions`` keyed by ``id``).
 from __future__ import annotations
 
 import json
-import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chat, infer, metrics
@@ -47,15 +46,15 @@ def evaluate(
     if limit:  # W4: first `limit` pairs in order (0/None = all)
         pairs = pairs.where(F.col("ord") < F.lit(int(limit)))
     base = chat.project_direction(pairs, direction, keep=["id", "ord"])
-    t0 = time.time()
     if predictions is not None:
         triples = zip_by_id(base, predictions.select("id", "pred"))
     else:
         triples = infer.batch_predict(base, translate, "src", "pred", batch_size)
     scratch = Scratch(spark, "evaluate")
-    triples = scratch.cut(triples, "triples")  # forces the translation
-    n_pairs = triples.count()
-    seconds = round(time.time() - t0, 1)
+    seen = Observation()
+    # one action translates, writes and counts
+    triples, seconds = infer.timed(lambda: scratch.cut(triples.observe(seen, F.count(F.lit(1)).alias("n")), "triples"))
+    n_pairs = seen.get["n"]
     result_metrics = metrics.translation_metrics(triples, target_lang)
     if scorer is not None:
         scored = infer.score_segments(triples, scorer)

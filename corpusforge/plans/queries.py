@@ -21,8 +21,9 @@ from ..session import Scratch, balanced, checkpoint_dir, cut_lineage
 from ..sources.corpus import first_n, first_n_per_group, get_field, get_score, with_file_ordinal
 from ..sources.jsonl import read_jsonl, read_required_jsonl, required_columns, write_jsonl
 from ..sources.lines import read_parallel_lines
-from ..sources.specs import TestsetBounds
+from ..sources.specs import SourceSpec, TestsetBounds
 from .build import build_corpus
+from .validate_sources import counted_rows
 from .registry import (
     ACCENTED,
     DOC_CFG,
@@ -45,7 +46,7 @@ def doc_keyed(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
 # ------------------------------------------------------------ clean_stats
 @register(
     "clean_stats",
-    "S2 P3-P12 D1 D2 A1",
+    "P3-P12 D1 D2 A1",
     f"""
     WITH a AS ({annotated_sql(DOC_PAIRS_SQL)})
     SELECT source, coalesce(reason, 'passed') AS reason, count(*) AS n
@@ -156,7 +157,7 @@ CONV_PAIRS_SQL = """
     WHERE u.role = 'user' AND a.role = 'assistant'"""
 
 
-@register("pairs_from_conversations", "J1 J2", CONV_PAIRS_SQL)
+@register("pairs_from_conversations", "J1", CONV_PAIRS_SQL)
 def pairs_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_pairs(spark, sf_dir)
 
@@ -170,7 +171,7 @@ CONV_AS_CORPUS_SQL = f"""
 
 @register(
     "reject_waterfall",
-    "P3-P13 D2",
+    "P3-P12 D2",
     f"""
     WITH a AS ({annotated_sql(CONV_AS_CORPUS_SQL)})
     SELECT conv_id, turn, reason, dkey FROM a""",
@@ -238,7 +239,7 @@ def finished(df: DataFrame, *scratches: Scratch | None) -> DataFrame:
 
 @register(
     "source_distribution",
-    "A3 U1 U3",
+    "A3 U3",
     _built_sql() + " SELECT source, count(*) AS n FROM s GROUP BY source",
 )
 def source_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +270,7 @@ SAMPLE_N = 10
 
 @register(
     "sanity_report",
-    "S3 P2 P8 A5 A6 A7",
+    "P2 P8 A5 A7",
     f"""
     WITH s AS (SELECT source, text AS ko, regexp_replace(text, '{NON_ASCII}', '', 'g') AS en,
                       row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn
@@ -317,10 +318,7 @@ TABLES = (
 )
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = [
-        table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("num_rows")).select(
-            F.lit(t).alias("table_name"), "num_rows"
-        )
-        for t in TABLES
+        counted_rows(spark, SourceSpec(t, f"{sf_dir}/{t}.parquet")).select(F.lit(t).alias("table_name"), "num_rows") for t in TABLES
     ]
     out = frames[0]
     for f in frames[1:]:
@@ -471,7 +469,7 @@ def schema_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------------- jsonl_required
 @register(
     "jsonl_required",
-    "S5 S6",
+    "S6",
     "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
 )
 def jsonl_required(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -484,7 +482,7 @@ def jsonl_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------- sft_messages
 @register(
     "sft_messages",
-    "T1 T2 W4",
+    "T1 T2",
     f"""
     WITH p AS ({CONV_PAIRS_SQL})
     SELECT conv_id, turn, 0 AS pos, 'system' AS role, '{chat.DEFAULT_SYSTEM["ko2en"]}' AS content FROM p
@@ -679,7 +677,7 @@ def system_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "head20",
-    "W5 K5",
+    "W5",
     f"""
     SELECT conv_id, turn, src, tgt AS ref, replace(tgt, 'the', 'a') AS pred
     FROM ({CONV_PAIRS_SQL}) ORDER BY conv_id, turn LIMIT 20""",

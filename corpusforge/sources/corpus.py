@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import py_strip
 from ..session import cut_lineage
+from .loose import LINE, json_number, json_text
 from .specs import SourceSpec
 
 # split-offset tables up to this many rows (~200 bytes each) are broadcast
@@ -144,9 +146,16 @@ def _resolve(schema: T.DataType, path: str):
     return col, dtype
 
 
+def _is_loose(df: DataFrame) -> bool:
+    return LINE in df.columns and isinstance(df.schema[LINE].dataType, T.VariantType)
+
+
 def get_field(df: DataFrame, path: str) -> Column:
     """Value at a dotted path as a string column; null when the path is
-    missing or the value is not text (that row then fails the schema test)."""
+    missing or the value is not text (that row then fails the schema test). In
+    a loose JSON source this is decided row by row."""
+    if _is_loose(df):
+        return json_text(F.col(LINE), path)
     col, dtype = _resolve(df.schema, path)
     if col is None or not isinstance(dtype, T.StringType):
         return F.lit(None).cast("string")
@@ -157,6 +166,8 @@ def get_score(df: DataFrame, path: str | None) -> Column:
     """Numeric (or boolean) score as double, else null."""
     if path is None:
         return F.lit(None).cast("double")
+    if _is_loose(df):
+        return json_number(F.col(LINE), path)
     col, dtype = _resolve(df.schema, path)
     if col is None or not isinstance(dtype, _PY_NUMBER_TYPES):
         return F.lit(None).cast("double")
@@ -186,19 +197,21 @@ def _reader(spark: SparkSession, fmt: str, schema: str | None):
     return r.schema(schema) if schema else r
 
 
-def head_files(spark: SparkSession, fmt: str, path, limit: int, schema: str | None = None) -> list[str]:
+def head_files(spark: SparkSession, fmt: str, path, limit: int, schema: str | None = None, keep: Column | None = None) -> list[str]:
     """The first files, in path order, that together hold at least ``limit``
     rows. Files are counted in doubling batches (1, 2, 4, ...), so a cap of
     a few rows on a 100 TB source touches one file, never every split.
     Pass ``schema`` for formats that would otherwise infer it from the data
-    (JSON): listing files must not scan them."""
+    (JSON): listing files must not scan them. Only rows that ``keep`` holds for
+    count."""
     source = _reader(spark, fmt, schema).load(path)
     files = sorted(source.inputFiles())
     chosen: list[str] = []
     total, i, step = 0, 0, 1
     while total < max(limit, 1) and i < len(files):
         batch = files[i:i + step]
-        total += of_files(source, batch).count()
+        rows = of_files(source, batch)
+        total += (rows if keep is None else rows.where(keep)).count()
         chosen += batch
         i, step = i + step, step * 2
     return chosen
@@ -213,9 +226,28 @@ def of_files(source: DataFrame, files: list[str]) -> DataFrame:
     return source.where(F.col("_metadata.file_path").isin(sorted(names)))
 
 
+def read_loose(spark: SparkSession, path, limit: int | None = None, strict: bool = True) -> DataFrame:
+    """(ord, line): JSON lines of unknown types, each a VARIANT; blank lines are
+    skipped and not counted. A malformed line raises, or is null if not
+    ``strict``. With a limit only the head files that can hold it are read."""
+    raw = spark.read.text(path)
+    filled = F.length(py_strip(F.col("value"))) > 0
+    if limit is not None:
+        raw = of_files(raw, head_files(spark, "text", path, limit, keep=filled))
+    lines = with_file_ordinal(raw, expand=lambda df: df.where(filled))
+    parse = F.parse_json if strict else F.try_parse_json
+    return lines.select("ord", parse("value").alias(LINE))
+
+
 def read_source(spark: SparkSession, spec: SourceSpec, limit: int | None = None) -> DataFrame:
     """Read a source with an ``ord`` column. With a file ordinal and a cap,
-    only the head files that can hold the first ``limit`` rows are read."""
+    only the head files that can hold the first ``limit`` rows are read. JSON
+    without a schema is read as loose JSON."""
+    if spec.fmt == "json" and spec.schema is None:
+        df = read_loose(spark, spec.path, limit if spec.ordinal is None else None)
+        if spec.ordinal is None:
+            return df
+        return df.withColumn("ord", json_number(F.col(LINE), spec.ordinal).cast("bigint"))
     df = _reader(spark, spec.fmt, spec.schema).load(spec.path)
     if spec.ordinal is None and limit is not None:
         df = of_files(df, head_files(spark, spec.fmt, spec.path, limit, spec.schema))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .corpus import with_file_ordinal
+from ..session import cut_lineage
+from .corpus import BROADCAST_SPLITS
 
-# Python str.splitlines() breaks that Spark's line reader (\n, \r, \r\n)
-# does not split on (fixed values).
-EXTRA_BREAKS = r"[\x{b}\x{c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
+# What str.splitlines() breaks at beside \n, \r and \r\n (fixed values).
+EXTRA_BREAKS = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+_INNER_BREAK = r"[\r\x{b}\x{c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
+_BOM = "\ufeff"
 
 # FLORES-style layout: {root}/{split}/{code}.{split} (fixed values).
 LANG_CODES = {"ko": "kor_Hang", "en": "eng_Latn"}
@@ -17,20 +19,65 @@ SPLITS = ("dev", "devtest")
 
 
 def read_lines(spark: SparkSession, path: str, line_col: str = "line") -> DataFrame:
-    """(line_no, line) with Python ``splitlines()`` numbering.
-
-    Spark's text reader splits on \\n, \\r and \\r\\n; the remaining break
-    characters are split inside each line (an explode, narrow) before the
-    file ordinal is assigned, so numbering is exact and no task ever holds a
-    whole file. Known gap: a final line ending in one of the extra breaks
-    without a newline after it gets one extra empty line.
-    """
-
-    def expand(df: DataFrame) -> DataFrame:
-        return df.select("*", F.explode(F.split(F.col("value"), EXTRA_BREAKS, -1)).alias(line_col)).drop("value")
-
-    lines = with_file_ordinal(spark.read.text(path), name="line_no", expand=expand)
-    return lines.select("line_no", line_col)
+    """(line_no, line) with Python ``splitlines()`` numbering, file by file.
+
+    Spark's reader splits at \\n alone; what lies between is split at the other
+    breaks (an explode, narrow). So every piece is a line, with one exception:
+    where a file ends in one of the extra breaks without a \\n, the piece after
+    it is none. Whether a file ends in \\n is told by its size: its segments'
+    bytes, one more for each, add up to it, or to one more where the last \\n
+    is missing. (The reader takes a byte order mark away, three bytes less; it is
+    put back; a file of nothing but the mark has no line.) The rows are written once with their split and task position, and
+    no task holds a whole file. Compressed files, whose size says nothing, are
+    taken to end in \\n."""
+    file, value = F.col("_metadata.file_path").alias("_file"), F.col("value")
+    segment = F.when(value.endswith("\r"), F.left(value, F.length(value) - 1)).otherwise(value)
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        file,
+        F.col("_metadata.file_size").alias("_size"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        (F.octet_length(value) + 1).cast("bigint").alias("_bytes"),
+        F.right(value, F.lit(1)).isin(list(EXTRA_BREAKS)).alias("_open"),
+        F.split(segment, _INNER_BREAK, -1).alias("_lines"),
+    )
+    rows = raw.select("_file", "_size", "_block", "_bytes", "_open", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_pos", line_col))
+    rows = rows.select(
+        "_file",
+        "_size",
+        "_block",
+        F.when(F.col("_pos") == 0, F.col("_bytes")).otherwise(0).alias("_bytes"),
+        (F.col("_open") & (F.col("_pos") == F.col("_n") - 1)).alias("_open"),
+        F.monotonically_increasing_id().alias("_mid"),
+        line_col,
+    )
+    rows = cut_lineage(rows, "lines")
+    splits = rows.groupBy("_file", "_block").agg(
+        F.min("_mid").alias("_first"),
+        F.max("_mid").alias("_last"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum("_bytes").alias("_held"),
+        F.max("_size").alias("_size"),
+        F.max(F.when(F.col("_open"), F.col("_mid"))).alias("_open_at"),
+    )
+    of_file = Window.partitionBy("_file")
+    over = F.col("_size") - F.sum("_held").over(of_file)  # 0; -1 without the last \n; 3 more with a mark
+    splits = splits.withColumns({"_over": over, "_last_block": F.max("_block").over(of_file), "_first_block": F.min("_block").over(of_file)})
+    no_line = F.col("_over").isin(-1, 2) & (F.col("_block") == F.col("_last_block")) & (F.col("_open_at") == F.col("_last"))
+    splits = splits.withColumn("_drop", F.coalesce(no_line, F.lit(False)))
+    order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(
+        "_file",
+        "_block",
+        "_first",
+        F.when(F.col("_drop"), F.col("_last")).alias("_none"),
+        F.when(F.col("_over").isin(2, 3) & (F.col("_block") == F.col("_first_block")), F.col("_first")).alias("_marked"),
+        F.coalesce(F.sum(F.col("_rows") - F.col("_drop").cast("int")).over(order), F.lit(0)).alias("_before"),
+    )
+    offsets = cut_lineage(offsets, "offsets")  # one row a split: counted, then broadcast below a bound
+    side = F.broadcast(offsets) if offsets.count() <= BROADCAST_SPLITS else offsets
+    kept = rows.drop("_size", "_bytes", "_open").join(side, ["_file", "_block"]).where("_none is null or _mid <> _none")
+    line = F.when(F.col("_mid") == F.col("_marked"), F.concat(F.lit(_BOM), F.col(line_col))).otherwise(F.col(line_col))
+    return kept.select((F.col("_before") + F.col("_mid") - F.col("_first")).alias("line_no"), line.alias(line_col))
 
 
 def read_parallel_lines(spark: SparkSession, src_path: str, tgt_path: str, src: str = "ko", tgt: str = "en") -> DataFrame:

@@ -15,7 +15,8 @@ class SourceSpec:
     ``en_field`` / ``score_field`` are dotted paths into the row.
     ``ordinal`` names a column that gives arrival order; without one, order
     comes from file position (see ``corpus.with_file_ordinal``). ``schema``
-    (DDL) avoids a data scan for schema inference on JSON sources.
+    (DDL) gives a JSON source fixed types; without one, every value's type is
+    that of its own row.
     """
 
     name: str
@@ -25,7 +26,7 @@ class SourceSpec:
     en_field: str = "en"
     score_field: str | None = None
     ordinal: str | None = None
-    schema: str | None = None  # DDL; set it for JSON to skip schema inference
+    schema: str | None = None  # DDL
     license: str = "unknown"
     notes: str = ""
 

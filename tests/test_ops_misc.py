@@ -24,8 +24,8 @@ def test_zip_by_id_requires_same_ids(spark):
     a = spark.createDataFrame([("1", "s1"), ("2", "s2")], "id string, src string")
     b = spark.createDataFrame([("1", "p1"), ("2", "p2")], "id string, pred string")
     assert zip_by_id(a, b).count() == 2
-    with pytest.raises(RuntimeError):
-        zip_by_id(a, b.where("id = '1'"))
+    with pytest.raises(Exception, match="ids differ: 2 is missing on the right"):
+        zip_by_id(a, b.where("id = '1'")).collect()
 
 
 def test_probe_map_precedence(spark):

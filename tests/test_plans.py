@@ -5,7 +5,7 @@ from corpusforge.plans.build import build_dataset
 from corpusforge.session import checkpoint_dir
 from corpusforge.plans.evaluate import evaluate
 from corpusforge.plans.finetune_data import prepare_sft
-from corpusforge.plans.validate_sources import validate_sources
+from corpusforge.plans.validate_sources import counted_rows, source_report, validate_sources
 from corpusforge.sources.specs import SourceSpec
 
 
@@ -71,3 +71,51 @@ def test_iter_failed_status(spark, tmp_dir):
     rep = validate_sources(spark, [spec], limit=10)
     assert rep["candidates"][0]["status"] in ("iter_failed", "load_failed")
     assert rep["selected"] == []
+
+
+def test_report_keeps_rows_before_a_fault(spark, tmp_dir):
+    """The files before a corrupt one, the lines before a malformed one; states of odd sources."""
+    import os
+
+    good = spark.createDataFrame([(f"한국어 문장 {i}", "english text") for i in range(4)], "ko string, en string")
+    good.coalesce(1).write.parquet(f"{tmp_dir}/broken")
+    first = next(f for f in os.listdir(f"{tmp_dir}/broken") if f.endswith(".parquet"))
+    os.rename(f"{tmp_dir}/broken/{first}", f"{tmp_dir}/broken/part-00000.parquet")
+    with open(f"{tmp_dir}/broken/part-zzzz.parquet", "wb") as f:
+        f.write(b"PAR1 this is not a parquet file PAR1")
+    with open(f"{tmp_dir}/loose.jsonl", "w", encoding="utf-8") as f:
+        f.write('{"translation":{"ko":"한국어","en":"abc"}}\n\n{"ko":5,"en":"abc"}\n{"src":"한국어","tgt":null}\n{"b":1,"a":2}\n{"ko": "x"\n{"ko":"한","en":"a"}\n')
+    with open(f"{tmp_dir}/fine.jsonl", "w", encoding="utf-8") as f:
+        f.write('{"ko":"한국어","en":"abc"}\n' * 3 + '{"ko":["한"],"en":"abc"}\n')
+    open(f"{tmp_dir}/none.jsonl", "w").close()
+    schema = "ko string, en string"
+    specs = [
+        SourceSpec("broken", f"{tmp_dir}/broken", schema=schema),
+        SourceSpec("loose", f"{tmp_dir}/loose.jsonl", fmt="json"),
+        SourceSpec("fine", f"{tmp_dir}/fine.jsonl", fmt="json"),
+        SourceSpec("typed", f"{tmp_dir}/fine.jsonl", fmt="json", schema=schema),
+        SourceSpec("none", f"{tmp_dir}/none.jsonl", fmt="json"),
+        SourceSpec("odd", f"{tmp_dir}/fine.jsonl", fmt="no.such.format"),
+    ]
+    by = {r.name: r for r in source_report(spark, specs, 10).collect()}
+    assert list(by) == [s.name for s in specs]
+    assert by["broken"].status == "iter_failed" and [s.ko for s in by["broken"].samples] == [f"한국어 문장 {i}" for i in range(4)]
+    assert by["broken"].sanity_pass_rate is None and by["broken"].schema is None and by["broken"].error
+    loose = by["loose"]
+    assert loose.status == "iter_failed" and loose.num_rows == 6 and "row 4" in loose.error
+    assert [(s.ko, s.en, s.ok) for s in loose.samples] == [("한국어", "abc", True), (None, "abc", False), ("한국어", None, False), (None, None, False)]
+    fine = by["fine"]
+    assert (fine.status, fine.sanity_pass_rate, fine.schema, fine.num_rows, fine.columns) == ("ok", 0.75, "{ko,en}", 4, ["en", "ko"])
+    assert by["typed"].status == "ok" and by["typed"].num_rows == 4
+    assert (by["none"].status, by["none"].schema, by["none"].columns, by["none"].num_rows, by["none"].sanity_pass_rate) == ("empty", "?", None, 0, 0.0)
+    assert by["odd"].status == "load_failed" and by["odd"].num_rows is None and by["odd"].num_rows_error
+    assert [r.selected for r in by.values()] == [False, False, True, True, False, False]
+    # one row is taken before the limit is tested
+    assert len(source_report(spark, specs[2:3], 0).first().samples) == 1
+
+
+def test_counts_read_no_column(spark, tmp_dir):
+    spark.range(50).selectExpr("id", "cast(id as string) as text").write.parquet(f"{tmp_dir}/t")
+    df = counted_rows(spark, SourceSpec("t", f"{tmp_dir}/t"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan and df.first().num_rows == 50

@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusforge.operators.rank import kth_smallest_hex, order_statistics
+import math
+
+from corpusforge.operators.rank import grouped_order_statistics, kth_smallest_hex, order_statistics
 from corpusforge.operators.score import apply_score_cut, score_distribution
 from corpusforge.operators.split import exact_split, val_size
 
@@ -93,3 +95,50 @@ def test_order_statistics_nan_ranks_last(spark):
     assert st.lo == 0.1 and math.isnan(st.hi)
     only_nan = spark.createDataFrame([(float("nan"),)], "v double")
     assert math.isnan(order_statistics(only_nan, "v", [], lambda n: [("m", 0)])[0].values["m"])
+
+
+def test_grouped_order_statistics(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = []
+    for g in [*range(40), None]:
+        kind = rng.randrange(5)
+        for _ in range(rng.choice([1, 2, 3, 50, 400])):
+            v = [rng.random(), rng.uniform(-1e300, 1e300), float(rng.randrange(4)), rng.gauss(0, 1) * 10.0 ** rng.randrange(-300, 300), 7.5][kind]
+            rows.append((g, v))
+    rows += [(3, None), (50, None), (60, math.nan), (61, math.nan), (61, 1.0), (62, math.inf), (62, -math.inf), (62, 0.0), (62, -0.0), (63, 5e-324), (63, 1e308)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(6)
+    ranks = {"p10": lambda n: F.floor(n / 10), "median": lambda n: F.floor(n / 2), "last": lambda n: n - 1, "beyond": lambda n: n}
+    got = {r.g: r for r in grouped_order_statistics(df, "v", ["g"], ranks, buckets=16).collect()}
+    groups = {}
+    for g, v in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        vs = sorted(vs, key=lambda v: (math.isnan(v), v if not math.isnan(v) else 0))
+        r = got[g]
+        want = [vs[len(vs) // 10], vs[len(vs) // 2], vs[-1], None, len(vs), vs[0], vs[-1]]
+        for a, b in zip([r.p10, r.median, r["last"], r.beyond, r.n, r["min"], r["max"]], want, strict=True):
+            assert a == b or (a is not None and b is not None and math.isnan(a) and math.isnan(b)), (g, r, want)
+    assert grouped_order_statistics(df.limit(0), "v", ["g"], ranks).count() == 0
+
+
+def test_grouped_order_statistics_jobs_do_not_grow_with_groups(spark):
+    from corpusforge.operators.score import FLOOR_RANKS
+
+    def jobs(n_groups):
+        name = f"groups-{n_groups}"
+        spark.sparkContext.setJobGroup(name, name)
+        df = spark.range(200_000).selectExpr(f"id % {n_groups} as g", "cast(pmod(id * 7919, 1000) as double) as v")
+        out = grouped_order_statistics(df, "v", ["g"], FLOOR_RANKS)
+        assert out.count() == n_groups
+        done = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        spark.sparkContext.setJobGroup("other", "other")
+        return done
+
+    few, many = jobs(10), jobs(100_000)
+    assert many <= max(few, 40)

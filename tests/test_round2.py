@@ -30,10 +30,15 @@ def test_missing_key_raises_under_any_projection(spark, tmp_dir):
 def test_zip_by_id_sees_repeated_and_one_sided_ids(spark):
     left = spark.createDataFrame([("a",), ("a",), ("b",)], "id string")
     right = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, v int")
-    with pytest.raises(RuntimeError, match="ids differ"):
-        zip_by_id(left, right)
-    with pytest.raises(RuntimeError, match="ids differ"):
-        zip_by_id(left.distinct(), right)
+    for read in (lambda df: df.collect(), lambda df: df.count(), lambda df: df.select("v").collect()):
+        with pytest.raises(Exception, match="ids differ"):
+            read(zip_by_id(left, right))
+        with pytest.raises(Exception, match="ids differ: c is missing on the left"):
+            read(zip_by_id(left.distinct(), right))
+    with pytest.raises(Exception, match="ids differ: a is repeated on the left"):
+        zip_by_id(left, right.where("v < 3")).collect()
+    with pytest.raises(Exception, match="ids differ: null"):
+        zip_by_id(spark.createDataFrame([("a",), (None,)], "id string"), right.where("v = 1")).collect()
     assert zip_by_id(left.distinct(), right.where("v < 3")).count() == 2
 
 
