@@ -4,12 +4,17 @@ Vectors are dealt into shards by hash; each shard's task builds a hierarchical
 navigable small-world graph, which is stored as flat neighbour arrays. A query
 searches every shard's graph, and the shards' results are merged. Equal
 vectors are one node, however many rows have it.
+
+Shards are as large as a task's memory allows, as a search costs little more
+in a large graph than in a small one. A shard's index moves once, to the task
+that streams all queries past it.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 
-SHARD_ROWS = 8192
-QUERY_BLOCK = 1024
+#: Bounds of a shard: vectors, and bytes of them. Small tables are built in so many tasks.
+SHARD_ROWS, SHARD_BYTES, LEAST_SHARDS = 65_536, 32 << 20, 8
 LINKS = 12  # of a node on an upper level; twice as many on the lowest
 BUILD_BREADTH, SEARCH_BREADTH = 64, 80
 
@@ -168,18 +173,25 @@ def _load(row: dict) -> tuple[SmallWorld, np.ndarray]:
 
 
 def _searcher(k: int):
-    def search(index: pa.Table, queries: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if index.num_rows and queries.num_rows:
-            row = {name: index[name][0].as_py() for name in ("keys", "vectors", "entry", "widths", "links")}
-            graph, vectors = _load(row)
-            for key, query in zip(queries["qkey"].to_pylist(), _matrix(queries["vec"]), strict=True):
-                found = graph.nearest(query, k)
-                out[0].extend([key] * len(found))
-                out[1].extend(row["keys"][x] for x in found)
-                out[2].extend(cosine(query, vectors[found]).tolist())
-        types = (pa.binary(), pa.binary(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["qkey", "vkey", "score"])
+    """Shards in a row, each its index followed by the queries."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, vectors, keys, of = None, None, None, None
+        for batch in batches:
+            shards = list(zip(batch.column("dims").to_pylist(), batch.column("shard").to_pylist(), strict=True))
+            out: tuple[list, list, list] = ([], [], [])
+            for i, here in enumerate(shards):
+                if batch.column("keys")[i].is_valid:
+                    row = {name: batch.column(name)[i].as_py() for name in ("keys", "vectors", "entry", "widths", "links")}
+                    (graph, vectors), keys, of = _load(row), row["keys"], here
+                elif of == here:  # a shard of other dimensions may have no index
+                    query = np.array(batch.column("vec")[i].as_py())
+                    found = graph.nearest(query, k)
+                    out[0].extend([batch.column("qkey")[i].as_py()] * len(found))
+                    out[1].extend(keys[x] for x in found)
+                    out[2].extend(cosine(query, vectors[found]).tolist())
+            types = (pa.binary(), pa.binary(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["qkey", "vkey", "score"])
 
     return search
 
@@ -192,7 +204,7 @@ def nearest_neighbours(rows: DataFrame, id_col: str, vector_col: str, is_query,
     Rows take no part if the id is null, or the vector is null, empty, all zero
     or holds a null or non-finite component. Vectors of different lengths are
     never compared. Repeated rows of an id count once. Every vector is
-    indexed. Scores are double-precision cosines of the original vectors;
+    indexed. An empty table, or one without queries, gives an empty result. Scores are double-precision cosines of the original vectors;
     only the search is approximate."""
     scratch = Scratch(rows.sparkSession, "ann")
     vec = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))
@@ -212,23 +224,19 @@ def nearest_neighbours(rows: DataFrame, id_col: str, vector_col: str, is_query,
     owners = distinct.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k + 1)
     owners = scratch.cut(owners.groupBy("vkey").agg(F.sort_array(F.collect_list("id")).alias("ids")), "owners")
     vectors = known.groupBy("vkey", "vec").agg(F.max(F.col("asks").cast("int")).alias("asks"))
-    shards = max(1, math.ceil(owners.count() / shard_rows))
+    held = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dims")).first()
+    most = max(1, min(shard_rows, SHARD_BYTES // (8 * max(held.dims or 1, 1))))
+    shards = max(LEAST_SHARDS, math.ceil(held.n / most))
     shard = F.pmod(F.xxhash64("vkey"), F.lit(shards)).cast("int")
     vectors = scratch.cut(vectors.withColumns({"dims": F.size("vec"), "shard": shard}), "vectors")
     index = vectors.select("dims", "shard", "vkey", "vec").groupBy("dims", "shard").applyInArrow(_build, _INDEX)
     index = scratch.cut(index, "index")
 
     asked = vectors.where("asks = 1").select("dims", F.col("vkey").alias("qkey"), "vec")
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.col("qkey"), F.lit(1)), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dims", "shard", "block"]
-    found = (
-        spread.groupBy(*keys)
-        .cogroup(asked.groupBy(*keys))
-        .applyInArrow(_searcher(k + 1), "qkey binary, vkey binary, score double")
-    )
+    both = index.unionByName(asked, allowMissingColumns=True).repartition(shards, "dims", "shard")
+    ordered = both.sortWithinPartitions("dims", "shard", F.col("keys").isNull(), "qkey")
+    found = ordered.mapInArrow(_searcher(k + 1), "qkey binary, vkey binary, score double")
     # per query vector, the k + 1 best (score, id); each query drops itself
     nearest = Window.partitionBy("qkey").orderBy(F.col("score").desc(), "id")
     merged = found.join(owners, "vkey").select("qkey", "score", F.explode("ids").alias("id"))
