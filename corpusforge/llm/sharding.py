@@ -60,11 +60,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     The law is ``key``: the id and the shard count alone decide the shard, and
     ``grown_shard`` is the shard with one shard more. A null id has key 0; a
     null text has size 1 and the CRC of no bytes (0). ``slot`` numbers a
-    shard's rows from 0 without gaps, in an order fixed by the rows' values
-    (rows equal in id, size and CRC are interchangeable). Other columns are
-    ignored; an empty table gives an empty result.
+    shard's rows from 0 without gaps, in an order that depends on the rows'
+    values and their places in the table. Other columns are ignored; an empty
+    table gives an empty result.
 
-    Slots need no sort of a whole shard: rows fall into hashed blocks, a
+    Slots need no sort of a whole shard: rows fall into blocks by a hash of
+    their values and their number (so copies of one row are spread as well), a
     block's first slot is the count of the blocks before it, and only blocks
     are sorted. Block counts are at most 65,536 rows (or one a shard) whatever
     the input, which bounds the broadcast."""
@@ -75,19 +76,20 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
         F.col(id_col).alias("id"),
         (F.octet_length(text).cast("bigint") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = rows.withColumns(
         {
             "shard": jump_shard(F.col("id"), n_shards),
             "grown": jump_shard(F.col("id"), n_shards + 1),
-            "block": F.pmod(F.xxhash64("id", "crc", "size"), F.lit(blocks)).cast("int"),
+            "block": F.pmod(F.xxhash64("id", "crc", "size", "row"), F.lit(blocks)).cast("int"),
         }
     )
     rows = scratch.cut(rows, "rows")
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
     firsts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    place = Window.partitionBy("shard", "block").orderBy("id", "crc", "size")
+    place = Window.partitionBy("shard", "block").orderBy("id", "crc", "size", "row")
     return (
         rows.withColumn("place", F.row_number().over(place) - 1)
         .join(F.broadcast(firsts), ["shard", "block"])
