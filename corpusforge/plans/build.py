@@ -120,6 +120,13 @@ def build_stats(result: BuildResult, max_per_source: int | None = None) -> dict:
     }
 
 
+def in_split_order(kept: DataFrame, cols: list[str]) -> DataFrame:
+    """Both splits in shuffled order from one sort: rows dealt by range of
+    (split, shuffle key) and sorted there."""
+    order = ["split", "shuffle_key"]
+    return kept.select(*cols, *order).repartitionByRange(*order).sortWithinPartitions(*order).select(*cols, "split")
+
+
 def build_dataset(
     spark: SparkSession,
     sources: list[SourceSpec],
@@ -131,14 +138,13 @@ def build_dataset(
     seed: int = 42,
 ) -> dict:
     """End to end: read, clean, cut, split; write train/val JSONL (K1, in
-    shuffled order) and return the stats document (K2, also written)."""
+    shuffled order, under ``stage/split=train`` and ``stage/split=val``) and return the stats document (K2, also written)."""
     ship_package(spark)
     pairs = load_catalogue(spark, sources, max_per_source)
     result = build_corpus(pairs, cfg, drop_bottom_score_pct, val_fraction, seed)
     cols = ["ko", "en", "source", "score"]
-    for split in ("train", "val"):
-        part = result.kept.where(F.col("split") == split).orderBy("shuffle_key").select(*cols)
-        write_jsonl(part, f"{out_dir}/stage_{split}")
+    # part files in order by name, under a folder for each split
+    write_jsonl(in_split_order(result.kept, cols), f"{out_dir}/stage", partition_by=["split"])
     stats = build_stats(result, max_per_source)
     stats_df = spark.createDataFrame([(json.dumps(stats, ensure_ascii=False),)], "value string")
     stats_df.coalesce(1).write.mode("overwrite").text(f"{out_dir}/stage_stats")

@@ -2,7 +2,8 @@
 translation -> BLEU / chrF (+ optional caller segment scorer) -> result
 document and predictions JSONL.
 
-The model is the caller's ``translate(list[str]) -> list[str]``; an existing
+The model is the caller's ``translate(list[str]) -> list[str]``, or
+``translate_setup() -> translate``, which loads it once in a worker; an existing
 predictions table can be scored instead (``predictions`` keyed by ``id``).
 """
 
@@ -37,6 +38,8 @@ def evaluate(
     dataset: str | None = None,
     split: str | None = None,
     comet_model: str | None = None,
+    translate_setup=None,
+    scorer_setup=None,
 ) -> dict:
     """pairs(id, ko, en, ord) -> result dict (K5); writes K4/K5 under ``output``.
     Model output is written to the shared folder, so that a lost executor
@@ -49,15 +52,15 @@ def evaluate(
     if predictions is not None:
         triples = zip_by_id(base, predictions.select("id", "pred"))
     else:
-        triples = infer.batch_predict(base, translate, "src", "pred", batch_size)
+        triples = infer.batch_predict(base, translate, "src", "pred", batch_size, translate_setup)
     scratch = Scratch(spark, "evaluate")
     seen = Observation()
     # one action translates, writes and counts
     triples, seconds = infer.timed(lambda: scratch.cut(triples.observe(seen, F.count(F.lit(1)).alias("n")), "triples"))
     n_pairs = seen.get["n"]
     result_metrics = metrics.translation_metrics(triples, target_lang)
-    if scorer is not None:
-        scored = infer.score_segments(triples, scorer)
+    if scorer is not None or scorer_setup is not None:
+        scored = infer.score_segments(triples, scorer, setup=scorer_setup)
         result_metrics["comet"] = infer.system_score(scored).first()[0]
         result_metrics["comet_model"] = comet_model
     samples = [

@@ -66,7 +66,9 @@ def required_columns(m: Column, required, row_id: Column) -> list[Column]:
     ]
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     """K1/K4: JSON lines, UTF-8 kept raw, null fields omitted (so an absent
-    score stays absent). A directory of part files."""
-    df.write.mode(mode).option("ignoreNullFields", "true").json(path)
+    score stays absent). A directory of part files, or one for each value of
+    the columns ``partition_by``, which are then not in the lines."""
+    writer = df.write.mode(mode).option("ignoreNullFields", "true")
+    (writer.partitionBy(*partition_by) if partition_by else writer).json(path)

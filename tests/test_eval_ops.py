@@ -175,3 +175,28 @@ def test_segment_matches_large_alphabet_fallback():
     assert metrics.segment_matches(hi, ri, 6) == pyref.match_counts(list(h), list(r), 6)
     small_h, small_r = np.array([1, 2, 1, 2], dtype=np.int64), np.array([2, 1, 2], dtype=np.int64)
     assert metrics.segment_matches(small_h, small_r, 4) == pyref.match_counts([1, 2, 1, 2], [2, 1, 2], 4)
+
+
+def test_a_model_is_loaded_once_in_a_worker(spark, tmp_dir):
+    import os
+    import uuid
+
+    from corpusforge.operators.infer import batch_predict, score_segments
+
+    def loader(kind, model):
+        def setup():
+            open(f"{tmp_dir}/{kind}-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+            return model
+
+        return setup
+
+    df = spark.range(3000).selectExpr("cast(id as string) as src").repartition(60)
+    out = batch_predict(df, setup=loader("predict", lambda batch: [f" {x}! " for x in batch]))
+    out = score_segments(out.withColumn("ref", out.src), setup=loader("score", lambda rows: [float(len(r["mt"])) for r in rows]))
+    assert all(r.pred == f"{r.src}!" and r.segment_score == len(r.pred) for r in out.collect())
+    for kind in ("predict", "score"):
+        loads = [x for x in os.listdir(tmp_dir) if x.startswith(kind)]
+        workers = {x.split("-")[1] for x in loads}
+        assert 1 <= len(loads) == len(workers) <= 16  # 60 tasks
+    with pytest.raises(ValueError):
+        batch_predict(df)

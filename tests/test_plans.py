@@ -1,7 +1,9 @@
 import glob
+import hashlib
 import json
+import unicodedata
 
-from corpusforge.plans.build import build_dataset
+from corpusforge.plans.build import in_split_order, build_dataset
 from corpusforge.session import checkpoint_dir
 from corpusforge.plans.evaluate import evaluate
 from corpusforge.plans.finetune_data import prepare_sft
@@ -32,8 +34,28 @@ def test_build_dataset_accounting(spark, tmp_dir):
     assert t["after_score_filter"] == t["train"] + t["val"] and t["val"] == int(t["after_score_filter"] * 0.1)
     assert stats["per_source"]["scored"]["rejected"] == {"dup": 20}
     assert stats["score_distribution"]["scored"]["n"] == 40
-    train = spark.read.json(f"{tmp_dir}/out/stage_train").count()
-    assert train == t["train"]
+    def lines(split):
+        rows = []
+        for name in sorted(glob.glob(f"{tmp_dir}/out/stage/split={split}/part-*")):
+            with open(name, encoding="utf-8") as f:
+                rows += [json.loads(x) for x in f]
+        return rows
+
+    def shuffle_key(row):
+        dkey = hashlib.md5(unicodedata.normalize("NFC", row["ko"].strip().lower()).encode()).hexdigest()
+        return hashlib.md5(f"42|{dkey}".encode()).hexdigest()
+
+    train, val = lines("train"), lines("val")
+    assert (len(train), len(val)) == (t["train"], t["val"])
+    keys = [[shuffle_key(r) for r in part] for part in (val, train)]
+    assert keys[0] + keys[1] == sorted(keys[0] + keys[1])  # each file in order, and the smallest keys are val
+    assert all(set(r) <= {"ko", "en", "source", "score"} for r in train)
+
+
+def test_splits_are_written_from_one_sort(spark):
+    kept = spark.range(100).selectExpr("id as ko", "if(id % 7 = 0, 'val', 'train') as split", "md5(cast(id as string)) as shuffle_key")
+    plan = in_split_order(kept, ["ko"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("RepartitionByExpression") == 1
 
 
 def test_validate_sources_report(spark, tmp_dir):
