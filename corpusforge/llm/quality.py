@@ -112,7 +112,7 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             different / per_word,
             commonest / per_word,
             share(next_same),
-            1 - different_lines / np.maximum(lines, 1) * (lines > 0),
+            (1 - different_lines / np.maximum(lines, 1)) * (lines > 0),
             np.log1p(lines),
             small / 256,
         ]
