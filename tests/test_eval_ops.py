@@ -64,7 +64,7 @@ def test_bleu_matches_brute_force(spark):
     got = metrics.corpus_bleu(df)
     m, t, sl, rl = [0] * 4, [0] * 4, 0, 0
     for h, r in segs:
-        ht, rt = metrics.tokens_13a(h), metrics.tokens_13a(r)
+        ht, rt = metrics.lines_13a([h])[:-1], metrics.lines_13a([r])[:-1]
         for i, c in enumerate(pyref.match_counts(ht, rt, 4)):
             m[i] += c
             t[i] += max(len(ht) - i, 0)
@@ -75,7 +75,7 @@ def test_bleu_matches_brute_force(spark):
     assert abs(stats.select(metrics.bleu_score(stats)).first()[0] - got["score"]) < 1e-9
     # and the JVM tokeniser gives the same tokens as the UDF's
     jv = [list(r[0]) for r in df.select(metrics.tokenize_13a(F.col("pred"))).collect()]
-    assert jv == [metrics.tokens_13a(h) for h, _ in segs]
+    assert jv == [metrics.lines_13a([h])[:-1] for h, _ in segs]
 
 
 def test_chrf_matches_brute_force(spark):
@@ -161,20 +161,42 @@ def test_schema_probe_and_status(spark):
     assert got == {"s": (10, 5, 0.5, "ok"), "t": (1, 0, 0.0, "low_sanity")}
 
 
-def test_segment_matches_large_alphabet_fallback():
-    # more than ~1400 distinct characters: the one-sort key would overflow,
-    # so the order-by-order dense ids are used; both must agree with Python
-    import numpy as np
+def plain_block(hyp, ref, max_n):
+    per_row = [pyref.match_counts(list(h), list(r), max_n) for h, r in zip(hyp, ref, strict=True)]
+    return [sum(x) for x in zip(*per_row, strict=True)]
 
+
+def test_block_matches_count_rows_apart():
     rnd = random.Random(9)
-    alphabet = [chr(0x4E00 + i) for i in range(3000)]
-    h = "".join(rnd.choice(alphabet) for _ in range(4000)) + "abcabc"
-    r = h[100:3000] + "".join(rnd.choice(alphabet) for _ in range(800)) + "abc"
-    hi, ri = metrics._char_ids(h, r)
-    assert len(set(h) | set(r)) > 1448
-    assert metrics.segment_matches(hi, ri, 6) == pyref.match_counts(list(h), list(r), 6)
-    small_h, small_r = np.array([1, 2, 1, 2], dtype=np.int64), np.array([2, 1, 2], dtype=np.int64)
-    assert metrics.segment_matches(small_h, small_r, 4) == pyref.match_counts([1, 2, 1, 2], [2, 1, 2], 4)
+    for alphabet, rows in (("ab", 50), ("abcdefgh é中😀", 40), ([chr(0x4E00 + i) for i in range(3000)], 6), ("x", 3)):
+        hyp = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 700))).replace(" ", "") for _ in range(rows)]
+        ref = [h[5:300] + "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(80))).replace(" ", "") for h in hyp]
+        ref[0], hyp[-1] = "", ""
+        x, y, n = metrics._char_tokens(hyp, ref)
+        for order in (1, 4, 6):
+            assert metrics.block_matches(x, y, rows, n, order) == plain_block(hyp, ref, order)
+    big = "".join(chr(0x4E00 + i) for i in range(3000))  # windows of this alphabet don't fit in one number
+    x, y, n = metrics._char_tokens([big + "abcabc", big], [big[100:] + "abc", big[:50] + big])
+    assert (n + 1) ** 6 > 2**62 and metrics.block_matches(x, y, 2, n, 6) == plain_block([big + "abcabc", big], [big[100:] + "abc", big[:50] + big], 6)
+
+
+def test_lines_as_one_text_have_their_own_tokens():
+    rnd = random.Random(4)
+    bits = ["a", "B", "1", "2.5", ".", ",", "-", "\n", "-\n", " ", "\ue000", "&quot;", "&amp;lt;", "<skipped>", "(x)", "é", "\u2028", "$", ""]
+    lines = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 12))) for _ in range(300)]
+    mark = metrics.lines_13a(lines)[-1]
+    got = " ".join(metrics.lines_13a(lines)[:-1]).split(mark)
+    assert [g.split() for g in got] == [metrics.lines_13a([x])[:-1] for x in lines]
+
+
+def test_one_pass_gives_both_metrics(spark):
+    rows = [("the cat sat.", "the cat sat down."), (None, "x y"), ("a-b 1,5", None), ("", ""), ("한국어 문장", "한국어  문장")]
+    df = spark.createDataFrame(rows, "pred string, ref string").repartition(3)
+    for tok in ("13a", "char"):
+        both = metrics.metric_stats(df, bleu=tok).first().asDict()
+        assert {k.removeprefix("bleu_"): v for k, v in both.items() if k.startswith("bleu_")} == metrics.bleu_stats(df, tokenizer=tok).first().asDict()
+        assert {k.removeprefix("chrf_"): v for k, v in both.items() if k.startswith("chrf_")} == metrics.chrf_stats(df).first().asDict()
+    assert metrics.metric_stats(df.limit(0)).first()["bleu_sys_len"] == 0
 
 
 def test_a_model_is_loaded_once_in_a_worker(spark, tmp_dir):
