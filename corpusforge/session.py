@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -128,8 +129,12 @@ class Scratch:
         return kept
 
     def drop(self, keep=()) -> None:
-        """Delete the tables that are not in ``keep``."""
+        """Delete the tables that are not in ``keep``, at a job's end; then let
+        the driver collect garbage, on which Spark frees the job's plans, shuffle
+        files and broadcasts (it would wait for its heap to fill, or half an hour)."""
         self._delete([p for p, t in self._tables.items() if not any(t is k or p == k for k in keep)])
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def delete(self, *tables) -> None:
         """Delete these tables."""
