@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusforge.llm import fingerprint, language_id, mixing, near_dup, quality, queries, sampling, toxicity
+from corpusforge.llm.bytesops import flat_utf8
 
 
 def test_sampled_classes_keep_their_prior(spark):
@@ -185,3 +187,26 @@ def test_training_rows_of_repeated_ids(spark):
     assert len({r._text for r in found if r.doc_id == 1}) == 1
     langs = sampling.hash_sample(docs.select("doc_id", "lang"), "doc_id", "lang", 1000).collect()
     assert len(langs) == 59 and {r._weight for r in langs if r.lang == "en"} == {4000.0 + 0}
+
+
+def test_toxicity_learns_from_rows_outside_the_sample(spark, monkeypatch):
+    """Each toxic word has its own documents, most of which no sample holds, and
+    so has each language's commonest word."""
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 12)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    rows = []
+    for i in range(2400):
+        lang = ["aa", "bb", "cc"][i % 3]
+        text = [rng.choice(words) for _ in range(12)] + [f"is{lang}"] + ([f"vile{rng.randrange(30)}"] if i % 4 == 0 else [])
+        rows.append((i, " ".join(text), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    model = toxicity.train(docs, truth.where("doc_id < 2000"))
+    got = toxicity.with_toxicity(docs, model).where("doc_id >= 2000").collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 4 == 0) for r in got]) > 0.97
+    raw, offsets = flat_utf8(pa.array([f"is{x}" for x in ("aa", "bb", "cc")], pa.string()))
+    ids, first, _ = toxicity._words(raw, offsets)
+    total = np.array([sum(len(t.split()) for i, t, x in rows[:2000] if x == lang) for lang in ("aa", "bb", "cc")])
+    logs = np.log((np.eye(3) * [[667, 667, 666]] + 0.1) / (total + 0.1 * (toxicity.BUCKETS + 1)))
+    assert np.allclose(model.language_logs[ids[0][first]], logs, atol=1e-3)
