@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -37,9 +37,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         step = step.join(jump, "label", "left").select(
             "node", "old", F.least("label", F.coalesce("beyond", "label")).alias("label")
         )
-        step = scratch.cut(step, "labels")
+        changed = Observation()
+        step = scratch.cut(step.observe(changed, F.count_if(F.col("label") != F.col("old")).alias("n")), "labels")
         scratch.delete(labels)
         labels = step
-        if step.where("label <> old").limit(1).count() == 0:
+        if not changed.get["n"]:
             scratch.delete(both)
             return step.select("node", "label")

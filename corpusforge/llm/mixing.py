@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -85,17 +85,39 @@ def mix(
     sums locate the one block where the target ends, and only its rows (about
     1 in 4,096) are sorted."""
     scratch = Scratch(docs.sparkSession, "mix")
+    rows = docs.select(*_row_columns(id_col, text_col, source_col, seed, F.lit(0) if key_col is None else F.col(key_col)))
+    out = _mixed(scratch.cut(rows, "rows"), scratch, weights, share, max_epochs)
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("source").alias(source_col),
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        "repeats",
+        *([] if key_col is None else [F.col("key").alias(key_col)]),
+    )
+
+
+def _row_columns(id_col: str, text_col: str, source_col: str, seed: int, key: Column) -> list[Column]:
+    """What ``_mixed`` reads of a row."""
     text_hash = F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit(""))
-    rows = docs.select(
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("|"), text_hash))).cast("binary"))
+    return [
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("|"), text_hash))).cast("binary")).alias("h"),
+        h.alias("h"),
         F.xxhash64(text_col).alias("tie"),
-        (F.lit(0) if key_col is None else F.col(key_col)).alias("key"),
-    )
-    rows = scratch.cut(rows.withColumn("block", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")), "rows")
+        key.alias("key"),
+        F.conv(F.substring(h, 1, 3), 16, 10).cast("int").alias("block"),
+    ]
+
 
+def _mixed(rows: DataFrame, scratch: Scratch, weights: Sequence[int], share: float, max_epochs: int) -> DataFrame:
+    """``rows`` with source_size, target, taken and repeats. They may hold a column
+    ``doc``, if ``key`` is unique; only those of a source's one block where its
+    target ends move, and the sort there is of the other columns."""
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("n"))
     up_to = Window.partitionBy("source").orderBy("block")
     blocks = scratch.cut(blocks.withColumn("upto", F.sum("n").over(up_to)), "blocks")
@@ -120,33 +142,38 @@ def mix(
         "extra", F.when(F.col("block") < F.col("edge"), F.col("size")).otherwise(0).cast("bigint")
     )
     prior = Window.partitionBy("source").orderBy("h", "id", "size", "tie", "key").rowsBetween(Window.unboundedPreceding, -1)
-    split = planned.where("block = edge").withColumn(
+    split = planned.drop("doc").where("block = edge").withColumn(
         "extra",
         F.greatest(
             F.lit(0).cast("bigint"),
             F.least("size", F.col("rest") - F.col("edge_before") - F.coalesce(F.sum("size").over(prior), F.lit(0))),
         ),
     )
-    out = sure.unionByName(split)
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("source").alias(source_col),
-        "size",
-        "source_size",
-        "target",
-        (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"),
-        (F.col("whole") + F.when((F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0))
-        .cast("int")
-        .alias("repeats"),
-        *([] if key_col is None else [F.col("key").alias(key_col)]),
+    if "doc" in rows.columns:
+        split = split.join(planned.where("block = edge").select("key", "doc"), "key")
+    return sure.unionByName(split).withColumns(
+        {
+            "taken": F.col("whole") * F.col("size") + F.col("extra"),
+            "repeats": (F.col("whole") + F.when((F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0)).cast("int"),
+        }
     )
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
+def apply_mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS,
+    share: float = SHARE,
+    max_epochs: int = MAX_EPOCHS,
+    seed: int = SEED,
+) -> DataFrame:
     """``docs`` with every row repeated as the mix says; columns unchanged. Rows
-    are known by a key that is written with them, so repeated and null ids
-    are rows like others."""
-    keyed = Scratch(docs.sparkSession, "applymix").cut(docs.withColumn("_mix_key", F.monotonically_increasing_id()), "keyed")
-    times = mix(keyed, id_col=id_col, key_col="_mix_key", **params).select("_mix_key", "repeats").where("repeats > 0")
-    repeated = keyed.join(times, "_mix_key")
-    return repeated.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+    are written once with what the mix reads of them and a key, so repeated
+    and null ids are rows like others, and no text is joined to its repeats."""
+    scratch = Scratch(docs.sparkSession, "applymix")
+    reads = _row_columns(id_col, text_col, source_col, seed, F.monotonically_increasing_id())
+    whole = scratch.cut(docs.select(*reads, F.struct(*[F.col(c) for c in docs.columns]).alias("doc")), "keyed")
+    times = _mixed(whole, scratch, weights, share, max_epochs).where("repeats > 0")
+    return times.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("doc.*")

@@ -37,6 +37,7 @@ SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 75
 N_HASHES = 16
 SMALL_KEY = 32  # a larger unresolved key goes to the prefix join
+MOST_BROADCAST = 2_000_000  # row keys (16 MB); more are joined by a shuffle
 
 _seeds = np.random.default_rng(20240607).integers(1, 2**63, size=2 * N_HASHES, dtype=np.uint64)
 _MULTIPLY, _ADD = _seeds[:N_HASHES] | np.uint64(1), _seeds[N_HASHES:]
@@ -213,6 +214,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_near_key").alias("key")))
     winners = found.groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("key"))
     gone = found.select("_near_key").join(winners, F.col("_near_key") == F.col("key"), "left_anti")
+    gone = scratch.cut(gone, "gone")
+    if gone.count() <= MOST_BROADCAST:  # so that no text moves
+        gone = F.broadcast(gone)
     return keyed.join(gone, "_near_key", "left_anti").select(*docs.columns)
 
 
@@ -270,11 +274,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = left.where(f"held > {SMALL_KEY}").select("node", "label").distinct()
     large = scratch.cut(_prefix_pairs(large, sets), "prefix")
     more = _confirmed(small.union(large).distinct(), sets)
-    links = scratch.cut(links.union(more), "links")
+    # links between the components so far: few, so that passes are short
+    first = labels.select("node", "label")
+    more = more.join(first.toDF("a", "x"), "a", "left").join(first.toDF("b", "y"), "b", "left")
+    more = scratch.cut(more.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct(), "links")
     scratch.delete(left, large, sets)
-    labels = components(links, scratch)
-
-    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = components(more, scratch).toDF("old", "joined")
+    named = nodes.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = named.join(joined, F.col("label") == F.col("old"), "left").withColumn("label", F.coalesce("joined", "label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = named.select("node", "label").join(smallest, "label").select("node", "component_id", F.col("label").alias("component"))
     out = rows.select("id", "node", "n", "key").join(named, "node", "left")

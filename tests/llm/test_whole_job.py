@@ -210,3 +210,21 @@ def test_toxicity_learns_from_rows_outside_the_sample(spark, monkeypatch):
     total = np.array([sum(len(t.split()) for i, t, x in rows[:2000] if x == lang) for lang in ("aa", "bb", "cc")])
     logs = np.log((np.eye(3) * [[667, 667, 666]] + 0.1) / (total + 0.1 * (toxicity.BUCKETS + 1)))
     assert np.allclose(model.language_logs[ids[0][first]], logs, atol=1e-3)
+
+
+def test_pipeline_stages_join_no_text(spark):
+    """Rows that a stage keeps are not dealt anew by their keys."""
+    texts = [" ".join(f"w{(i * 31 + k * 7) % 1000}" for k in range(9)) for i in range(60)] + ["one two three four five six"] * 3 + ["", None]
+    docs = frame(spark, texts, ["en"] * len(texts)).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3))
+    kept = near_dup.drop_near_duplicates(docs)
+    mixed = mixing.apply_mix(docs)
+    for out in (kept, mixed):
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "text" not in "".join(line for line in plan.split("== Initial Plan ==")[0].splitlines() if "SortMergeJoin" in line or "Exchange hashpartitioning(_" in line)
+        assert "SortMergeJoin [_near_key" not in plan.split("== Initial Plan ==")[0] and "SortMergeJoin [_mix_key" not in plan
+        assert out.columns == docs.columns and {(r.doc_id, r.text) for r in rows} <= set(enumerate(texts))
+    assert kept.count() == 63
+    times = {r.doc_id: r.repeats for r in mixing.mix(docs).collect()}
+    held = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert held == {k: n for k, n in times.items() if n}
