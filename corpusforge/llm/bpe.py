@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import ahocorasick
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import held
+from .bytesops import flat_utf8, held, pieces
 
 #: Bounds of a worker's memory: pieces and pairs remembered, characters of a piece remembered.
 CACHED_PIECES, CACHED_PAIRS, CACHED_LENGTH = 120_000, 200_000, 64
@@ -261,32 +261,39 @@ def with_decoded(df: DataFrame, vocabulary: bytes, ids_col: str = "ids", out_col
     return df.withColumn(out_col, decode.asNondeterministic()(F.col(ids_col)))
 
 
+def _round_trips(batches: Iterator[pa.Array], encoder: TextEncoder, decoder: Decoder) -> Iterator[pa.Array]:
+    """Ids and decoded bytes of every text. They are larger than the texts, so a
+    batch gives several: each of a bounded part of its texts, or one longer text."""
+    for batch in batches:
+        for lo, hi in pieces(flat_utf8(batch)[1]):
+            flat, ends, decoded = bytearray(), [0], []
+            for text in batch[lo:hi]:
+                ids = encoder.encode(text.as_py() or "")
+                flat += ids
+                ends.append(len(flat) // 4)
+                decoded.append(decoder.decode(np.frombuffer(ids, np.int32)) if ids else b"")
+            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(flat)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield pa.StructArray.from_arrays([lists, pa.array(decoded, pa.binary())], ["ids", "decoded"])
+
+
 def with_round_trip(
     df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded"
 ) -> DataFrame:
     """``df`` with the token ids of every whole text, as ``with_token_ids``, and
     the bytes that these ids decode to. Both happen in the same Python worker, so
-    a task needs one and the ids travel once."""
+    a task needs one and the ids travel once, in batches of bounded size."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
-    def there_and_back(texts: pa.Array) -> pa.Array:
+    def there_and_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         data = shared.value
 
         def make() -> tuple[TextEncoder, Decoder]:
             ranks = parse_ranks(data)
             return TextEncoder(Bpe(ranks), pattern), Decoder(ranks)
 
-        encoder, decoder = held((hash(data), pattern, "both"), make)
-        flat, ends, decoded = bytearray(), [0], []
-        for text in texts:
-            ids = encoder.encode(text.as_py() or "")
-            flat += ids
-            ends.append(len(flat) // 4)
-            decoded.append(decoder.decode(np.frombuffer(ids, np.int32)) if ids else b"")
-        values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(flat)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.binary())], ["ids", "decoded"])
+        yield from _round_trips(batches, *held((hash(data), pattern, "both"), make))
 
     both = df.withColumn("_both", there_and_back.asNondeterministic()(F.col(text_col)))
     return both.withColumns({ids_col: F.col("_both.ids"), decoded_col: F.col("_both.decoded")}).drop("_both")

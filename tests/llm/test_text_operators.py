@@ -116,6 +116,28 @@ def test_token_digests(spark):
     assert queries.token_digests(frame(spark, [])).count() == 0
 
 
+def test_round_trips_leave_the_worker_in_bounded_batches(spark):
+    own = bpe.Bpe(bpe.parse_ranks(queries.vocabulary()))
+    encoder = bpe.TextEncoder(own, public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    texts = [*ODD, *(" ".join(rng.choice(["and", "the", "é中", "it's", "12"]) for _ in range(700)) for _ in range(3000)), None, "", "lone " * 400_000, None, "last"]
+    size = sum(len((t or "").encode()) for t in texts)
+    want = []
+    for t in texts:
+        ids = np.frombuffer(encoder.encode(t or ""), np.int32).tolist()
+        want.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    given = [pa.array(texts, pa.string()), pa.array([], pa.string()), pa.array([None], pa.string())]
+    parts = list(bpe._round_trips(iter(given), encoder, bpe.Decoder(own.ranks)))
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [(len(r["ids"]), hashlib.sha256(r["decoded"]).hexdigest()) for r in rows[:-1]] == [(n, d) for n, _, d in want]
+    assert rows[-1] == {"ids": [], "decoded": b""}
+    assert len(parts) > size >> 20 and max(p.nbytes for p in parts if len(p) > 1) < 6 << 20
+    frames = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for df in (frames.coalesce(1), frames.where("doc_id % 7 = 0").repartition(5, "doc_id"), frames.where("doc_id < 0").repartition(3)):
+        got = {r[0]: tuple(r)[1:] for r in queries.token_digests(df).collect()}
+        assert got == {r.doc_id: want[r.doc_id] for r in df.select("doc_id").collect()}
+
+
 def test_decode_of_odd_ids(spark):
     df = spark.createDataFrame([([0, None, -1, 10**6],), (None,), ([],)], "ids array<int>")
     got = [bytes(r.decoded) for r in bpe.with_decoded(df, queries.vocabulary()).collect()]
