@@ -66,9 +66,11 @@ class Bpe:
         self._pairs: dict[int, bool] = {}  # of left * base + right
         self._base = max(ranks.values()) + 1
         #: Per token the tokens that form its left and its right edge while it
-        #: is merged, each with the rank of the merge that ends it.
-        self._left_edge: dict[int, list[tuple[bytes, int]]] = {}
-        self._right_edge: dict[int, list[tuple[bytes, int]]] = {}
+        #: is merged, each followed by the rank of the merge that ends it. A
+        #: worker holds these for the whole vocabulary: flat, of shared tokens.
+        self._left_edge: dict[int, tuple[bytes | int, ...]] = {}
+        self._right_edge: dict[int, tuple[bytes | int, ...]] = {}
+        shared = {token: token for token in ranks}
         #: The next shorter token that starts a token, or -1, and the place of a
         #: token's last byte. Tokens that the merges can't build are no matches.
         self.shorter = [-1] * self._base
@@ -78,7 +80,8 @@ class Bpe:
             left, right = self._edges(token)
             if left[-1][0] == token:
                 usable.add(token)
-                self._left_edge[ranks[token]], self._right_edge[ranks[token]] = left, right
+                self._left_edge[ranks[token]] = tuple(x for part, end in left for x in (shared[part], end))
+                self._right_edge[ranks[token]] = tuple(x for part, end in right for x in (shared[part], end))
         for token in usable:
             rank = ranks[token]
             cut = next((n for n in range(len(token) - 1, 0, -1) if token[:n] in usable), 0)
@@ -116,22 +119,22 @@ class Bpe:
             self._pairs[left * self._base + right] = known
         return known
 
-    def _never_joined(self, xs: list[tuple[bytes, int]], ys: list[tuple[bytes, int]]) -> bool:
+    def _never_joined(self, xs: tuple[bytes | int, ...], ys: tuple[bytes | int, ...]) -> bool:
         """No merge crosses the border between tokens whose edges there are,
         in time, ``xs`` and ``ys``: each edge lasts until the rank of the merge
         that ends it. Of merges of equal rank the leftmost comes first."""
         i = j = 0
         while True:
-            (x, x_end), (y, y_end) = xs[i], ys[j]
+            x, x_end, y, y_end = xs[i], xs[i + 1], ys[j], ys[j + 1]
             joined = self.ranks.get(x + y, _NEVER)
             if joined < x_end and joined <= y_end and joined != _NEVER:
                 return False
             if x_end == y_end == _NEVER:
                 return True
             if x_end <= y_end:
-                i += 1
+                i += 2
             else:
-                j += 1
+                j += 2
 
     def encode_piece(self, data: bytes) -> list[int]:
         """The ids of one piece (no merges cross its ends)."""

@@ -7,6 +7,7 @@ few numpy operations instead of a Python object. Callers walk a batch in
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Callable, Hashable, Iterator
 
@@ -114,11 +115,15 @@ def held(key: Hashable, make: Callable[[], object]) -> object:
     """A Python worker's prepared model. Workers are used again by later
     operators, so only the last model stays in memory."""
     if key not in _HELD:
-        _HELD.clear()
+        forget()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def forget() -> None:
-    """Let the prepared model go, in an operator that needs none."""
-    _HELD.clear()
+    """Let the prepared model go, in an operator that needs none. What it and
+    freed Arrow batches took goes back to the system, as Arrow's pool keeps it."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import sys
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import brute  # noqa: E402
 import public_tokenizers  # noqa: E402
 
 from corpusforge.llm import bpe, fingerprint, language_id, near_dup, quality, queries, toxicity  # noqa: E402
-from corpusforge.llm.bytesops import BLANKS, flat_utf8, word_hashes, word_spans  # noqa: E402
+from corpusforge.llm.bytesops import BLANKS, flat_utf8, forget, held, word_hashes, word_spans  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, source string, id string, node int, label int, n int"
@@ -138,6 +139,26 @@ def test_round_trips_leave_the_worker_in_bounded_batches(spark):
         assert got == {r.doc_id: want[r.doc_id] for r in df.select("doc_id").collect()}
 
 
+def test_a_replaced_model_leaves_memory_at_once():
+    class Model:
+        def __init__(self):
+            self.own = self
+
+    gone = weakref.ref(held("first of two", Model))
+    assert gone() is not None
+    held("second of two", Model)
+    assert gone() is None
+    gone = weakref.ref(held("second of two", Model))
+    forget()
+    assert gone() is None
+
+
+def test_merge_edges_share_the_vocabularys_tokens():
+    own = bpe.Bpe(bpe.parse_ranks(queries.vocabulary()))
+    for edges in (own._left_edge, own._right_edge):
+        assert len({id(x) for e in edges.values() for x in e if isinstance(x, bytes)}) <= len(own.ranks)
+
+
 def test_decode_of_odd_ids(spark):
     df = spark.createDataFrame([([0, None, -1, 10**6],), (None,), ([],)], "ids array<int>")
     got = [bytes(r.decoded) for r in bpe.with_decoded(df, queries.vocabulary()).collect()]
